@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chunk_dedup, pfor_store
+from . import byte_bpe, chunk_dedup, minhash_dedup, pfor_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_minhash_near_dedup": minhash_dedup.query,
         "op5_token_id_output": pfor_store.query,
         "op6_exact_dedup": chunk_dedup.query,
         "op10_byte_bpe": byte_bpe.query,
@@ -18,4 +19,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": chunk_dedup.SQL}
+    return {"op2_minhash_near_dedup": minhash_dedup.SQL, "op6_exact_dedup": chunk_dedup.SQL}
