@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chunk_dedup, minhash_dedup, pfor_store
+from . import byte_bpe, chunk_dedup, minhash_dedup, pfor_store, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_array_dedup": suffix_dedup.query,
         "op2_minhash_near_dedup": minhash_dedup.query,
         "op5_token_id_output": pfor_store.query,
         "op6_exact_dedup": chunk_dedup.query,
