@@ -68,3 +68,14 @@ def word_split(text: Column) -> Column:
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, bound: int) -> DataFrame:
+    """text and label of at most ``bound`` labelled rows outside the held-out fold, chosen by a hash of the doc_id.
+
+    Labels that are neither 0 nor 1 don't count. The chosen ids are ``bound`` at most, and so can be broadcast.
+    """
+    known = labels.where(labels["doc_id"].isNotNull() & labels[label].isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    known = known.where(crc_fold(F.col("doc_id"), folds) != held_out)
+    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(bound)), "doc_id").limit(bound)
+    return only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
