@@ -6,18 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chunk_dedup, minhash_dedup, pfor_store, suffix_dedup
+from . import byte_bpe, chunk_dedup, host_rules, minhash_dedup, pfor_store, quality_gam, source_mix, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_array_dedup": suffix_dedup.query,
         "op2_minhash_near_dedup": minhash_dedup.query,
+        "op3_source_mix": source_mix.query,
+        "op4_quality_gam": quality_gam.query,
         "op5_token_id_output": pfor_store.query,
         "op6_exact_dedup": chunk_dedup.query,
+        "op8_toxicity": toxicity.query,
+        "op9_host_rules": host_rules.query,
         "op10_byte_bpe": byte_bpe.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": minhash_dedup.SQL, "op6_exact_dedup": chunk_dedup.SQL}
+    return {
+        "op2_minhash_near_dedup": minhash_dedup.SQL,
+        "op3_source_mix": source_mix.SQL,
+        "op6_exact_dedup": chunk_dedup.SQL,
+        "op9_host_rules": host_rules.SQL,
+    }
