@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """Like ``cut``, as a Parquet table, for rows of much text."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/saved_{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def only(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns alone, so that extra columns never clash with an operator's own."""
     return docs.select(*[docs[c] for c in columns])

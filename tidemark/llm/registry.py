@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chunk_dedup, host_rules, minhash_dedup, pfor_store, quality_gam, source_mix, suffix_dedup, toxicity
+from . import byte_bpe, chunk_dedup, host_rules, minhash_dedup, pfor_store, quality_gam, source_mix, suffix_dedup, toxicity, url_templates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_gam": quality_gam.query,
         "op5_token_id_output": pfor_store.query,
         "op6_exact_dedup": chunk_dedup.query,
+        "op7_url_templates": url_templates.query,
         "op8_toxicity": toxicity.query,
         "op9_host_rules": host_rules.query,
         "op10_byte_bpe": byte_bpe.query,
