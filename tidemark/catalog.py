@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import rows, routes
+from .plans import changes, checks, observe, routes, rows
 
-PARTS = (rows, routes)
+PARTS = (rows, routes, changes, checks, observe)
 
 
 def queries() -> dict:

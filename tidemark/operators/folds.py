@@ -33,14 +33,17 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Callabl
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(rows, schema)
 
 
-def cooldown(df: DataFrame, keys: list[str], at: str, seconds: int = 300) -> DataFrame:
-    """Adds fired: whether the row comes at least ``seconds`` after the last one that fired. ``at``: whole seconds."""
+def cooldown(df: DataFrame, keys: list[str], at: str, ties: list[str], seconds: int = 300) -> DataFrame:
+    """Adds fired: whether the row comes at least ``seconds`` after the last one that fired.
+
+    ``at``: whole seconds; ``ties``: the order of rows of one second.
+    """
 
     def step(last, row):
         fires = last is None or row[at] - last >= seconds
         return (row[at] if fires else last), (fires,)
 
-    return ordered_fold(df, keys, [at], step, None, {"fired": "boolean"})
+    return ordered_fold(df, keys, [at, *ties], step, None, {"fired": "boolean"})
 
 
 def hysteresis(df: DataFrame, keys: list[str], order: str, level: str, low: float, high: float) -> DataFrame:

@@ -44,14 +44,15 @@ def throughput(df: DataFrame, ts_ms: str, window_ms: int) -> DataFrame:
 
 def checkpoint_gap(written: Column, applied: Column) -> tuple[Column, Column]:
     """Events pending and what that means."""
-    pending = F.greatest(F.lit(0), written - applied)
+    pending = F.when(written.isNotNull() & applied.isNotNull(), F.greatest(F.lit(0), written - applied))
     level = F.when(written.isNull() & applied.isNull(), "NO_DATA").when(written.isNull() | applied.isNull(), "PARTIAL").when(pending > 1000, "CRITICAL").when(pending > 100, "WARNING").otherwise("HEALTHY")
     return pending, level
 
 
 def replication_lag(source_now: Column, applied: Column) -> Column:
     """Milliseconds, never negative; -1 where unknown."""
-    return F.coalesce(F.greatest(F.lit(0), source_now - applied), F.lit(-1)).cast("bigint")
+    behind = source_now - applied
+    return F.when(behind.isNull(), -1).otherwise(F.greatest(F.lit(0), behind)).cast("bigint")
 
 
 def breached(value: Column, op: Column, limit: Column) -> Column:
