@@ -7,25 +7,32 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Edges that a partition holds at least.
+FEW = 50_000
+
+
+def packed(edges: DataFrame) -> DataFrame:
+    """The edges, written; where they are few, in few partitions."""
+    edges = cut(edges)
+    return edges.coalesce(max(1, edges.count() // FEW))
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long); root is the smallest node that it reaches.
 
     Large-star and small-star rounds: each links neighbours to the smallest one around, so that the number of
-    edges never grows and stars of any width are done in one round. A round is written to the shared folder.
+    edges never grows and stars of any width are done in one round. A round is written to the shared folder. The
+    rounds end when every edge leads to a root: no node with a smaller neighbour is anyone's smallest.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    now = packed(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
+        parents = now.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        rooted = parents.where("n > 1").isEmpty() and now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+        if rooted:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b"))
-        # Nodes without a larger neighbour keep their edge to the least one.
-        large = large.where("a <> b").distinct()
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = cut(small.distinct())
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if seen == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
-        state = seen
+        now = packed(small.distinct())

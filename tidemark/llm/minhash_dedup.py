@@ -5,8 +5,9 @@ MinHash values give each class its band buckets, and are folded into an odd sket
 flips one bit, so that the XOR of two bitmaps counts the samples in which the sets differ. At the least similarity
 of 0.8 two sets share no band with a probability of 5e-8.
 
-1. In each bucket every class is tried against the bucket's smallest class (its pivot): a star, not all pairs.
-2. Pairs whose sketches' XOR population count allows the similarity are confirmed on the full sets.
+1. In each bucket every class is tried against one class drawn from it (its pivot): a star, not all pairs.
+2. Pairs whose sketches' XOR population counts allow the similarity are confirmed on the full sets. A second bitmap,
+   of the whole set instead of its samples, sharpens the test for sets of up to a few thousand.
 3. Classes of one bucket that are still in different components are tried against each other, the sketch test
    standing inside the join's condition, so that only promising pairs leave it; they are confirmed likewise.
 
@@ -28,13 +29,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, only, sized_slices, table
+from .common import cut, only, saved, sized_slices, table
 from .components import components
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 16  # of 64 bits
 SKETCH_BITS = 64 * SKETCH_WORDS
+PIVOTS = 4
 
 _random = np.random.default_rng(2)
 MULTIPLY = _random.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -93,44 +95,58 @@ def odd_sketch(samples: np.ndarray) -> np.ndarray:
 
 
 def most_differing_bits(similarity: float) -> int:
-    """XOR population count that sets of this similarity exceed with a probability of about 1e-9."""
-    least = similarity - 6 * math.sqrt(similarity * (1 - similarity) / SAMPLES)
+    """XOR population count that sets of this similarity exceed once in some 1e5 pairs."""
+    least = similarity - 4.5 * math.sqrt(similarity * (1 - similarity) / SAMPLES)
     differ = 2 * SAMPLES * (1 - max(0.0, least))
-    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-2 * differ / SKETCH_BITS)) + 6 * math.sqrt(differ) / 4)
+    return math.ceil(SKETCH_BITS / 2 * (1 - math.exp(-2 * differ / SKETCH_BITS)))
+
+
+def parity(values: np.ndarray) -> np.ndarray:
+    """The odd sketch of a whole set: sets of a few thousand differ in it by about what they differ."""
+    odd = (np.bincount((mix(values) % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (of the whole set), bands and sketch of each row."""
+    """doc_id, n_shingles, set_key (of the whole set), bands, sketch and parity of each row."""
 
     def rows(batches):
+        none = [0] * SKETCH_WORDS
         for piece in sized_slices(batches, "text"):
-            n, key, bands, sketch = [], [], [], []
+            out = []
             for text in piece.column("text").to_pylist():
                 s = shingles(text, words)
-                n.append(len(s))
-                key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 if not len(s):
-                    bands.append([])
-                    sketch.append([0] * SKETCH_WORDS)
+                    out.append((0, None, [], none, none))
                     continue
                 m = minhash(s)
-                sketch.append(odd_sketch(m).tolist())
                 of = mix(m.reshape(BANDS, ROWS) * POSITION[:ROWS]).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)
-                bands.append(mix(of).view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands", "sketch"],
-            )
+                out.append((len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), mix(of).view(np.int64).tolist(), odd_sketch(m).tolist(), parity(s).tolist()))
+            longs = pa.list_(pa.int64())
+            arrays = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), longs, longs, longs), strict=True)]
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), *arrays], ["doc_id", "n_shingles", "set_key", "bands", "sketch", "parity"])
+
+    return only(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, parity array<long>")
 
-    return only(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
+def differing(column: str, a: str, b: str) -> Column:
+    """XOR population count of a bitmap column of two rows."""
+    return sum((F.bit_count(F.col(f"{a}.{column}")[i].bitwiseXOR(F.col(f"{b}.{column}")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
 
-def differing_bits(a: str, b: str) -> Column:
-    return sum((F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_WORDS)), F.lit(0))
 
+def promising(a: str, b: str, percent: int) -> Column:
+    """Whether the sketches of two rows allow the similarity; false for a pair that has it once in some 1e5 pairs."""
+    x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    # The most that sets of these sizes may differ, and five deviations of the parity count about its mean.
+    apart = (x + y) * ((100 - percent) / (100 + percent))
+    odd = SKETCH_BITS / 2 * (1 - F.exp(-2 * apart / SKETCH_BITS))
+    most = odd + 5 * F.sqrt(SKETCH_BITS / 4 * (1 - F.exp(-4 * apart / SKETCH_BITS)))
+    sizes = 100 * F.least(x, y) >= percent * F.greatest(x, y)
+    return sizes & (differing("sketch", a, b) <= most_differing_bits(percent / 100)) & (differing("parity", a, b) <= most)
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of doc_ids those whose full sets are similar enough."""
+
+def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) of doc_ids those whose full sets, from ``texts`` (doc_id, text), are similar enough."""
 
     def rows(batches):
         seen: dict[int, np.ndarray] = {}
@@ -145,10 +161,6 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
                     good.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    texts = only(docs, "doc_id", "text").where("doc_id IS NOT NULL")
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # A doc_id may stand in repeated rows: any one of them will do.
-    texts = texts.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long")
@@ -157,25 +169,25 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs`` (doc_id, text)."""
     signed = cut(signatures(docs, words))
-    most = most_differing_bits(percent / 100)
     sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("class"), F.count("*").alias("n"))
-    one = sets.join(classes.select("set_key", F.col("class").alias("doc_id")), ["set_key", "doc_id"], "left_semi")
-    one = one.dropDuplicates(["set_key", "doc_id"]).select(F.col("doc_id").alias("class"), "bands", "sketch")
-    one = cut(one)
+    chosen = classes.select(F.col("class").alias("doc_id"))
+    one = sets.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("class"), "n_shingles", "bands", "sketch", "parity")
 
     members = one.select("class", F.explode("bands").alias("bucket"))
-    pivots = members.groupBy("bucket").agg(F.min("class").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
+    # A group of copies meets in many buckets: pivots drawn anew for each make it unlikely that all are outliers.
+    draw = F.xxhash64("class", F.pmod("bucket", F.lit(PIVOTS)))
+    pivots = members.groupBy("bucket").agg(F.min(F.struct(draw.alias("at"), "class"))["class"].alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
     members = cut(members.join(pivots, "bucket"))
-    sketches = one.select("class", "sketch")
-    star = members.where("class <> pivot").select(F.col("class").alias("a"), F.col("pivot").alias("b")).distinct()
-
-    def promising(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sketches.select(F.col("class").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("class").alias("b"), F.col("sketch").alias("sb")), "b")
-        left, right = x.select("a", "b", F.struct(F.col("sa").alias("sketch")).alias("x"), F.struct(F.col("sb").alias("sketch")).alias("y")), None
-        return left.where(differing_bits("x", "y") <= most).select("a", "b")
-
-    links = cut(confirm(promising(star), docs, words, percent))
+    busy = members.select("class").distinct()
+    sketches = cut(one.join(busy, "class", "left_semi").select("class", "n_shingles", "sketch", "parity"))
+    texts = only(docs, "doc_id", "text").join(busy.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
+    texts = saved(texts.dropDuplicates(["doc_id"]))  # a doc_id may stand in repeated rows
+
+    star = members.where("class <> pivot").select(F.greatest("class", "pivot").alias("a"), F.least("class", "pivot").alias("b")).distinct()
+    of = lambda side: F.struct("n_shingles", "sketch", "parity").alias(side)
+    star = star.join(sketches.select(F.col("class").alias("a"), of("x")), "a").join(sketches.select(F.col("class").alias("b"), of("y")), "b")
+    links = cut(confirm(star.where(promising("x", "y", percent)).select("a", "b"), texts, words, percent))
     roots = components(links)
 
     # Members whose component isn't their pivot's, and all members of their buckets.
@@ -183,26 +195,28 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         .join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot"))
     )
-    placed = cut(placed.select("bucket", "class", "root", (F.col("root") != F.col("pivot_root")).alias("apart"), (F.col("class") == F.col("pivot")).alias("is_pivot")))
+    placed = placed.select("bucket", "class", "root", (F.col("root") != F.col("pivot_root")).alias("apart")).where("class <> pivot")
     apart = placed.where("apart")
-    # Tried against its pivot already; buckets of two need no more.
-    busy = placed.join(apart.select("bucket").distinct(), "bucket", "left_semi").where("NOT is_pivot")
-    x = apart.join(sketches, "class").alias("x")
-    y = busy.join(sketches, "class").alias("y")
-    # Of two members that stand apart the larger is x; all other members are y.
+    # The pivot has been tried against all; of a bucket without two others, or all of one component, nothing is left.
+    more = apart.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    others = placed.where("NOT apart").select("bucket").distinct().withColumn("some", F.lit(True))
+    more = more.join(others, "bucket", "left").where("some OR low <> high").select("bucket")
+    left = cut(placed.join(more, "bucket", "left_semi"))
+    x, y = left.where("apart").join(sketches, "class").alias("x"), left.join(sketches, "class").alias("y")
+    # Of two members that stand apart the larger is x; the rest are y.
     rest = x.join(
         y,
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.class") > F.col("y.class")) | ~F.col("y.apart")) & (differing_bits("x", "y") <= most),
+        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.class") > F.col("y.class")) | ~F.col("y.apart")) & promising("x", "y", percent),
     ).select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")).distinct()
-    more = cut(confirm(rest, docs, words, percent))
-    if not more.isEmpty():
-        roots = components(links.union(more))
+    found = cut(confirm(rest, texts, words, percent))
+    if not found.isEmpty():
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 
-    placed_sets = (
+    known = (
         classes.join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
         .where("n > 1 OR root IS NOT NULL").select("set_key", F.coalesce("root", "class").alias("root"))
     )
-    out = signed.select("doc_id", "n_shingles", "set_key").join(placed_sets, "set_key", "left")
+    out = signed.select("doc_id", "n_shingles", "set_key").join(known, "set_key", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
