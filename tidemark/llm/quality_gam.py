@@ -81,7 +81,7 @@ class Gam:
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Gam:
         share = y.mean() if len(y) else 0.5
-        if not 0 < share < 1:
+        if not len(y) or not 0 < share < 1:
             self.base = 20.0 * (2 * share - 1) if len(y) else 0.0
             return self
         self.base = float(np.log(share / (1 - share)))
