@@ -36,7 +36,6 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 16  # of 64 bits
 SKETCH_BITS = 64 * SKETCH_WORDS
-PIVOTS = 4
 
 _random = np.random.default_rng(2)
 MULTIPLY = _random.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -175,12 +174,12 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     one = sets.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("class"), "n_shingles", "bands", "sketch", "parity")
 
     members = one.select("class", F.explode("bands").alias("bucket"))
-    # A group of copies meets in many buckets: pivots drawn anew for each make it unlikely that all are outliers.
-    draw = F.xxhash64("class", F.pmod("bucket", F.lit(PIVOTS)))
+    # One order for all buckets: the members of a group meet the same few pivots in most of theirs.
+    draw = F.xxhash64("class")
     pivots = members.groupBy("bucket").agg(F.min(F.struct(draw.alias("at"), "class"))["class"].alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
     members = cut(members.join(pivots, "bucket"))
     busy = members.select("class").distinct()
-    sketches = cut(one.join(busy, "class", "left_semi").select("class", "n_shingles", "sketch", "parity"))
+    sketches = cut(one.join(busy, "class", "left_semi").select("class", "n_shingles", "bands", "sketch", "parity"))
     texts = only(docs, "doc_id", "text").join(busy.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
     texts = saved(texts.dropDuplicates(["doc_id"]))  # a doc_id may stand in repeated rows
 
@@ -203,10 +202,11 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     more = more.join(others, "bucket", "left").where("some OR low <> high").select("bucket")
     left = cut(placed.join(more, "bucket", "left_semi"))
     x, y = left.where("apart").join(sketches, "class").alias("x"), left.join(sketches, "class").alias("y")
-    # Of two members that stand apart the larger is x; the rest are y.
+    # Of two members that stand apart the larger is x; the rest are y. A pair counts in the first bucket that it shares.
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")
     rest = x.join(
         y,
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.class") > F.col("y.class")) | ~F.col("y.apart")) & promising("x", "y", percent),
+        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.class") > F.col("y.class")) | ~F.col("y.apart")) & promising("x", "y", percent) & once,
     ).select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")).distinct()
     found = cut(confirm(rest, texts, words, percent))
     if not found.isEmpty():
