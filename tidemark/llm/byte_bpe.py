@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import re
 import unicodedata
 
@@ -184,12 +185,15 @@ class ByteBpe:
             out[i] = self.merge_long(self.byte_id[np.frombuffer(pieces[i], np.uint8)])
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBER:
-            self.known.clear()
+    def learn(self, pieces: set[str]) -> dict[str, tuple[bytes, str]]:
+        if len(self.known) + len(pieces) > REMEMBER:  # frequent pieces came early: forget the later half
+            for p in list(itertools.islice(reversed(self.known), len(self.known) // 2)):
+                del self.known[p]
         new = list(pieces)
-        for p, ids in zip(new, self.encode_pieces([p.encode() for p in new]), strict=True):
-            self.known[p] = ids.astype("<u4").tobytes(), " ".join(map(str, ids.tolist()))
+        ids = self.encode_pieces([p.encode() for p in new])
+        fresh = {p: (x.astype("<u4").tobytes(), " ".join(map(str, x.tolist()))) for p, x in zip(new, ids, strict=True)}
+        self.known.update(fresh)
+        return fresh
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """For each text its ids, and the same as decimals joined by spaces."""
@@ -197,8 +201,8 @@ class ByteBpe:
         got = [list(map(self.known.get, pieces)) for pieces in cut]
         lacking = {p for pieces, have in zip(cut, got, strict=True) if None in have for p, x in zip(pieces, have, strict=True) if x is None}
         if lacking:
-            self.learn(lacking)
-            got = [[x or self.known[p] for p, x in zip(pieces, have, strict=True)] if None in have else have for pieces, have in zip(cut, got, strict=True)]
+            fresh = self.learn(lacking)
+            got = [[x or fresh[p] for p, x in zip(pieces, have, strict=True)] if None in have else have for pieces, have in zip(cut, got, strict=True)]
         out = []
         for have in got:
             ids, said = zip(*have, strict=True) if have else ((), ())

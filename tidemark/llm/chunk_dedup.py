@@ -84,8 +84,9 @@ def chunk_dedup(docs: DataFrame) -> DataFrame:
     recipes = named.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "id", "variant"))).alias("list"))
     recipes = recipes.select("row", F.transform("list", lambda x: F.struct(x["id"].alias("id"), x["variant"].alias("variant"))).alias("recipe"))
     whole = rows.select("row", "doc_id", "text_sha256", F.size("chunks").alias("n_chunks")).join(recipes, "row", "left")
-    whole = whole.withColumn("recipe", F.coalesce("recipe", F.array().cast("array<struct<id: bigint, variant: int>>")))
-    best = whole.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
+    whole = cut(whole.withColumn("recipe", F.coalesce("recipe", F.array().cast("array<struct<id: bigint, variant: int>>"))))
+    # Written, so that the join below deals both sides itself and can split the rows of a large group.
+    best = cut(whole.groupBy("recipe").agg(F.max(F.struct("doc_id", "row")).alias("best"), F.count("*").alias("group_size")).where("group_size > 1"))
     out = whole.join(best, "recipe", "left")
     return out.select(
         "doc_id",

@@ -5,10 +5,11 @@ MinHash values give each class its band buckets, and are folded into an odd sket
 flips one bit, so that the XOR of two bitmaps counts the samples in which the sets differ. At the least similarity
 of 0.8 two sets share no band with a probability of 5e-8.
 
-1. In each bucket every class is tried against one class drawn from it (its pivot): a star, not all pairs.
+1. In each bucket every class is tried against the one that meets most others (its pivot): a star, not all pairs.
 2. Pairs whose sketches' XOR population counts allow the similarity are confirmed on the full sets. A second bitmap,
    of the whole set instead of its samples, sharpens the test for sets of up to a few thousand.
-3. Classes of one bucket that are still in different components are tried against each other, the sketch test
+3. Those whose component isn't their pivot's are tried against a few more members of each bucket likewise.
+4. Classes of one bucket that are still in different components are tried against each other, the sketch test
    standing inside the join's condition, so that only promising pairs leave it; they are confirmed likewise.
 
 No link between different sets is lost but by the probabilities named. Nothing is collected.
@@ -36,6 +37,7 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 16  # of 64 bits
 SKETCH_BITS = 64 * SKETCH_WORDS
+DRAWN = 3
 
 _random = np.random.default_rng(2)
 MULTIPLY = _random.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -174,10 +176,12 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     one = sets.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("class"), "n_shingles", "bands", "sketch", "parity")
 
     members = one.select("class", F.explode("bands").alias("bucket"))
-    # One order for all buckets: the members of a group meet the same few pivots in most of theirs.
-    draw = F.xxhash64("class")
-    pivots = members.groupBy("bucket").agg(F.min(F.struct(draw.alias("at"), "class"))["class"].alias("pivot"), F.count("*").alias("n")).where("n > 1").select("bucket", "pivot")
-    members = cut(members.join(pivots, "bucket"))
+    members = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
+    # The pivot of a bucket is its most sociable member: in a group of copies the one nearest to all, not an outlier.
+    met = members.groupBy("class").agg(F.sum("n").alias("met"))
+    members = cut(members.join(met, "class").select("bucket", "class", "met"))
+    pivots = members.groupBy("bucket").agg(F.max(F.struct("met", F.xxhash64("class").alias("at"), "class"))["class"].alias("pivot"))
+    members = cut(members.join(pivots, "bucket").select("bucket", "class", "pivot"))
     busy = members.select("class").distinct()
     sketches = cut(one.join(busy, "class", "left_semi").select("class", "n_shingles", "bands", "sketch", "parity"))
     texts = only(docs, "doc_id", "text").join(busy.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
@@ -185,8 +189,12 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     star = members.where("class <> pivot").select(F.greatest("class", "pivot").alias("a"), F.least("class", "pivot").alias("b")).distinct()
     of = lambda side: F.struct("n_shingles", "sketch", "parity").alias(side)
-    star = star.join(sketches.select(F.col("class").alias("a"), of("x")), "a").join(sketches.select(F.col("class").alias("b"), of("y")), "b")
-    links = cut(confirm(star.where(promising("x", "y", percent)).select("a", "b"), texts, words, percent))
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        x = pairs.join(sketches.select(F.col("class").alias("a"), of("x")), "a").join(sketches.select(F.col("class").alias("b"), of("y")), "b")
+        return x.where(promising("x", "y", percent)).select("a", "b")
+
+    links = cut(confirm(sketched(star), texts, words, percent))
     roots = components(links)
 
     # Members whose component isn't their pivot's, and all members of their buckets.
@@ -194,7 +202,16 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         members.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
         .join(roots.select(F.col("node").alias("pivot"), F.col("root").alias("pivot_root")), "pivot", "left").withColumn("pivot_root", F.coalesce("pivot_root", "pivot"))
     )
-    placed = placed.select("bucket", "class", "root", (F.col("root") != F.col("pivot_root")).alias("apart")).where("class <> pivot")
+    placed = cut(placed.where("class <> pivot").select("bucket", "class", "root", "pivot_root"))
+    # They are tried against a few more members, drawn anew for each bucket: most that link to anyone link to one of them.
+    draw = [F.min(F.struct(F.xxhash64("class", "bucket", F.lit(i)).alias("at"), "class", "root")) for i in range(DRAWN)]
+    drawn = placed.groupBy("bucket").agg(F.array(*draw).alias("drawn"))
+    tried = placed.where("root <> pivot_root").join(drawn, "bucket").select("class", "root", F.explode("drawn").alias("d")).where("root <> d.root")
+    tried = cut(tried.select("class", F.col("d.root").alias("to_root"), F.greatest("class", "d.class").alias("a"), F.least("class", "d.class").alias("b")).distinct())
+    second = cut(confirm(sketched(tried.select("a", "b").distinct()), texts, words, percent))
+    moved = tried.join(second, ["a", "b"]).groupBy("class").agg(F.min("to_root").alias("to_root"))
+    placed = placed.join(moved, "class", "left").withColumn("root", F.coalesce("to_root", "root"))
+    placed = placed.select("bucket", "class", "root", (F.col("root") != F.col("pivot_root")).alias("apart"))
     apart = placed.where("apart")
     # The pivot has been tried against all; of a bucket without two others, or all of one component, nothing is left.
     more = apart.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
@@ -209,6 +226,7 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
         (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.class") > F.col("y.class")) | ~F.col("y.apart")) & promising("x", "y", percent) & once,
     ).select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")).distinct()
     found = cut(confirm(rest, texts, words, percent))
+    found = found.union(second)
     if not found.isEmpty():
         roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 

@@ -17,7 +17,9 @@ in one segment; repeated rows are written one after another; rows with a null do
 
 from __future__ import annotations
 
+import array
 import functools
+import itertools
 import re
 import struct
 import unicodedata
@@ -34,26 +36,28 @@ from .common import ensure_checkpoint_dir, only, sized_slices, table
 BLOCK = 4096
 PERCENTILE = 0.97
 SEGMENT_IDS = 1 << 18
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 MAGIC = b"PFR1"
 NULL_ID = -(2**63)
+#: White space to Python, but not to the tokenizer.
+CONTROL = re.compile("[\x1c-\x1f]")
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
     """``width`` low bits of each value, one after another; whole bytes need no shuffling of bits."""
+    if width in WHOLE:
+        return values.astype(WHOLE[width]).tobytes()
     octets = values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : (width + 7) // 8]
-    if width % 8 == 0:
-        return octets.tobytes()
     return np.packbits(np.unpackbits(np.ascontiguousarray(octets), axis=1, bitorder="little")[:, :width].ravel(), bitorder="little").tobytes()
 
 
 def unpack(data: np.ndarray, width: int, n: int) -> np.ndarray:
+    if width in WHOLE:
+        return data.view(WHOLE[width])[:n].astype(np.uint32)
+    bits = np.zeros((n, (width + 7) // 8 * 8), np.uint8)
+    bits[:, :width] = np.unpackbits(data, bitorder="little")[: n * width].reshape(n, width)
     octets = np.zeros((n, 4), np.uint8)
-    if width % 8 == 0:
-        octets[:, : width // 8] = data.reshape(n, width // 8)
-    else:
-        bits = np.zeros((n, (width + 7) // 8 * 8), np.uint8)
-        bits[:, :width] = np.unpackbits(data, bitorder="little")[: n * width].reshape(n, width)
-        octets[:, : (width + 7) // 8] = np.packbits(bits, axis=1, bitorder="little")
+    octets[:, : (width + 7) // 8] = np.packbits(bits, axis=1, bitorder="little")
     return octets.view("<u4").ravel()
 
 
@@ -61,6 +65,8 @@ def encode_block(ids: np.ndarray) -> bytes:
     low = int(ids.min())
     rest = ids - np.uint32(low)
     width = int(np.partition(rest, k := min(len(rest) - 1, int(PERCENTILE * len(rest))))[k]).bit_length()
+    if width + 1 in WHOLE:  # a bit more, but whole bytes
+        width += 1
     out = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
     values = rest[out]
     rest[out] = 0
@@ -106,6 +112,13 @@ def read_ids(data: bytes, start: int, end: int) -> np.ndarray:
     return np.concatenate([decode_block(view[base + int(offsets[b]) :]) for b in range(first, last + 1)])[start - first * BLOCK : end - first * BLOCK]
 
 
+def drop_late(known: dict, most: int) -> None:
+    """Where there are more than ``most`` entries, forget the later half: frequent pieces came early."""
+    if len(known) > most:
+        for key in list(itertools.islice(reversed(known), len(known) - max(0, most // 2))):
+            del known[key]
+
+
 class CachedEncoder:
     """Ids of whole texts by the library, asked once for each piece of letters, digits or symbols.
 
@@ -114,7 +127,7 @@ class CachedEncoder:
     token's string could stand, go to the library whole.
     """
 
-    REMEMBER = 400_000
+    WORDS, PARTS = 300_000, 600_000
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -128,27 +141,34 @@ class CachedEncoder:
         self.parts: dict[str, bytes] = {}
 
     def by_library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [bool(self.whole_only.search(t)) for t in texts]
-        words = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
-        got = [list(map(self.words.get, x)) for x in words]
-        lacking = {w for x, have in zip(words, got, strict=True) if None in have for w, h in zip(x, have, strict=True) if h is None}
-        if lacking:
-            if len(self.words) + len(lacking) > self.REMEMBER:
-                self.words.clear()
-            parts = {w: self.part.findall(w) for w in lacking}
+        return [array.array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-cased words without white space."""
+        got = list(map(self.words.get, words))
+        if None in got:
+            places = [i for i, x in enumerate(got) if x is None]
+            parts = {w: self.part.findall(w) for w in {words[i] for i in places}}
             new = list({p for x in parts.values() for p in x if p not in self.parts})
-            if len(self.parts) + len(new) > self.REMEMBER:
-                self.parts.clear()
-                new = list({p for x in parts.values() for p in x})
             self.parts.update(zip(new, self.by_library(new), strict=True))
-            fresh = {w: b"".join([self.parts[p] for p in x]) for w, x in parts.items()}
+            fresh = {w: self.parts[x[0]] if len(x) == 1 else b"".join([self.parts[p] for p in x]) for w, x in parts.items()}
+            for i in places:
+                got[i] = fresh[words[i]]
+            drop_late(self.words, self.WORDS - len(fresh))
             self.words.update(fresh)
-            got = [[fresh[w] if h is None else h for w, h in zip(x, have, strict=True)] if None in have else have for x, have in zip(words, got, strict=True)]
+            drop_late(self.parts, self.PARTS)
+        return got
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        whole = [("<|" in t) if t.isascii() and not CONTROL.search(t) else bool(self.whole_only.search(t)) for t in texts]
+        words = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
+        got = self.of_words([w for x in words for w in x])
         asked = iter(self.by_library([t for t, w in zip(texts, whole, strict=True) if w]))
-        return [np.frombuffer(next(asked) if w else b"".join(have), "<u4") for w, have in zip(whole, got, strict=True)]
+        out, at = [], 0
+        for w, x in zip(whole, words, strict=True):
+            out.append(np.frombuffer(next(asked) if w else b"".join(got[at : at + len(x)]), "<u4"))
+            at += len(x)
+        return out
 
 
 @functools.lru_cache(2)
@@ -183,30 +203,29 @@ def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1)
     made.withColumn("row", F.monotonically_increasing_id()).write.mode("errorifexists").option("compression", "uncompressed").parquet(path)
 
 
-def read_segments(spark: SparkSession, path: str) -> DataFrame:
-    """The written segments, each with the number of ids before it."""
-    every = spark.read.parquet(path)
-    # Segment heads are a few bytes per quarter million ids: running totals inside each file's task, then over tasks.
-    heads = every.select("row", "n_ids", F.shiftright("row", 33).alias("task"))
-    tasks = heads.groupBy("task").agg(F.sum("n_ids").alias("n"))
-    tasks = tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
-    inside = heads.select("row", "task", (F.sum("n_ids").over(Window.partitionBy("task").orderBy("row")) - F.col("n_ids")).alias("within"))
-    starts = inside.join(tasks, "task").select("row", (F.col("before") + F.col("within")).alias("before"))
-    return every.join(starts, "row")
-
-
-def document_digests(read: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document in ``read`` (before, segment)."""
+def document_digests(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document in the files under ``path``."""
 
     def rows(batches):
         for piece in batches:
-            for before, data in zip(piece.column("before").to_pylist(), piece.column("segment").to_pylist(), strict=True):
+            for row, data in zip(piece.column("row").to_pylist(), piece.column("segment").to_pylist(), strict=True):
                 doc_ids, starts, _, _, n = segment_index(data)
                 ids = np.ascontiguousarray(read_ids(data, 0, n), "<u4")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=doc_ids == NULL_ID), pa.array(starts[:-1] + before, pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=doc_ids == NULL_ID), pa.array(np.full(len(doc_ids), row), pa.int64()), pa.array(starts[:-1], pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "row", "within", "n_tokens", "ids_crc32"])
+
+    every = spark.read.parquet(path)
+    read = every.select("row", "segment").mapInArrow(rows, "doc_id long, row long, within long, n_tokens long, ids_crc32 long")
+    return read.join(segment_starts(every), "row").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+
 
-    return read.select("before", "segment").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def segment_starts(every: DataFrame) -> DataFrame:
+    """(row, before): the number of ids before each segment, from the segments' heads alone."""
+    heads = every.select("row", "n_ids", F.shiftright("row", 33).alias("task"))
+    tasks = heads.groupBy("task").agg(F.sum("n_ids").alias("n"))
+    tasks = tasks.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("ahead"))
+    inside = heads.select("row", "task", (F.sum("n_ids").over(Window.partitionBy("task").orderBy("row")) - F.col("n_ids")).alias("within"))
+    return inside.join(tasks, "task").select("row", (F.col("ahead") + F.col("within")).alias("before"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,4 +233,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{ensure_checkpoint_dir(spark)}/token_ids_{uuid.uuid4().hex}"
     write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    return document_digests(read_segments(spark, path))
+    return document_digests(spark, path)

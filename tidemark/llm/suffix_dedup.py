@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import only, sized_slices, table
+from .common import cut, only, sized_slices, table
 
 GRAM = 32
 LEAST = 100
@@ -457,7 +457,8 @@ def suffix_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     buckets = bucket_count(docs)
     named = docs.where("doc_id IS NOT NULL")
     hashed = named.select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("h"))
-    first = hashed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
+    # Written, so that the join deals both sides itself and can split the rows of a large group.
+    first = cut(hashed.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first"))
     copies = hashed.join(first, "h").where("doc_id > first").select("doc_id").distinct().withColumn("is_copy", F.lit(True))
     base = named.join(copies, "doc_id", "left")
 
