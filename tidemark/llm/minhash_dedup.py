@@ -138,10 +138,12 @@ def differing(column: str, a: str, b: str) -> Column:
 def promising(a: str, b: str, percent: int) -> Column:
     """Whether the sketches of two rows allow the similarity; false for a pair that has it once in some 1e5 pairs."""
     x, y = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    # The most that sets of these sizes may differ, and five deviations of the parity count about its mean.
+    # The most that sets of these sizes may differ; no more bits can. As bits that are hit twice cancel, fewer do:
+    # five deviations above their mean, by the exact variance for that many items thrown into the bitmap.
     apart = (x + y) * ((100 - percent) / (100 + percent))
     odd = SKETCH_BITS / 2 * (1 - F.exp(-2 * apart / SKETCH_BITS))
-    most = odd + 5 * F.sqrt(SKETCH_BITS / 4 * (1 - F.exp(-4 * apart / SKETCH_BITS)))
+    spread = F.greatest(F.lit(1.0), SKETCH_BITS / 4 * (1 - F.exp(-4 * apart / SKETCH_BITS)) - apart * F.exp(-4 * apart / SKETCH_BITS))
+    most = F.least(apart + 1e-6, odd + 5 * F.sqrt(spread))
     sizes = 100 * F.least(x, y) >= percent * F.greatest(x, y)
     return sizes & (differing("sketch", a, b) <= most_differing_bits(percent / 100)) & (differing("parity", a, b) <= most)
 
