@@ -268,6 +268,38 @@ def test_url_templates_learn(spark):
     assert found[41] == ("/shop/*/view.html", "block") and found[40] == ("/docs/*/view.html", "allow") and found[110] == ("/*/x", "allow")
 
 
+def test_url_templates_inner_branches_and_depth(spark):
+    rows, labels = [], []
+
+    def put(path, n, bad=None):
+        for _ in range(n):
+            rows.append((len(rows), f"http://{path}/{1000 + len(rows)}"))
+            if bad is not None:
+                labels.append((len(rows) - 1, bad))
+
+    put("spam.example/en/a", 4, 1), put("spam.example/fr/b", 4, 1), put("spam.example/it/c", 4)
+    put("good.example/en/a", 20, 0), put("good.example/fr/b", 4)
+    put("mixed.example/x/deep/er/than/four/bad", 20, 1), put("mixed.example/x/deep/er/than/four/fine", 20, 0), put("mixed.example/x/deep/er/than/four/new", 5)
+    put("mixed.example/x/deep/er/than/four/bad", 5), put("few.example/en", 4, 1), put("few.example/fr", 2)
+    pages = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = url_templates.url_filter(pages, [], spark.createDataFrame(labels, "page_id bigint, bad int")).collect()
+    assert len(got) == len(rows)
+    verdicts = {}
+    for r in got:
+        verdicts.setdefault((r.host.split(".")[0], r.template), set()).add(r.verdict)
+    deep = "/x/deep/er/than/four"
+    assert verdicts == {
+        ("spam", "/en/a/*"): {"block"}, ("spam", "/fr/b/*"): {"block"}, ("spam", "/it/c/*"): {"block"}, ("good", "/en/a/*"): {"allow"}, ("good", "/fr/b/*"): {"allow"},
+        ("mixed", f"{deep}/bad/*"): {"block"}, ("mixed", f"{deep}/fine/*"): {"allow"}, ("mixed", f"{deep}/new/*"): {"allow"}, ("few", "/en/*"): {"allow"}, ("few", "/fr/*"): {"allow"},
+    }
+
+
+def test_url_without_a_rule_is_blocked_by_its_tree(spark):
+    rows = [(i, f"http://a.com/{'en' if i < 20 else 'fr'}/{i}") for i in range(25)] + [(100 + i, f"http://b.net/{'de' if i < 20 else 'fr'}/{i}") for i in range(25)]
+    got = url_templates.url_filter(spark.createDataFrame(rows, "page_id bigint, url string"), url_templates.RULES).where("rule IS NULL").collect()
+    assert {r.page_id: r.verdict for r in got} == {**{i: "block" for i in range(20, 25)}, **{100 + i: "allow" for i in range(20, 25)}}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

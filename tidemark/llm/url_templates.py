@@ -1,9 +1,15 @@
 """URL filter by a tree of path templates.
 
 Paths are cut into segments. Level by level, for each host, a segment becomes a wildcard where it is variable: made of
-digits or hexadecimals, or one of many rare ones under its parent. Sibling branches whose labelled rates don't differ
-by a two-proportion test are merged into one template. A template is rejected when its labelled purity, smoothed
-towards the share of bad labels overall, is high enough; urls of rejected templates are blocked.
+digits or hexadecimals, or one of many rare ones under its parent. Levels are walked while some branch holds more than
+``most_children`` different paths; in smaller ones no segment can be one of many, so the rest of a path is settled at once
+and paths keep all their segments.
+
+Every prefix of a template is a node of its host's tree and counts the labels of all pages below it. Siblings at every
+level, inner ones too, are put in order of their labelled rates, and each joins the group before it unless the two
+proportions differ. A node has the smoothed rate of its group: towards the rate of its parent, at the host towards the
+share of bad labels overall. Nodes whose group has fewer than ``least`` labels, or none, back off to their parent's rate.
+Urls of templates with a high enough rate are blocked; hosts with fewer than ``least`` labels aren't judged.
 
 Templates are counted with grouping and partial sums, level by level, so that a host of any size is spread by its
 segments, and only counts of (host, template) meet.
@@ -12,18 +18,19 @@ Explicit rules ("host/path") come before templates: a rule fits its host and all
 the rule's path, and the longest rule wins. The rules are a short list that is part of the program.
 
 Results for odd input: no rows in, no rows out; a null url and one without "://" have an empty host and path and get the
-verdict of no template, allow; long urls keep ``DEPTH`` segments in their template; repeated rows count each; a null
-page_id stays null.
+verdict of no template, allow; long urls keep all segments in their template; repeated rows count each; a null page_id
+stays null.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, only, table
 
-DEPTH = 4
 WILD = "*"
 #: A segment of the words [a-z_-] with an ending is what it is; digits and hexadecimals vary.
 VARIABLE = r"^(\d+|[0-9a-f]{8,}|[0-9a-f-]{32,}|.*\d{3,}.*)(\.\w{1,5})?$"
@@ -47,30 +54,80 @@ def match_rules(host: Column, path: Column, rules: list[tuple[str, str]]) -> tup
 
 def templates(urls: DataFrame, rare: float = 0.02, most_children: int = 30) -> DataFrame:
     """Adds template to ``urls`` (host, path, ...): segments joined by "/", variable ones as wildcards."""
+    plain = lambda s: F.when(s.rlike(VARIABLE), F.lit(WILD)).otherwise(s)
     parts = F.filter(F.split("path", "/"), lambda s: s != "")
-    x = urls.withColumn("_parts", parts).withColumn("template", F.lit(""))
-    for level in range(DEPTH):
-        segment = F.get("_parts", F.lit(level))
-        x = x.withColumn("_next", F.when(segment.isNull(), F.lit(None)).when(segment.rlike(VARIABLE), F.lit(WILD)).otherwise(segment))
+    paths = urls.groupBy("host", "path").agg(F.count("*").alias("n"))
+    x = cut(paths.withColumn("_parts", F.transform(parts, plain)).withColumn("template", F.lit("")))
+    told, level = [], 0
+    while not x.isEmpty():
+        x = x.withColumn("_next", F.get("_parts", F.lit(level)))
         # Literal branches: those under parents with few children, or with a share of their own.
-        children = x.where(F.col("_next").isNotNull() & (F.col("_next") != WILD)).groupBy("host", "template", "_next").agg(F.count("*").alias("n"))
+        literal = F.col("_next") != WILD
+        children = x.where(F.col("_next").isNotNull()).groupBy("host", "template", "_next").agg(F.sum("n").alias("n"), F.count("*").alias("paths"))
         parent = Window.partitionBy("host", "template")
-        children = children.withColumn("_many", F.count("*").over(parent)).withColumn("_all", F.sum("n").over(parent))
-        loose = children.where((F.col("_many") > most_children) & (F.col("n") < rare * F.col("_all"))).select("host", "template", "_next", F.lit(True).alias("_loose"))
-        x = x.join(loose, ["host", "template", "_next"], "left")
+        children = children.withColumn("_many", F.count(F.when(literal, 1)).over(parent)).withColumn("_all", F.sum(F.when(literal, F.col("n"))).over(parent))
+        busy = children.withColumn("_paths", F.sum("paths").over(parent)).where(F.col("_paths") > most_children)
+        loose = literal & (F.col("_many") > most_children) & (F.col("n") < rare * F.col("_all"))
+        x = cut(x.join(busy.select("host", "template", "_next", F.coalesce(loose, F.lit(False)).alias("_loose")), ["host", "template", "_next"], "left"))
+        rest = F.slice("_parts", F.lit(level + 1), F.greatest(F.size("_parts") - level, F.lit(0)))
+        told.append(x.where("_loose IS NULL").select("host", "path", F.concat("template", F.array_join(F.transform(rest, lambda s: F.concat(F.lit("/"), s)), "")).alias("template")))
         branch = F.when(F.col("_loose"), F.lit(WILD)).otherwise(F.col("_next"))
-        x = cut(x.withColumn("template", F.when(branch.isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), branch))).drop("_loose", "_next"))
-    return x.drop("_parts")
+        x = x.where("_loose IS NOT NULL").withColumn("template", F.concat("template", F.lit("/"), branch)).drop("_loose", "_next")
+        level += 1
+    if not told:
+        return urls.withColumn("template", F.lit(""))
+    return urls.join(reduce(DataFrame.union, told), ["host", "path"])
+
 
+def nodes(counts: DataFrame) -> DataFrame:
+    """(host, template, bad, labelled, level, node, parent): ``counts`` for each prefix of its template, the host at level 1."""
+    parts = F.split("template", "/")
+    name = lambda n: F.md5(F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    steps = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(i.alias("level"), name(i).alias("node"), name(i - 1).alias("parent")))
+    return counts.select(*counts.columns, F.inline(steps))
 
-def merged(counts: DataFrame, z: float = 1.96) -> DataFrame:
-    """Adds branch to ``counts`` (host, template, bad, labelled): siblings of like rates share their parent's wildcard."""
-    x = counts.withColumn("parent", F.regexp_replace("template", "[^/]*$", ""))
-    family = Window.partitionBy("host", "parent")
-    x = x.withColumn("rate", F.try_divide(F.sum("bad").over(family), F.sum("labelled").over(family)))
-    off = F.abs(F.col("bad") - F.col("labelled") * F.col("rate"))
-    alike = (F.col("labelled") > 0) & (off <= z * F.sqrt(F.col("labelled") * F.col("rate") * (1 - F.col("rate"))))
-    return x.withColumn("branch", F.when(alike, F.concat("parent", F.lit(WILD))).otherwise(F.col("template"))).drop("rate", "parent")
+
+def merged(tree: DataFrame, z: float = 1.96) -> DataFrame:
+    """host, level, node and the bad and labelled of its group: siblings whose labelled rates don't differ.
+
+    ``tree`` (host, level, parent, node, bad, labelled). A parent has few children that aren't wildcards, by ``templates``.
+    """
+    known = tree.where("labelled > 0")
+    sibling = F.struct((F.col("bad") / F.col("labelled")).alias("rate"), "node", "bad", "labelled")
+    family = known.groupBy("host", "level", "parent").agg(F.sort_array(F.collect_list(sibling)).alias("siblings"))
+    one = lambda bad, labelled, names: F.struct(bad.alias("bad"), labelled.alias("labelled"), names.alias("names"))
+
+    def put(groups: Column, s: Column) -> Column:
+        g = F.element_at(groups, -1)
+        bad, labelled = g["bad"] + s["bad"], g["labelled"] + s["labelled"]
+        rate = bad / labelled
+        alike = F.abs(s["rate"] - g["bad"] / g["labelled"]) <= z * F.sqrt(rate * (1 - rate) * (1 / g["labelled"] + 1 / s["labelled"]))
+        joined = F.concat(F.slice(groups, F.lit(1), F.size(groups) - 1), F.array(one(bad, labelled, F.concat(g["names"], F.array(s["node"])))))
+        return F.when(alike, joined).otherwise(F.concat(groups, F.array(one(s["bad"], s["labelled"], F.array(s["node"])))))
+
+    first = F.col("siblings")[0]
+    start = F.array(one(first["bad"], first["labelled"], F.array(first["node"])))
+    groups = F.aggregate(F.slice("siblings", F.lit(2), F.size("siblings")), start, put)
+    return family.select("host", "level", F.inline(groups)).select("host", "level", F.explode("names").alias("node"), "bad", "labelled")
+
+
+def rates(counts: DataFrame, least: int, strength: float) -> DataFrame:
+    """(host, template, rate) of ``counts`` (host, template, bad, labelled); hosts with fewer than ``least`` labels have no rows."""
+    overall = counts.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()
+    prior = overall["bad"] / overall["labelled"] if overall["labelled"] else 0.0
+    steps = nodes(counts)
+    groups = merged(steps.groupBy("host", "level", "parent", "node").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")))
+    groups = groups.where(F.col("labelled") >= least)
+    way = steps.select("host", "template", "level", "node").join(groups, ["host", "level", "node"])
+    way = way.groupBy("host", "template").agg(F.sort_array(F.collect_list(F.struct("level", "bad", "labelled"))).alias("way"))
+    none = F.struct(F.lit(prior).alias("rate"), F.lit(0).cast("long").alias("labelled"))
+
+    def step(above: Column, s: Column) -> Column:
+        # The same labels as above tell nothing new.
+        own = F.struct(((s["bad"] + strength * above["rate"]) / (s["labelled"] + strength)).alias("rate"), s["labelled"].alias("labelled"))
+        return F.when(s["labelled"] == above["labelled"], above).otherwise(own)
+
+    return way.select("host", "template", F.aggregate("way", none, step)["rate"].alias("rate"))
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame | None = None, purity: float = 0.8, least: int = 5, strength: float = 4.0) -> DataFrame:
@@ -88,14 +145,9 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str]], labels: DataFrame
         # Several labels of one page: any bad one counts.
         known = labels.where(labels["bad"].isin(0, 1)).groupBy("page_id").agg(F.max("bad").cast("int").alias("bad"))
         x = x.join(known, "page_id", "left")
-    x = templates(x)
+    x = cut(templates(x))
     counts = x.groupBy("host", "template").agg(F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("labelled"))
-    branches = cut(merged(counts))
-    overall = branches.agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).first()
-    prior = (overall["bad"] or 0) / overall["labelled"] if overall["labelled"] else 0.0
-    judged = branches.groupBy("host", "branch").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-    judged = judged.where((F.col("labelled") >= least) & ((F.col("bad") + strength * prior) / (F.col("labelled") + strength) >= purity)).select("host", "branch")
-    rejected = branches.join(judged, ["host", "branch"], "left_semi").select("host", "template", F.lit("block").alias("told"))
+    rejected = rates(cut(counts), least, strength).where(F.col("rate") >= purity).select("host", "template", F.lit("block").alias("told"))
     out = x.join(rejected, ["host", "template"], "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("said", "told", F.lit("allow")).alias("verdict"), "template")
 
