@@ -126,6 +126,51 @@ def test_suffix_spans_in_process(monkeypatch, hot):
             assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"]], r["doc_id"]
 
 
+def brute_repeats(docs, least):
+    """Maximal repeats by the definition, length by length."""
+    texts = {i: (t or "").encode() for i, t in docs.items()}
+    out, length = set(), least
+    now = [(i, j) for i, b in texts.items() for j in range(len(b) - least + 1)]
+    while now:
+        groups: dict[bytes, list] = {}
+        for i, j in now:
+            groups.setdefault(texts[i][j : j + length], []).append((i, j))
+        now = []
+        for text, places in groups.items():
+            if len(places) < 2:
+                continue
+            left = {texts[i][j - 1] if j else -1 for i, j in places}
+            right = {texts[i][j + length] if j + length < len(texts[i]) else -1 for i, j in places}
+            if all(len(x) > 1 or -1 in x for x in (left, right)):
+                out |= {(hashlib.sha256(text).hexdigest(), length, i, j) for i, j in places}
+            now += [(i, j) for i, j in places if j + length < len(texts[i])]
+        length += 1
+    return out
+
+
+@pytest.mark.parametrize(("hot", "parts"), [(2, 1), (32, 1), (32, 5), (1000, 3)])
+def test_repeats_are_maximal_whatever_is_hot(spark, monkeypatch, hot, parts):
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("abcdefgh é") for _ in range(n))
+    common, outer = text(300), [text(120), text(150)]
+    docs = {i: text(r.randint(20, 80)) + common + text(r.randint(20, 80)) for i in range(40)}
+    docs |= {i: text(30) + outer[0] + common + outer[1] + text(30) for i in (40, 41)}
+    docs |= {42: "ab" * 90, 43: outer[0], 44: outer[0] + "z", 45: docs[3], 46: None, 47: "", 48: common[:150] + text(40), 49: text(40) + common[150:] + common[:130]}
+    rows = [*docs.items(), (45, docs[45]), (None, common)]
+    # The workers take the value with the function, whose module isn't reloaded for each test.
+    find = suffix_dedup.find_anchors
+
+    def find_anchors(batches, least, buckets):
+        suffix_dedup.HOT = hot
+        return find(batches, least, buckets)
+
+    monkeypatch.setattr(suffix_dedup, "find_anchors", find_anchors)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts)
+    got = [tuple(x) for x in suffix_dedup.repeats(df).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == brute_repeats(docs, 100)
+
+
 def test_suffix_dedup_and_repeats(spark):
     docs = passages(5)
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")

@@ -10,9 +10,12 @@ anchors whose gram occurs more than once can repeat.
    are not sent again: they are repeats already.
 3. In each bucket, windows fall into classes of equal first ``least`` bytes. A class whose left neighbours all agree
    is contained in a repeat that begins further left and is skipped (left-extension diversity). For the rest the
-   suffixes are sorted, their common-prefix lengths give the interval tree by one scan with a stack, and every
-   interval is a maximal repeat with all its occurrences (``repeats``). Where two parts of an interval meet, the
-   later one's first suffix repeats an earlier text over the interval's length: those are the spans to remove.
+   suffixes are sorted and their common-prefix lengths give the interval tree by one scan with a stack. Where two
+   parts of an interval meet, the later one's first suffix repeats an earlier text over the interval's length: those
+   are the spans to remove.
+
+``repeats`` gives the maximal repeats with all their occurrences: from the windows of 2 it takes the runs of repeated
+windows, and builds the trees over the suffixes to the end of a run.
 
 Grams that stand often in one task's texts (``HOT``) are sent window by window under the window's own hash, so that a
 passage of any frequency is spread over buckets and its copies are folded before the shuffle. Texts that are equal
@@ -379,15 +382,96 @@ def bucket_spans(payloads: list[bytes], least: int) -> np.ndarray:
     return np.concatenate([*spans, np.array(more, SPAN)])
 
 
-def bucket_repeats(payloads: list[bytes], least: int):
-    """(repeat's bytes, places) of every maximal repeat among the windows of one bucket."""
-    groups: dict[int, list] = {}
-    for gram, window, doc, start in bucket_windows(payloads):
-        groups.setdefault(gram, []).append((window, (doc, start)))
-    for stretches, places in whole_groups(groups):
-        for suffixes, at in suffix_classes(stretches, places, least):
-            for length, left, right, _ in interval_tree(suffixes, at, least):
-                yield suffixes[left][:length], at[left : right + 1]
+def repeated_windows(batches, least: int):
+    """(doc_id, starts) of the windows that occur more than once: first and last of a run of starts, and whether a left neighbour may differ."""
+    for _, payloads in by_bucket(batches):
+        groups: dict[int, list] = {}
+        for gram, window, doc, start in bucket_windows(payloads):
+            groups.setdefault(gram, []).append((window, (doc, start)))
+        for stretches, places in whole_groups(groups):
+            size = np.array([len(s) for s in stretches])
+            n = size - least + 1
+            of = np.repeat(np.arange(len(n)), n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            byte = (np.cumsum(size) - size)[of] + at
+            text = b"".join(stretches)
+            before = np.where(at > 0, np.frombuffer(text, np.uint8)[byte - 1].astype(np.int16), -1)
+            doc = np.array([p[0] for p in places], np.int64)[of]
+            start = np.array([p[1] for p in places], np.int64)[of] + at
+            key = string_hashes(text, least)[byte]
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=~key[order][:1]))
+            count = np.diff(np.append(first, len(key)))
+            low, high = np.minimum.reduceat(before[order], first), np.maximum.reduceat(before[order], first)
+            diverse = np.repeat((low != high) | (low < 0), count)
+            more = np.repeat(count > 1, count)
+            doc, start, diverse = doc[order][more], start[order][more], diverse[more]
+            order = np.lexsort((start, doc))
+            doc, start, diverse = doc[order], start[order], diverse[order]
+            ends = np.flatnonzero((np.diff(doc) != 0) | (np.diff(start) != 1) | (np.diff(diverse.astype(np.int8)) != 0))
+            if len(doc):
+                a, b = np.append(0, ends + 1), np.append(ends, len(doc) - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(start[a]), pa.array(start[b]), pa.array(diverse[a])], ["doc_id", "first", "last", "diverse"])
+
+
+def diverse_windows(batches, least: int):
+    """(window's hash, left byte, doc_id, start) of the windows whose left neighbours may differ; left is -1 at a document's start."""
+    for batch in sized_slices(batches, "text", PIECE):
+        out: list[tuple] = []
+        for doc_id, text, runs in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "runs")), strict=True):
+            doc = text.encode()
+            for at in sorted({i for r in runs if r["diverse"] for i in range(r["first"], min(r["last"], len(doc) - least) + 1)}):
+                out.append((xxhash.xxh3_128_digest(doc[at : at + least]), doc[at - 1] if at else -1, doc_id, at))
+        kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["window", "left", "doc_id", "start"])
+
+
+def run_suffixes(batches, least: int, most: int = 8 << 20):
+    """(window's hash, suffix's hash, suffix, left, doc_id, start): from each start to the end of its run of repeated windows."""
+
+    def rows(out):
+        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["window", "suffix", "bytes", "left", "doc_id", "start"])
+
+    out: list[tuple] = []
+    total = 0
+    for batch in sized_slices(batches, "text", PIECE):
+        for doc_id, text, runs, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "runs", "starts")), strict=True):
+            doc, ends = text.encode(), []
+            for first, last in sorted((r["first"], r["last"]) for r in runs):
+                if ends and first <= ends[-1][1] + 1:
+                    ends[-1][1] = max(ends[-1][1], last)
+                else:
+                    ends.append([first, last])
+            i = 0
+            for at in sorted(i for i in set(starts) if i + least <= len(doc)):
+                while ends[i][1] < at:
+                    i += 1
+                suffix = doc[at : ends[i][1] + least]
+                out.append((xxhash.xxh3_128_digest(suffix[:least]), xxhash.xxh3_128_digest(suffix), suffix, doc[at - 1] if at else -1, doc_id, at))
+                total += len(suffix)
+                if total >= most:
+                    yield rows(out)
+                    out, total = [], 0
+    if out:
+        yield rows(out)
+
+
+def maximal_repeats(group: pa.Table, least: int) -> pa.Table:
+    """(window, suffix, repeat, length): maximal repeats among the distinct suffixes of one window, one row for each suffix in it."""
+    members = sorted(zip(*(group.column(c).to_pylist() for c in ("bytes", "suffix", "low", "high", "n")), strict=True))
+    # A suffix with several places stands twice, so that it meets itself.
+    ranked = [m for m in members for _ in range(m[4])]
+    suffixes = [m[0] for m in ranked]
+    out: list[tuple] = []
+    for length, left, right, _ in interval_tree(suffixes, [(i,) for i in range(len(suffixes))], least):
+        some = ranked[left : right + 1]
+        low = min(m[2] for m in some)
+        if low < 0 or low != max(m[3] for m in some):
+            name = hashlib.sha256(suffixes[left][:length]).hexdigest()
+            out += [(s, name, length) for s in dict.fromkeys(m[1] for m in some)]
+    window = group.column("window")[0].as_py()
+    return pa.table([pa.array([window] * len(out), pa.binary()), pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.int64())], ["window", "suffix", "repeat", "length"])
 
 
 def remove_spans(batches, least: int):
@@ -435,20 +519,27 @@ def windows_by_bucket(base: DataFrame, least: int, buckets: int, fold: bool) ->
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(repeat, length, doc_id, start): every maximal repeat around each anchor, with all its occurrences.
+    """(repeat, length, doc_id, start): every maximal repeat of at least ``least`` bytes, with all its occurrences.
 
-    A repeat longer than the windows of one anchor is told in parts, one for each anchor in it; parts of equal
-    occurrences follow one another in the documents.
+    Windows that occur more than once form runs in the documents, and a repeat lies within a run. Only starts whose
+    windows have different left neighbours can begin a maximal repeat: their suffixes, to the end of the run, meet by
+    first window. Equal suffixes are folded before, and occurrences joined to the intervals after, so that a passage of
+    any frequency is spread. Neither ``HOT`` nor the partitioning tells in the result. A run with a period has as many
+    maximal repeats as it is long, each with as many places, and takes time and room for them.
     """
-    base = only(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").withColumn("is_copy", F.lit(None).cast("boolean"))
-
-    def rows(batches):
-        for _, payloads in by_bucket(batches):
-            out = [(hashlib.sha256(text).hexdigest(), len(text), doc, start) for text, places in bucket_repeats(payloads, least) for doc, start in places]
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)], ["repeat", "length", "doc_id", "start"])
-
-    return windows_by_bucket(base, least, bucket_count(base), False).mapInArrow(rows, "repeat string, length long, doc_id long, start long").distinct()
+    base = only(docs, "doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").distinct().withColumn("is_copy", F.lit(None).cast("boolean"))
+    found = windows_by_bucket(base, least, bucket_count(base), False).mapInArrow(lambda b: repeated_windows(b, least), "doc_id long, first long, last long, diverse boolean")
+    runs = cut(found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "diverse")).alias("runs")))
+    texts = base.join(runs, "doc_id").select("doc_id", "text", "runs")
+    windows = cut(texts.mapInArrow(lambda b: diverse_windows(b, least), "window binary, left int, doc_id long, start long"))
+    diverse = windows.groupBy("window").agg(F.min("left").alias("low"), F.max("left").alias("high")).where("low < 0 OR low <> high")
+    starts = windows.join(diverse, "window", "left_semi").groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    kind = "window binary, suffix binary, bytes binary, left int, doc_id long, start long"
+    suffixes = cut(texts.join(starts, "doc_id").mapInArrow(lambda b: run_suffixes(b, least), kind))
+    place = F.struct("doc_id", "start")
+    apart = suffixes.groupBy("window", "suffix").agg(F.first("bytes").alias("bytes"), F.min("left").alias("low"), F.max("left").alias("high"), F.when(F.min(place) == F.max(place), 1).otherwise(2).alias("n"))
+    told = apart.groupBy("window").applyInArrow(lambda t: maximal_repeats(t, least), "window binary, suffix binary, repeat string, length long")
+    return told.join(suffixes.select("window", "suffix", "doc_id", "start"), ["window", "suffix"]).select("repeat", "length", "doc_id", "start").distinct()
 
 
 def suffix_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
