@@ -359,3 +359,57 @@ def test_pipeline(spark):
             texts = [r.text.encode().lower() for r in docs.collect()]
             assert len(texts) == len(set(texts))
     assert sizes[0] >= sizes[1] >= sizes[2] and sizes[3] == sizes[4]
+
+
+def test_pipeline_stages_by_brute_force(spark, monkeypatch):
+    """Each stage on ids that are null, shared by different texts, or repeated."""
+    from collections import Counter
+
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    import tiktoken
+
+    r = random.Random(8)
+    text = lambda n: " ".join(f"w{r.randrange(3000)}" for _ in range(n))
+    near = text(100)
+    rows = [(i, text(r.randint(5, 60)), "en", r.choice("abc"), 1) for i in range(60)]
+    rows += [(None, text(20), "en", "a", 1), (None, text(30), "en", "b", 1), (70, text(25), "en", "a", 1), (70, text(26), "en", "b", 1), (71, text(9), "en", "c", 1), (71, text(9), "en", "c", 1)]
+    rows += [rows[-1], (None, rows[3][1], "en", "c", 1), (72, near, "en", "a", 1), (72, near + " more", "en", "a", 1), (None, near + " less", "en", "a", 1)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame(rows, schema)
+
+    def scored(docs, labels):
+        return docs.select("doc_id", (F.size(F.split("text", " ")) >= 9).cast("int").alias("predicted"))
+
+    monkeypatch.setattr(corpus_pipeline.quality_gam, "quality", scored)
+    of = lambda df: Counter(tuple(x) for x in df.collect())
+    got = corpus_pipeline.good_quality(spark, docs, "/root/testdata/sf0.001")
+    assert of(got) == Counter(x for x in rows if len(x[1].split(" ")) >= 9)
+
+    single = corpus_pipeline.no_copies(spark, docs, "")
+    by_text = of(single.select("text"))
+    assert set(by_text.values()) == {1} and {t for (t,) in by_text} == {x[1] for x in rows} and set(of(single)) <= set(rows)
+
+    held = [tuple(x) for x in single.collect()]
+    single = spark.createDataFrame(held, schema)
+    groups = brute_components({i: x[1] for i, x in enumerate(held)}, 5)
+    group = {x[1]: groups[i][1] for i, x in enumerate(held)}
+    apart = corpus_pipeline.no_near_copies(spark, single, "")
+    kept = [tuple(x) for x in apart.collect()]
+    assert Counter(group[x[1]] for x in kept) == Counter(set(group.values())) and set(kept) <= set(held)
+
+    # The mix takes rows by their source's rate: each as often as the operator says of rows with ids of their own.
+    mixed = corpus_pipeline.mixed(spark, spark.createDataFrame(kept, schema), "")
+    numbers = {x.own: x.doc_id for x in corpus_pipeline.identified(spark.createDataFrame(kept, schema)).select(F.col("text").alias("own"), "doc_id").collect()}
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": [numbers[x[1]] for x in kept], "text": [x[1] for x in kept], "source": [x[3] for x in kept]}))
+    want = dict(con.execute(f"SELECT doc_id, copies FROM ({source_mix.SQL})").fetchall())
+    taken = of(mixed)
+    assert taken == Counter({x: n for x in kept if (n := want[numbers[x[1]]])})
+
+    p = tokenizer()
+    with open(p.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    told = Counter((x.doc_id, tuple(x.ids)) for x in corpus_pipeline.tokens(spark, mixed, "").collect())
+    assert told == Counter({(x[0], tuple(enc.encode(x[1]))): n for x, n in taken.items()})
