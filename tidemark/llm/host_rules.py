@@ -1,9 +1,17 @@
 """Quality rules by host, in DataFrame functions alone.
 
 Each text is measured once; rules on the measures tell which documents fail. Failures are counted by host (the
-documents' source), a beta prior is fitted to the hosts' rates by moments, each host's rate is drawn to it according to
-how few documents the host has, and the verdict on a host whose drawn rate exceeds ``most`` is joined back: its
-documents go, whatever they are themselves. Documents without a host are judged by themselves.
+documents' source), a beta prior is fitted to the hosts' rates of each rule by moments, and each host's rate is drawn to
+it according to how few documents the host has: its posterior mean and deviation. Two verdicts on a host are joined
+back to its documents:
+
+* rejected: the rate of some rule is above ``most`` even ``SURE`` deviations below its posterior mean. All documents of the
+  host go, whatever they are themselves; a small host isn't rejected by a few failures.
+* strict: the posterior mean of a rule is ``tolerated`` or more. Then documents of the host that fail this rule go; at hosts
+  where it hardly ever fails, a single failure is taken for an oddity and forgiven. A host of few documents has about
+  the prior's mean. The two base rules count everywhere.
+
+Documents without a host are judged by the base rules alone.
 
 Measures look at one text at a time and stay inside its row, so that no text and no host needs one task.
 
@@ -14,6 +22,7 @@ measured whole; repeated rows count each; a null doc_id stays null.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,12 +76,15 @@ RULES: dict[str, Column | str] = {
     "too_short": "n_words < 10",
     "repeats_itself": "100 * n_repeat_words > 20 * n_words",
 }
-#: Further rules counted by host only.
-HOST_RULES: dict[str, str] = RULES | {
+#: Rules that count where a host's verdict says so.
+SOFT_RULES: dict[str, str] = {
     "many_symbols": "n_symbols > n_words",
     "odd_word_length": "n_words > 0 AND (word_chars > 15 * n_words OR word_chars < 2 * n_words)",
     "repeated_lines": "n_dup_lines > 5 AND 10 * n_dup_lines > n_words",
 }
+HOST_RULES: dict[str, str] = RULES | SOFT_RULES
+#: Deviations below the posterior mean at which a rate is still above a bound with 95% probability.
+SURE = 1.645
 
 
 def beta_prior(hosts: DataFrame, rules: list[str]) -> dict[str, tuple[float, float]]:
@@ -87,16 +99,23 @@ def beta_prior(hosts: DataFrame, rules: list[str]) -> dict[str, tuple[float, flo
     return out
 
 
-def host_rules(docs: DataFrame, most: float = 0.5) -> DataFrame:
-    """doc_id, source, measures, base_failed, host_rate and kept of each row of ``docs`` (doc_id, text, source)."""
+def host_rules(docs: DataFrame, most: float = 0.5, tolerated: float = 0.01) -> DataFrame:
+    """doc_id, source, measures, base_failed, host_rate, rejected, strict and kept of each row of ``docs`` (doc_id, text, source).
+
+    host_rate is the largest posterior mean of the host's rules; strict lists the soft rules that count at the host.
+    """
     measured = cut(measures(docs))
     measured = measured.withColumn("base_failed", F.expr(" OR ".join(f"({r})" for r in RULES.values())))
     hosts = measured.where("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n"), *[F.count_if(F.expr(rule)).alias(name) for name, rule in HOST_RULES.items()])
-    prior = beta_prior(hosts, list(HOST_RULES))
-    drawn = [(F.col(r) + a) / (F.col("n") + a + b) for r, (a, b) in prior.items()]
-    verdicts = hosts.select("source", F.greatest(*drawn).alias("host_rate"))
+    drawn, surely = {}, []
+    for r, (a, b) in beta_prior(hosts, list(HOST_RULES)).items():
+        drawn[r] = (F.col(r) + a) / (F.col("n") + a + b)
+        surely.append(drawn[r] - SURE * F.sqrt(drawn[r] * (1 - drawn[r]) / (F.col("n") + a + b + 1)) > most)
+    strict = F.array_compact(F.array(*[F.when(drawn[r] >= tolerated, F.lit(r)) for r in SOFT_RULES]))
+    verdicts = hosts.select("source", F.greatest(*drawn.values()).alias("host_rate"), reduce(Column.__or__, surely).alias("rejected"), strict.alias("strict"))
     out = measured.join(verdicts, "source", "left")
-    return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("host_rate", F.lit(0.0)) <= most))
+    fails = reduce(Column.__or__, [F.array_contains("strict", r) & F.expr(rule) for r, rule in SOFT_RULES.items()])
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("rejected") | fails, F.lit(False)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +143,11 @@ long_ AS (
 h AS (SELECT source, rule, count(*) AS n, count(*) FILTER (WHERE bad) AS k FROM long_ WHERE source IS NOT NULL GROUP BY source, rule),
 mo AS (SELECT rule, least(greatest(avg(k / n), 1e-6), 1 - 1e-6) AS mean, var_pop(k / n) AS v FROM h GROUP BY rule),
 pr AS (SELECT rule, mean, least(greatest(mean * (1 - mean) / greatest(v, 1e-9) - 1, 2.0), 10000.0) AS strength FROM mo),
-hr AS (SELECT source, max((k + mean * strength) / (n + strength)) AS host_rate FROM h JOIN pr USING (rule) GROUP BY source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_rate, 0) <= 0.5 AS kept
+q AS (SELECT source, rule, n + strength AS size, (k + mean * strength) / (n + strength) AS rate FROM h JOIN pr USING (rule)),
+hr AS (SELECT source, bool_or(rate - 1.645 * sqrt(rate * (1 - rate) / (size + 1)) > 0.5) AS rejected, bool_or(rule = 'c' AND rate >= 0.01) AS c,
+         bool_or(rule = 'd' AND rate >= 0.01) AS d, bool_or(rule = 'e' AND rate >= 0.01) AS e FROM q GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(rejected OR (c AND n_symbols > n_words) OR (d AND n_words > 0 AND (word_chars > 15 * n_words OR word_chars < 2 * n_words))
+    OR (e AND n_dup_lines > 5 AND 10 * n_dup_lines > n_words), false) AS kept
 FROM f LEFT JOIN hr ON f.source = hr.source
 """
