@@ -6,13 +6,15 @@ executor's half-written files never count. A segment holds whole documents and h
 
     magic "PFR1", n_docs u32, n_ids u32, n_blocks u32
     n_docs x doc_id i64 | n_docs x document start u32 | n_blocks x block byte offset u32
-    blocks: minimum u32, width u8, n_ids u16, n_exceptions u16, packed ids, exception places u16, exception values u32
+    blocks: minimum u32, width u8, high size u8, n_ids u16, n_exceptions u16, packed ids, places u16, high parts
 
-In a block of up to ``BLOCK`` ids the minimum is subtracted and what is left is packed at the least width that holds a
-``PERCENTILE`` share of the ids; larger ones go whole into the exception list.
+In a block of up to ``BLOCK`` ids the minimum is subtracted and what is left is packed at the width that holds one of the
+``PERCENTILES`` of the ids: the one that makes the block smallest. Larger ids are patched: their low bits are packed like
+all others, and the exception list holds their places and their high parts, of one, two or four bytes.
 
 Results for odd input: no rows in, no rows out; null and empty texts have the end id alone; a text of any length stays
-in one segment; repeated rows are written one after another; rows with a null doc_id come first.
+in one segment; repeated rows are written one after another, those of one doc_id by a hash of their texts; rows with a
+null doc_id come first.
 """
 
 from __future__ import annotations
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, only, sized_slices, table
 
-BLOCK = 4096
-PERCENTILE = 0.97
+BLOCK = 2048
+PERCENTILES = (70, 80, 85, 90, 95, 97, 99, 100)
 SEGMENT_IDS = 1 << 18
 WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 MAGIC = b"PFR1"
@@ -45,6 +47,8 @@ CONTROL = re.compile("[\x1c-\x1f]")
 
 def pack(values: np.ndarray, width: int) -> bytes:
     """``width`` low bits of each value, one after another; whole bytes need no shuffling of bits."""
+    if not width:
+        return b""
     if width in WHOLE:
         return values.astype(WHOLE[width]).tobytes()
     octets = values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : (width + 7) // 8]
@@ -52,6 +56,8 @@ def pack(values: np.ndarray, width: int) -> bytes:
 
 
 def unpack(data: np.ndarray, width: int, n: int) -> np.ndarray:
+    if not width:
+        return np.zeros(n, np.uint32)
     if width in WHOLE:
         return data.view(WHOLE[width])[:n].astype(np.uint32)
     bits = np.zeros((n, (width + 7) // 8 * 8), np.uint8)
@@ -61,27 +67,56 @@ def unpack(data: np.ndarray, width: int, n: int) -> np.ndarray:
     return octets.view("<u4").ravel()
 
 
+HEAD = struct.Struct("<IBBHH")
+
+
+def byte_size(bits: int) -> int:
+    """Bytes of the least whole type that holds so many bits."""
+    return 1 if bits <= 8 else 2 if bits <= 16 else 4
+
+
+def chosen_width(rest: np.ndarray) -> tuple[int, int]:
+    """Width to pack at and bytes of a high part: of the percentiles the one that makes the block smallest."""
+    ordered = np.sort(rest)
+    n, top = len(ordered), int(ordered[-1]).bit_length()
+    best = None
+    for p in PERCENTILES:
+        width = int(ordered[(n - 1) * p // 100]).bit_length()
+        n_out = n - int(np.searchsorted(ordered, 1 << width)) if width < 32 else 0
+        high = byte_size(top - width)
+        cost = (n * width + 7) // 8 + n_out * (2 + high)
+        if best is None or cost < best[0]:
+            best = cost, width, high
+    return best[1], best[2]
+
+
 def encode_block(ids: np.ndarray) -> bytes:
     low = int(ids.min())
     rest = ids - np.uint32(low)
-    width = int(np.partition(rest, k := min(len(rest) - 1, int(PERCENTILE * len(rest))))[k]).bit_length()
-    if width + 1 in WHOLE:  # a bit more, but whole bytes
-        width += 1
+    width, high = chosen_width(rest)
     out = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-    values = rest[out]
-    rest[out] = 0
-    return struct.pack("<IBHH", low, width, len(ids), len(out)) + pack(rest, width) + out.astype("<u2").tobytes() + values.astype("<u4").tobytes()
+    parts = rest[out] >> np.uint32(width) if len(out) else np.zeros(0, np.uint32)
+    head = HEAD.pack(low, width, high, len(ids), len(out))
+    return head + pack(rest & np.uint32((1 << width) - 1), width) + out.astype("<u2").tobytes() + parts.astype(f"<u{high}").tobytes()
 
 
 def decode_block(data: memoryview) -> np.ndarray:
-    low, width, n, n_out = struct.unpack_from("<IBHH", data)
-    at, size = 9, (n * width + 7) // 8
+    low, width, high, n, n_out = HEAD.unpack_from(data)
+    at, size = HEAD.size, (n * width + 7) // 8
     ids = unpack(np.frombuffer(data, np.uint8, size, at), width, n)
     at += size
-    ids[np.frombuffer(data, "<u2", n_out, at)] = np.frombuffer(data, "<u4", n_out, at + 2 * n_out)
+    if n_out:
+        ids[np.frombuffer(data, "<u2", n_out, at)] |= np.frombuffer(data, f"<u{high}", n_out, at + 2 * n_out).astype(np.uint32) << np.uint32(width)
     return ids + np.uint32(low)
 
 
+def block_shapes(data: bytes) -> list[tuple[int, int, int]]:
+    """Width, ids and exceptions of each block of a segment, from the blocks' heads."""
+    _, _, offsets, base, _ = segment_index(data)
+    heads = [HEAD.unpack_from(data, base + int(o)) for o in offsets]
+    return [(width, n, n_out) for _, width, _, n, n_out in heads]
+
+
 def encode_segment(doc_ids: list[int], docs: list[np.ndarray]) -> bytes:
     starts = np.cumsum([0, *map(len, docs)])[:-1]
     ids = np.concatenate(docs).astype(np.uint32) if docs else np.zeros(0, np.uint32)
@@ -198,7 +233,9 @@ def segments(batches, tokenizer_file: str, end_id: int):
 
 def write_ids(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = 1) -> None:
     """Encode ``docs`` (doc_id, text), in ascending doc_id order, into files of segments under ``path``."""
-    ordered = only(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The text's hash deals rows that share a doc_id, or have none, over tasks.
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = only(docs, "doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     made = ordered.mapInArrow(lambda b: segments(b, tokenizer_file, end_id), "first_doc long, last_doc long, n_ids long, segment binary")
     made.withColumn("row", F.monotonically_increasing_id()).write.mode("errorifexists").option("compression", "uncompressed").parquet(path)
 
