@@ -242,6 +242,20 @@ def test_mix_meets_targets(spark):
     assert got.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
 
 
+def test_mix_of_blank_documents_and_odd_ids(spark):
+    rows = [(i, " " if i % 2 else "w " * 9, "a") for i in range(50)] + [(None, "x " * (i % 7), "b") for i in range(60)] + [(1000, "y y y", None)] + [(2000 + i, "", "c") for i in range(3)]
+    got = source_mix.mix_sources(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert len(got) == len(rows) and all(r.copies == 0 for r in got if not r["size"]) and all(r.target == 0 for r in got if r.source == "c")
+    assert sum({r.source: r.target for r in got}.values()) == pytest.approx(sum(r["size"] for r in got))
+
+
+def test_sources_in_order_of_code_point(spark):
+    names = [None, "", "A", "a", "aa", "é", "\uffee", "\U0001f600", *[f"s{i:03}" for i in range(200)]]
+    df = spark.createDataFrame([(n,) for n in names], "source string").repartition(7)
+    got = {r.source: r["at"] for r in source_mix.numbered(df).collect()}
+    assert got == {n: i for i, n in enumerate([*sorted(x.encode() for x in names if x is not None), None]) for n in [n.decode() if n is not None else None]}
+
+
 def test_blocks_round_trip():
     r = np.random.default_rng(2)
     for ids in (np.zeros(0, np.uint32), np.array([7], np.uint32), r.integers(0, 50_000, 20_000).astype(np.uint32), np.where(r.random(9000) < 0.01, 2**32 - 1, r.integers(5, 900, 9000)).astype(np.uint32)):
@@ -250,6 +264,28 @@ def test_blocks_round_trip():
         assert pfor_store.segment_index(data)[1].tolist() == [0, min(100, len(ids)), len(ids)]
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_blocks_of_real_documents_are_patched(sf):
+    docs = duckdb.sql(f"SELECT doc_id, text FROM '/root/testdata/{sf}/documents.parquet' ORDER BY doc_id").fetchall()
+    ids = pfor_store.encoder(tokenizer().path("word_bpe_49k.json")).encode([t or "" for _, t in docs])
+    data = pfor_store.encode_segment([d for d, _ in docs], ids)
+    n, shapes = sum(map(len, ids)), pfor_store.block_shapes(data)
+    assert (pfor_store.read_ids(data, 0, n) == np.concatenate(ids)).all()
+    assert len({w for w, _, _ in shapes}) > 2 and sum(e > 0 for _, _, e in shapes) > len(shapes) / 2
+    assert len(data) / n < 2
+    for (width, m, n_out), at in zip(shapes, range(0, n, pfor_store.BLOCK), strict=True):
+        block = np.concatenate(ids)[at : at + m]
+        assert n_out == int((block - block.min() >= 2**width).sum())
+
+
+def test_token_files_of_one_doc_id(spark, tmp_path):
+    rows = [(7, f"text {i}") for i in range(40)] + [(None, f"none {i}") for i in range(40)] + [(8, "last"), (6, "early")]
+    for parts in (1, 5):
+        pfor_store.write_ids(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(parts), str(tmp_path / str(parts)), tokenizer().path("word_bpe_49k.json"))
+    a, b = (sorted(map(str, pfor_store.document_digests(spark, str(tmp_path / p)).collect())) for p in "15")
+    assert len(a) == len(rows) and a == b
+
+
 def test_token_files(spark, odd, tmp_path):
     from tokenizers import Tokenizer
 
@@ -290,6 +326,83 @@ def test_held_out_accuracy(spark, module, label, least):
     assert (held.predicted == held[label]).mean() >= least
 
 
+def test_a_repeated_labelled_row_counts_once(spark):
+    from tidemark.llm.common import crc_fold, labelled_sample
+    from pyspark.sql import functions as F
+
+    docs = spark.range(5000).select(F.when(F.col("id") < 4000, 3).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("a b c "), F.col("id").cast("string")).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).distinct()
+    fitted = []
+    sample = labelled_sample(docs, labels, "quality", 5, 0, 300)
+    assert sample.select("doc_id").distinct().count() == 300 and sample.where(crc_fold(F.col("doc_id"), 5) == 0).count() == 0
+    fit, quality_gam.Gam.fit = quality_gam.Gam.fit, lambda self, x, y: (fitted.append(len(y)), fit(self, x, y))[1]
+    try:
+        quality_gam.fit_quality(docs, labels, bound=300)
+    finally:
+        quality_gam.Gam.fit = fit
+    assert fitted == [300]
+
+
+def test_words_end_where_white_space_does(spark):
+    from tidemark.llm.common import word_split
+    from pyspark.sql import functions as F
+
+    texts = ["a b \u2028", " a\tb \x85", "a \u2029 \n", "\n a b\r\n", "", " ", "a"]
+    got = [r.w for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(word_split(F.col("t")).alias("w")).collect()]
+    assert got == [t.encode().split() and [w.decode() for w in t.encode().split()] for t in texts]
+
+
+def brute_hosts(rows, most=0.5, tolerated=0.01):
+    """kept of each measured row by plain arithmetic."""
+    rules = {
+        "short": lambda r: r["n_words"] < 10, "repeats": lambda r: 100 * r["n_repeat_words"] > 20 * r["n_words"], "symbols": lambda r: r["n_symbols"] > r["n_words"],
+        "length": lambda r: r["n_words"] > 0 and not 2 * r["n_words"] <= r["word_chars"] <= 15 * r["n_words"], "lines": lambda r: r["n_dup_lines"] > 5 and 10 * r["n_dup_lines"] > r["n_words"],
+    }
+    hosts = {}
+    for r in rows:
+        if r["source"] is not None:
+            hosts.setdefault(r["source"], []).append(r)
+    rejected, strict = set(), set()
+    for name, rule in rules.items():
+        rates = [sum(map(rule, x)) / len(x) for x in hosts.values()]
+        mean = min(max(sum(rates) / len(rates), 1e-6), 1 - 1e-6)
+        var = sum((x - sum(rates) / len(rates)) ** 2 for x in rates) / len(rates)
+        strength = min(max(mean * (1 - mean) / max(var, 1e-9) - 1, 2.0), 10_000.0)
+        for h, x in hosts.items():
+            size = len(x) + strength
+            rate = (sum(map(rule, x)) + mean * strength) / size
+            if rate - 1.645 * (rate * (1 - rate) / (size + 1)) ** 0.5 > most:
+                rejected.add(h)
+            if rate >= tolerated:
+                strict.add((h, name))
+    base = lambda r: rules["short"](r) or rules["repeats"](r)
+    soft = lambda r: any((r["source"], n) in strict and rules[n](r) for n in ("symbols", "length", "lines"))
+    return [not base(r) and r["source"] not in rejected and not soft(r) for r in rows], rejected, strict
+
+
+def test_hosts_decide(spark):
+    good = lambda i: " ".join(f"word{i}n{k}" for k in range(20))
+    odd_one, short = lambda i: good(i) + " " + "#" * 40, "too short"
+    rows = [(good(i), f"fine{i % 12}") for i in range(600)]
+    rows += [(short, "bad")] * 45 + [(good(700 + i), "bad") for i in range(5)]  # nearly all fail: the rest goes with them
+    rows += [(short, "small"), (good(800), "small")]  # half fail, but there are two
+    rows += [(odd_one(i), "shop") for i in range(6)] + [(good(820 + i), "shop") for i in range(14)]  # symbols are its habit
+    rows += [(good(840 + i), "big") for i in range(900)] + [(odd_one(9), "big")]  # once in 901: forgiven
+    rows += [(good(900), None), (short, None), (odd_one(10), None)]
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "doc_id bigint, text string, source string")
+    got = sorted(host_rules.host_rules(df).collect(), key=lambda r: r.doc_id)
+    want, rejected, strict = brute_hosts([r.asDict() for r in got])
+    assert [r.kept for r in got] == want and rejected == {"bad"} and ("shop", "symbols") in strict and ("big", "symbols") not in strict
+    kept = {s: {rows[r.doc_id][0] for r in got if r.kept and rows[r.doc_id][1] == s} for s in ("bad", "small", "shop", "big", None)}
+    assert kept["bad"] == set() and kept["small"] == {good(800)} and len(kept["shop"]) == 14 and odd_one(9) in kept["big"] and kept[None] == {good(900), odd_one(10)}
+
+
+def test_hosts_decide_on_real_documents(spark):
+    got = host_rules.host_rules(table(spark, "/root/testdata/sf0.01", "documents")).collect()
+    assert [r.kept for r in got] == brute_hosts([r.asDict() for r in got])[0]
+    assert sum(not r.kept and not r.base_failed for r in got) > 0
+
+
 def test_urls(spark):
     urls = [
         (1, "https://a.example.com/en/7816?x"), (2, "https://a.example.com/en/1#t"), (3, "http://EXAMPLE.net/de/81/"), (4, "http://example.net/de/1"), (5, "http://b.org/es/9"),

@@ -19,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none."""
+    """The cluster's shared folder; a temporary one only where the session names none and runs on one machine."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(named)
     return named
@@ -69,7 +71,7 @@ def sized_slices(batches, column: str, most_bytes: int = 4 << 20, rows: int = 10
 
 def word_split(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text as an array; null or blank: empty array."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"[\x20\x09-\x0D]+"))
 
 
@@ -79,11 +81,12 @@ def crc_fold(doc_id: Column, folds: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, bound: int) -> DataFrame:
-    """text and label of at most ``bound`` labelled rows outside the held-out fold, chosen by a hash of the doc_id.
+    """doc_id, text and label of at most ``bound`` labelled ids outside the held-out fold, chosen by a hash of the doc_id.
 
-    Labels that are neither 0 nor 1 don't count. The chosen ids are ``bound`` at most, and so can be broadcast.
+    Labels that are neither 0 nor 1 don't count. The chosen ids are ``bound`` at most, and so can be broadcast. Where
+    documents repeat an id, each row of it is here: a model takes one of them (see its fit).
     """
     known = labels.where(labels["doc_id"].isNotNull() & labels[label].isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     known = known.where(crc_fold(F.col("doc_id"), folds) != held_out)
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(bound)), "doc_id").limit(bound)
-    return only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    return only(docs, "doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")

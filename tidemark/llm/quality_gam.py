@@ -4,7 +4,8 @@ Each text gives a few shape features, cut into quantile bins. Cyclic boosting vi
 each feature's lookup table a shallow tree fitted to the remaining logistic gradient; then the pairs that still
 explain most get two-way tables, boosted likewise. A score is the sum of table entries at the row's bins.
 
-The model is fitted on at most ``FIT_ROWS`` labelled rows. Without labels of both kinds every score is the share of
+The model is fitted on at most ``FIT_ROWS`` labelled rows, one for each doc_id (of several the one whose features
+come first in order). Without labels of both kinds every score is the share of
 good labels, 0.5 where there is none.
 
 Results for odd input: no rows in, no rows out; null, empty and blank texts have the features of an empty text and a
@@ -56,10 +57,10 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-def feature_rows(batches, carried: str):
+def feature_rows(batches, *carried: str):
     for piece in sized_slices(batches, "text"):
         x = [features(t) for t in piece.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([piece.column(carried), pa.array(x, pa.list_(pa.float64()))], [carried, "x"])
+        yield pa.RecordBatch.from_arrays([*[piece.column(c) for c in carried], pa.array(x, pa.list_(pa.float64()))], [*carried, "x"])
 
 
 class Gam:
@@ -150,7 +151,9 @@ def pair_tree(g: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, float]:
 def fit_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, bound: int = FIT_ROWS) -> Gam:
     """The model of ``labels.quality``; at most ``bound`` rows of features come to the driver."""
     sample = labelled_sample(docs, labels, "quality", folds, held_out, bound)
-    rows = sample.mapInArrow(lambda b: feature_rows(b, "label"), "label int, x array<double>").toPandas()
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    rows = sample.mapInArrow(lambda b: feature_rows(b, "doc_id", "label"), f"doc_id {kind}, label int, x array<double>")
+    rows = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("x").alias("x")).select("label", "x").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))
     y = rows["label"].to_numpy(float)
     order = np.lexsort([*x.T, y])  # rows come in any order
