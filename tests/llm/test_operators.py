@@ -326,6 +326,108 @@ def test_held_out_accuracy(spark, module, label, least):
     assert (held.predicted == held[label]).mean() >= least
 
 
+def naive_found(lexicon, text):
+    """Weights of the leftmost longest matches, word by word."""
+    words, total, i = [lexicon.form(w) for w in toxicity.fold(text).split()], 0.0, 0
+    said = [p.split() for p in lexicon.exceptions]
+    while i < len(words):
+        covered = [len(p) for p in said if words[i : i + len(p)] == p]
+        if not covered:
+            total += max(((len(t), w) for t, w in lexicon.weights.items() if words[i].startswith(t)), default=(0, 0.0))[1]
+        i += max(covered, default=1)
+    return total, len(words)
+
+
+def test_automaton_matches_like_a_naive_scan():
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcé") for _ in range(r.randint(1, 5)))
+    for _ in range(60):
+        weights = {word(): r.random() + 0.1 for _ in range(6)}
+        lexicon = toxicity.Lexicon(weights, [" ".join(word() for _ in range(r.randint(1, 3))) for _ in range(25)], 1.0, 0.0)
+        for _ in range(20):
+            text = " ".join(r.choice([word(), *(w + word() for w in weights), *lexicon.exceptions]) for _ in range(r.randint(0, 25)))
+            assert lexicon.found(text) == pytest.approx(naive_found(lexicon, text)), (weights, lexicon.exceptions, text)
+
+
+def test_folding():
+    forms = ["ｉｄｉｏｔ", "𝐢𝐝𝐢𝐨𝐭", "i\u200bd\u200diot", "i\u0336d\u0336i\u0336ot", "1D10T", "іdіоt", "ⓘⓓⓘⓞⓣ", "ɪᴅɪᴏᴛ", "idi\u03bft", "ⅰⅾⅰot", "!d!0t"]
+    assert {toxicity.fold(x) for x in forms} == {" idiot "} and toxicity.fold(None) == toxicity.fold(" \n") == "  "
+    lexicon = toxicity.Lexicon({"idiot": 2.0, "réeux": 3.0}, ["idiot board"], 1.0, 0.0)
+    assert [lexicon.found(x)[0] for x in ("ídiot", "ïdîôt's", "réeuxou", "reeuxou", "the idiot board", "the idiot boards", "videot")] == [2, 2, 3, 0, 0, 2, 0]
+
+
+def test_exception_phrases_are_learned(spark):
+    r = random.Random(9)
+    text = lambda said: " ".join(r.choice("one two three four five six seven you killing".split()[:8]) for _ in range(12)) + said + f" n{r.randrange(10**6):x}q"
+    toxic = [text(r.choice([" kill you", " you killer", " kill"])) for _ in range(60)]
+    clean = [text(r.choice([""] * 80 + [" kill time", " a killdeer flies"])) for _ in range(600)]
+    docs = spark.createDataFrame(list(enumerate(toxic + clean)), "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "CASE WHEN doc_id < 60 THEN 1 ELSE 0 END AS toxic")
+    lexicon = toxicity.fit_toxicity(docs, labels, known_exceptions=("KILL the lights",))
+    assert list(lexicon.weights) == ["kill"] and {"kill time", "killdeer", "kill the lights"} <= set(lexicon.exceptions) and not {"kill", "killer", "kill you"} & set(lexicon.exceptions)
+    assert lexicon.score(text(" kill time")) < 0.3 < lexicon.score(text(" kill you")) and lexicon.score(text(" kill the lights")) < 0.3 < lexicon.score(text(" kill the light"))
+
+
+def naive_tree(at, y, f, depth, low, high):
+    """Leaf values by bin: every cut is tried, every sum taken anew over the rows."""
+    p = 1 / (1 + np.exp(-f))
+    part = lambda a, b: ((y - p)[(at >= a) & (at < b)].sum(), (p * (1 - p))[(at >= a) & (at < b)].sum())
+    worth = lambda a, b: part(a, b)[0] ** 2 / (part(a, b)[1] + quality_gam.PENALTY)
+    gains = [(worth(low, k) + worth(k, high) - worth(low, high), k) for k in range(low + 1, high)] if depth else []
+    best = max(gains, key=lambda g: (round(g[0], 12), -g[1]), default=(0, 0))
+    if best[0] > 1e-12:
+        return naive_tree(at, y, f, depth - 1, low, best[1]) | naive_tree(at, y, f, depth - 1, best[1], high)
+    g, h = part(low, high)
+    return dict.fromkeys(range(low, high), g / (h + quality_gam.PENALTY))
+
+
+def test_boosting_by_brute_force(monkeypatch):
+    monkeypatch.setattr(quality_gam, "BINS", 6)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(150, 3))
+    y = (x[:, 0] + (x[:, 1] > 0) * (x[:, 2] > 0) * 2 + r.normal(size=150) * 0.5 > 0.7).astype(float)
+    gam = quality_gam.Gam(rounds=4, pair_rounds=0, pairs=0)
+    gam.tables = np.zeros((3, 6))
+    gam.fit(x, y)
+    f, tables, at = np.full(150, np.log(y.mean() / (1 - y.mean()))), np.zeros((3, 6)), gam.bins(x)
+    for _ in range(4):
+        for j in range(3):
+            step = naive_tree(at[:, j], y, f, 2, 0, 6)
+            tables[j] += [gam.rate * step[k] for k in range(6)]
+            f = f + np.array([gam.rate * step[k] for k in at[:, j]])
+    assert np.allclose(gam.tables, tables) and np.allclose(gam.score(x), 1 / (1 + np.exp(-f)))
+    # A pair's tree against all cuts of one feature and, on each side, of the other.
+    p = 1 / (1 + np.exp(-f))
+    g, h = y - p, p * (1 - p)
+    table, gain = quality_gam.pair_tree(*gam.sums(at[:, 1] * 6 + at[:, 2], y, f, 36))
+    value = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + quality_gam.PENALTY)
+    best = None
+    for a, b in ((at[:, 1], at[:, 2]), (at[:, 2], at[:, 1])):
+        k = max(range(1, 6), key=lambda k: (round(value(a < k) + value(a >= k), 12), -k))
+        sides = [s for s in (a < k, a >= k)]
+        cuts = [max(range(1, 6), key=lambda m: (round(value(s & (b < m)) + value(s & (b >= m)), 12), -m)) for s in sides]
+        won = sum(value(s & (b < m)) + value(s & (b >= m)) - value(s) for s, m in zip(sides, cuts, strict=True))
+        leaf = np.zeros(150)
+        for s, m in zip(sides, cuts, strict=True):
+            for rows in (s & (b < m), s & (b >= m)):
+                leaf[rows] = g[rows].sum() / (h[rows].sum() + quality_gam.PENALTY)
+        if best is None or won > best[0]:
+            best = won, leaf
+    assert np.isclose(gain, best[0]) and np.allclose(table[at[:, 1], at[:, 2]], best[1])
+
+
+def test_scores_are_sums_of_table_entries():
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 16))
+    y = (x[:, 0] * x[:, 3] > 0).astype(float)
+    gam = quality_gam.Gam(rounds=3, pair_rounds=6).fit(x, y)
+    assert (0, 3) in {tuple(sorted(p[:2])) for p in gam.pairs}
+    for row, got in zip(x[:40], gam.score(x[:40]), strict=True):
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, gam.edges, strict=True)]
+        total = gam.base + sum(gam.tables[j][b] for j, b in enumerate(bins)) + sum(t[bins[i]][bins[j]] for i, j, t in gam.pairs)
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 def test_a_repeated_labelled_row_counts_once(spark):
     from tidemark.llm.common import crc_fold, labelled_sample
     from pyspark.sql import functions as F

@@ -1,12 +1,18 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick in folded text.
 
-Folding lower-cases, turns look-alike letters and digits or signs that stand for letters into those letters, and all
-else but letters into spaces. Lexicon terms are word beginnings, learned with their weights (smoothed log odds) from
-labelled texts; words that begin like a term but are at home in harmless texts are exception phrases: they are in
-the automaton too, the longest match wins, and theirs counts nothing. The weights found are divided by the number of
-words, and a logistic curve fitted on the same rows turns that rate into a score.
+Folding lower-cases, brings compatible forms together (full width, mathematical and ligature letters), drops joiners and
+stray marks, turns look-alike letters and digits or signs that stand for letters into those letters, and all else but
+letters into spaces. Accented letters stay, as they tell words apart; where an accented word begins no term, but does
+without its accents, it is matched without them.
 
-The lexicon is learned from at most ``FIT_ROWS`` labelled rows. Without labels of both kinds it is empty.
+Lexicon terms are word beginnings, learned with their weights (smoothed log odds) from labelled texts. Words that begin
+like a term, and such words together with the word before or after, are exception phrases where they are at home in
+harmless texts: they are in the automaton too, the leftmost and then the longest match wins, and theirs counts nothing.
+Known phrases can be given besides. The weights found are divided by the number of words, and a logistic curve fitted on
+the same rows turns that rate into a score.
+
+The lexicon is learned from at most ``FIT_ROWS`` labelled rows, one for each doc_id (of several the least text) and one for
+each text, and holds at most ``MOST_TERMS`` candidates and exceptions each. Without labels of both kinds it is empty.
 
 Results for odd input: no rows in, no rows out; null, empty and blank texts have rate 0; time is in proportion to the
 text; repeated rows get equal scores; a null doc_id stays null and isn't held out.
@@ -17,25 +23,37 @@ from __future__ import annotations
 import functools
 import math
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_fold, labelled_sample, only, sized_slices, table
+from .common import crc_fold, labelled_sample, only, saved, sized_slices, table
 
 FIT_ROWS = 12_000
 SHORTEST, LONGEST = 3, 12
 LEAST_WEIGHT = 3.0
-#: Greek and Cyrillic letters that look like Latin ones, then digits and signs that stand for letters.
-LOOK_ALIKE = dict(zip("αаеіοоρрсухѕјԁһ", "aaeiooppcyxsjdh", strict=True))
-STANDS_FOR = dict(zip("013457@$!", "oieastasi", strict=True))
+MOST_TERMS = 20_000
+#: Harmless texts that a phrase must stand in to be an exception.
+EXCEPTION_TEXTS = 2
+#: Cyrillic, Greek, Armenian and other letters that look like Latin ones; then digits and signs that stand for letters.
+LOOK_ALIKE = dict(
+    zip(
+        "абвгԁеһіјӏкмнорԛѕсԏтυѵԝхуғ" + "αβεηικνορτχωγ" + "օոսհցք" + "ıɑɡɩøđħłŧƀʏɴʀꜱᴀʙᴄᴅᴇꜰɢʜɪᴊᴋʟᴍᴏᴘᴛᴜᴠᴡᴢ",
+        "a6brdehijlkmhopqscttuvwxyf" + "abenikvoptxwy" + "onuhgp" + "iagiodhltbynrsabcdefghijklmoptuvwz",
+        strict=True,
+    )
+)
+STANDS_FOR = dict(zip("0134567@$!", "oieasbtasi", strict=True))
+#: Combining marks, variation selectors, joiners and other characters without a width.
+UNSEEN = [*range(0x300, 0x370), *range(0x1AB0, 0x1B00), *range(0x1DC0, 0x1E00), *range(0x20D0, 0x2100), *range(0xFE00, 0xFE10), *range(0xFE20, 0xFE30), 0xAD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF]
 
 
 @functools.lru_cache(1)
-def fold_table() -> dict[int, str]:
-    return {ord(k): v for k, v in (LOOK_ALIKE | STANDS_FOR).items()}
+def fold_table() -> dict[int, str | None]:
+    return dict.fromkeys(UNSEEN) | {ord(k): v for k, v in (LOOK_ALIKE | STANDS_FOR).items()}
 
 
 _OTHER = re.compile(r"[\W\d_]+")
@@ -43,14 +61,24 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 def fold(text: str | None) -> str:
     """Folded words with one space before each and after the last."""
-    return f" {_OTHER.sub(' ', (text or '').lower().translate(fold_table())).strip()} "
+    text = text or ""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    return f" {_OTHER.sub(' ', text.lower().translate(fold_table())).strip()} "
+
+
+def bare(word: str) -> str:
+    """A word without accents."""
+    return "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
 
 
 class Lexicon:
-    """Weights of word beginnings, exception words, and the curve from rate to score."""
+    """Weights of word beginnings, exception phrases, and the curve from rate to score."""
 
     def __init__(self, weights: dict[str, float], exceptions: list[str], slope: float, offset: float):
         self.weights, self.exceptions, self.slope, self.offset = weights, exceptions, slope, offset
+        self.lengths = sorted({len(t) for t in weights})
+        self.forms: dict[str, str] = {}
 
     @functools.cached_property
     def automaton(self):
@@ -59,38 +87,81 @@ class Lexicon:
         a = ahocorasick.Automaton()
         for term, weight in self.weights.items():
             a.add_word(f" {term}", weight)
-        for word in self.exceptions:
-            a.add_word(f" {word} ", 0.0)
+        # The space that ends an exception begins the next word: two spaces let both match.
+        for phrase in self.exceptions:
+            a.add_word(f" {'  '.join(phrase.split())} ", 0.0)
         if len(a):
             a.make_automaton()
         return a
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "automaton"}
+        return {k: v for k, v in self.__dict__.items() if k != "automaton"} | {"forms": {}}
+
+    def begins(self, word: str) -> bool:
+        """Whether a term begins the word."""
+        return any(word[:n] in self.weights for n in self.lengths)
+
+    def form(self, word: str) -> str:
+        """What a word is matched as: without its accents where only so it begins a term."""
+        got = self.forms.get(word)
+        if got is None:
+            plain = word if word.isascii() or self.begins(word) else bare(word)
+            got = plain if self.begins(plain) else word
+            if len(self.forms) >= 500_000:
+                self.forms.clear()
+            self.forms[word] = got
+        return got
+
+    def found(self, text: str | None) -> tuple[float, int]:
+        """Sum of the weights found, and the number of words."""
+        words = fold(text).split()
+        if not len(self.automaton):
+            return 0.0, len(words)
+        if not all(map(str.isascii, words)):
+            words = list(map(self.form, words))
+        return sum(w for _, w in self.automaton.iter_long(f" {'  '.join(words)} ")), len(words)
 
     def rate(self, text: str | None) -> float:
         """Weights found per word, on a log scale."""
-        folded = fold(text)
-        # The space that ends an exception begins the next word: two spaces let both match.
-        found = sum(w for _, w in self.automaton.iter_long(folded.replace(" ", "  "))) if len(self.automaton) else 0.0
-        return math.log1p(100 * found / max(20, folded.count(" ") - 1))
+        found, words = self.found(text)
+        return math.log1p(100 * found / max(20, words))
 
     def score(self, text: str | None) -> float:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.offset + self.slope * self.rate(text)))))
 
 
-def term_rows(batches):
-    """Documents of each kind, of all those in the task, in which each word beginning and word stands."""
+def counts_of(batches, of):
+    """(term, clean, toxic): texts of each kind, of all those in the task, for which ``of`` gives a term."""
     counts: dict[str, list[int]] = {}
+
+    def out():
+        terms = list(counts)
+        for at in range(0, len(terms), 10_000):
+            some = terms[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([counts[t][0] for t in some], pa.int64()), pa.array([counts[t][1] for t in some], pa.int64())], ["term", "clean", "toxic"])
+        counts.clear()
+
     for piece in sized_slices(batches, "text"):
         for text, label in zip(piece.column("text").to_pylist(), piece.column("label").to_pylist(), strict=True):
-            words = set(fold(text).split())
-            for term in {w[:i] for w in words for i in range(SHORTEST, min(LONGEST, len(w)) + 1)} | {f"{w} " for w in words if len(w) >= SHORTEST}:
+            for term in of(text):
                 counts.setdefault(term, [0, 0])[label] += 1
-    terms = list(counts)
-    for at in range(0, len(terms), 10_000):
-        some = terms[at : at + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([counts[t][0] for t in some], pa.int64()), pa.array([counts[t][1] for t in some], pa.int64())], ["term", "clean", "toxic"])
+        if len(counts) > 1_000_000:
+            yield from out()
+    yield from out()
+
+
+def beginnings(text: str) -> set[str]:
+    return {w[:i] for w in set(fold(text).split()) for i in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+
+
+def phrases(text: str, lexicon: Lexicon) -> set[str]:
+    """Words that begin like a term, alone and with the word before or after."""
+    words = [lexicon.form(w) for w in fold(text).split()]
+    out = set()
+    for i, w in enumerate(words):
+        if lexicon.begins(w):
+            out |= {w, *([f"{words[i - 1]} {w}"] if i else []), " ".join(words[i : i + 2])}
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -104,33 +175,38 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, bound: int = FIT_ROWS) -> Lexicon:
-    """The lexicon of ``labels.toxic``. Terms with too little support don't come to the driver."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, bound: int = FIT_ROWS, known_exceptions: tuple[str, ...] = ()) -> Lexicon:
+    """The lexicon of ``labels.toxic``. What comes to the driver is bounded by ``MOST_TERMS`` and ``bound``."""
     sample = labelled_sample(docs, labels, "toxic", folds, held_out, bound)
+    sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     # Copies of one text would lend its words support.
-    sample = sample.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+    sample = saved(sample.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label"))
     kinds = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = kinds.get(0, 0), kinds.get(1, 0)
     if not n0 or not n1:
         return Lexicon({}, [], 0.0, 30.0 if n1 else -30.0 if n0 else 0.0)
-    counted = sample.mapInArrow(term_rows, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+    def counted(of) -> DataFrame:
+        return sample.mapInArrow(lambda b: counts_of(b, of), "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
     support = max(4, round(0.006 * n1))
     odds = lambda toxic, clean: math.log((toxic + 0.5) / (n1 + 1)) - math.log((clean + 0.5) / (n0 + 1))
-    strong = counted.where((F.col("toxic") >= support) & (F.col("toxic") * F.lit(n0) >= 6 * F.col("clean") * F.lit(n1))).collect()
-    terms = {r["term"]: (r["toxic"], odds(r["toxic"], r["clean"])) for r in strong if not r["term"].endswith(" ")}
+    strong = counted(beginnings).where((F.col("toxic") >= support) & (F.col("toxic") * F.lit(n0) >= 6 * F.col("clean") * F.lit(n1)))
+    strong = strong.orderBy(F.col("toxic").desc(), "clean", "term").limit(MOST_TERMS).collect()
+    terms = {r["term"]: (r["toxic"], odds(r["toxic"], r["clean"])) for r in strong}
     chosen: dict[str, float] = {}
     for term, (toxic, weight) in sorted(terms.items(), key=lambda x: (len(x[0]), x[0])):
-        held = next((t for t in chosen if t.startswith(term) or term.startswith(t)), None)
-        if held is None and weight >= LEAST_WEIGHT:
+        if weight >= LEAST_WEIGHT and not any(t.startswith(term) or term.startswith(t) for t in chosen):
             # The longest beginning that nearly all of its texts share says it most exactly.
             longest = max((t for t in terms if t.startswith(term) and terms[t][0] >= 0.95 * toxic), key=lambda t: (len(t), t))
             chosen[longest] = terms[longest][1]
-    exceptions = []
-    if chosen:
-        starts = sorted({t[:SHORTEST] for t in chosen})
-        words = counted.where(F.col("term").endswith(" ") & F.substring("term", 1, SHORTEST).isin(starts) & (F.col("clean") >= 3)).collect()
-        exceptions = sorted(w for r in words if odds(r["toxic"], r["clean"]) < 0.7 and any((w := r["term"].strip()).startswith(t) for t in chosen))
+    exceptions = [" ".join(fold(p).split()) for p in known_exceptions]
     lexicon = Lexicon(chosen, exceptions, 1.0, 0.0)
+    if chosen:
+        homely = counted(lambda text: phrases(text, lexicon)).where(F.col("clean") >= EXCEPTION_TEXTS)
+        homely = homely.where((F.col("toxic") + 0.5) * F.lit(n0 + 1) < 2 * (F.col("clean") + 0.5) * F.lit(n1 + 1))
+        exceptions += [r["term"] for r in homely.orderBy(F.col("clean").desc(), "term").limit(MOST_TERMS).collect()]
+    lexicon = Lexicon(chosen, sorted(set(exceptions)), 1.0, 0.0)
 
     def rates(batches):
         for piece in sized_slices(batches, "text"):
