@@ -10,9 +10,12 @@ of 0.8 two sets share no band with a probability of 5e-8.
    of the whole set instead of its samples, sharpens the test for sets of up to a few thousand.
 3. Those whose component isn't their pivot's are tried against a few more members of each bucket likewise.
 4. Classes of one bucket that are still in different components are tried against each other, the sketch test
-   standing inside the join's condition, so that only promising pairs leave it; they are confirmed likewise.
+   standing inside the join's condition, so that only promising pairs leave it; they are confirmed likewise. A large
+   bucket is dealt in blocks: each block of those left meets each block of the bucket in a group of its own, so that no
+   task has more than ``BLOCK`` x ``BLOCK`` of them to compare.
 
-No link between different sets is lost but by the probabilities named. Nothing is collected.
+Confirming sends a hub's text (the pivot's) once for every ``STAR`` of its pairs, ahead of them, and its set is held while
+they stream past. No link between different sets is lost but by the probabilities named. Nothing is collected.
 
 Results for odd input: no rows in, no rows out; null, empty and blank texts have an empty set and link with nothing;
 texts with fewer words than a shingle have one shingle; repeated rows are in one class, each of them kept where its
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_WORDS = 16  # of 64 bits
 SKETCH_BITS = 64 * SKETCH_WORDS
 DRAWN = 3
+BLOCK = 1024
+STAR = 256
 
 _random = np.random.default_rng(2)
 MULTIPLY = _random.integers(1, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,24 +155,47 @@ def promising(a: str, b: str, percent: int) -> Column:
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of doc_ids those whose full sets, from ``texts`` (doc_id, text), are similar enough."""
+    """Of the pairs (leaf, hub) of doc_ids those whose full sets, from ``texts`` (doc_id, text), are similar enough, as (a, b)."""
 
     def rows(batches):
-        seen: dict[int, np.ndarray] = {}
-        for piece in sized_slices(sized_slices(batches, "text_a"), "text_b"):
+        now, held = None, np.zeros(0, np.uint64)
+        for piece in sized_slices(batches, "text"):
             good = []
-            for a, b, ta, tb in zip(*(piece.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if b not in seen:
-                    seen = {b: shingles(tb, words)}
-                x, y = shingles(ta, words), seen[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    good.append((a, b))
+            for hub, leaf, text in zip(*(piece.column(c).to_pylist() for c in ("hub", "leaf", "text")), strict=True):
+                if leaf is None:
+                    now, held = hub, shingles(text, words)
+                    continue
+                assert hub == now  # each share of a hub's pairs begins with its text
+                x = shingles(text, words)
+                both = len(np.intersect1d(x, held, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(held) - both):
+                    good.append((max(leaf, hub), min(leaf, hub)))
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(rows, "a long, b long")
+    shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).alias("shares"))
+    dealt = pairs.join(shares, "hub").select("leaf", "hub", F.pmod(F.xxhash64("leaf", "hub"), "shares").alias("share"))
+    leaves = dealt.join(texts, dealt["leaf"] == texts["doc_id"]).select("hub", "share", "leaf", "text")
+    hubs = dealt.select("hub", "share").distinct().join(texts, F.col("hub") == texts["doc_id"]).select("hub", "share", F.lit(None).cast("long").alias("leaf"), "text")
+    both = leaves.union(hubs).repartition("hub", "share").sortWithinPartitions("hub", "share", F.col("leaf").asc_nulls_first())
+    return both.mapInArrow(rows, "a long, b long")
+
+
+def toward(pairs: DataFrame, leaf: str, hub: str) -> DataFrame:
+    """Distinct pairs, in whatever order, as (leaf, hub)."""
+    one = pairs.select(F.greatest(leaf, hub).alias("_a"), F.least(leaf, hub).alias("_b"), F.col(hub).alias("hub")).groupBy("_a", "_b").agg(F.max("hub").alias("hub"))
+    return one.select(F.when(F.col("hub") == F.col("_a"), F.col("_b")).otherwise(F.col("_a")).alias("leaf"), "hub")
+
+
+def blocks_that_meet(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members of ``left`` (bucket, class, root, apart) in groups (bucket, i, j): block i of those apart and block j of all."""
+    sizes = left.groupBy("bucket").agg(F.ceil(F.count_if("apart") / BLOCK).cast("long").alias("ni"), F.ceil(F.count("*") / BLOCK).cast("long").alias("nj"))
+    x = left.join(sizes, "bucket")
+    own = lambda n: F.pmod(F.xxhash64("class", "bucket"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    return (
+        x.where("apart").select("bucket", "class", "root", "apart", own("ni").alias("i"), every("nj").alias("j")),
+        x.where("ni > 0").select("bucket", "class", "root", "apart", every("ni").alias("i"), own("nj").alias("j")),
+    )
 
 
 def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -189,12 +218,12 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     texts = only(docs, "doc_id", "text").join(busy.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
     texts = saved(texts.dropDuplicates(["doc_id"]))  # a doc_id may stand in repeated rows
 
-    star = members.where("class <> pivot").select(F.greatest("class", "pivot").alias("a"), F.least("class", "pivot").alias("b")).distinct()
+    star = toward(members.where("class <> pivot"), "class", "pivot")
     of = lambda side: F.struct("n_shingles", "sketch", "parity").alias(side)
 
     def sketched(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sketches.select(F.col("class").alias("a"), of("x")), "a").join(sketches.select(F.col("class").alias("b"), of("y")), "b")
-        return x.where(promising("x", "y", percent)).select("a", "b")
+        x = pairs.join(sketches.select(F.col("class").alias("leaf"), of("x")), "leaf").join(sketches.select(F.col("class").alias("hub"), of("y")), "hub")
+        return x.where(promising("x", "y", percent)).select("leaf", "hub")
 
     links = cut(confirm(sketched(star), texts, words, percent))
     roots = components(links)
@@ -209,8 +238,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     draw = [F.min(F.struct(F.xxhash64("class", "bucket", F.lit(i)).alias("at"), "class", "root")) for i in range(DRAWN)]
     drawn = placed.groupBy("bucket").agg(F.array(*draw).alias("drawn"))
     tried = placed.where("root <> pivot_root").join(drawn, "bucket").select("class", "root", F.explode("drawn").alias("d")).where("root <> d.root")
-    tried = cut(tried.select("class", F.col("d.root").alias("to_root"), F.greatest("class", "d.class").alias("a"), F.least("class", "d.class").alias("b")).distinct())
-    second = cut(confirm(sketched(tried.select("a", "b").distinct()), texts, words, percent))
+    tried = cut(tried.select("class", F.col("d.root").alias("to_root"), F.col("d.class").alias("drawn"), F.greatest("class", "d.class").alias("a"), F.least("class", "d.class").alias("b")).distinct())
+    second = cut(confirm(sketched(toward(tried, "class", "drawn")), texts, words, percent))
     moved = tried.join(second, ["a", "b"]).groupBy("class").agg(F.min("to_root").alias("to_root"))
     placed = placed.join(moved, "class", "left").withColumn("root", F.coalesce("to_root", "root"))
     placed = placed.select("bucket", "class", "root", (F.col("root") != F.col("pivot_root")).alias("apart"))
@@ -220,13 +249,12 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     others = placed.where("NOT apart").select("bucket").distinct().withColumn("some", F.lit(True))
     more = more.join(others, "bucket", "left").where("some OR low <> high").select("bucket")
     left = cut(placed.join(more, "bucket", "left_semi"))
-    x, y = left.where("apart").join(sketches, "class").alias("x"), left.join(sketches, "class").alias("y")
+    x, y = (side.join(sketches, "class").alias(name) for side, name in zip(blocks_that_meet(left), "xy", strict=True))
     # Of two members that stand apart the larger is x; the rest are y. A pair counts in the first bucket that it shares.
     once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.bucket")
-    rest = x.join(
-        y,
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") != F.col("y.root")) & ((F.col("x.class") > F.col("y.class")) | ~F.col("y.apart")) & promising("x", "y", percent) & once,
-    ).select(F.greatest("x.class", "y.class").alias("a"), F.least("x.class", "y.class").alias("b")).distinct()
+    met = reduce(Column.__and__, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "i", "j")])
+    rest = x.join(y, met & (F.col("x.root") != F.col("y.root")) & ((F.col("x.class") > F.col("y.class")) | ~F.col("y.apart")) & promising("x", "y", percent) & once)
+    rest = toward(rest.select(F.col("x.class").alias("p"), F.col("y.class").alias("q")), "p", "q")
     found = cut(confirm(rest, texts, words, percent))
     found = found.union(second)
     if not found.isEmpty():
