@@ -97,9 +97,10 @@ def passages(seed):
     return docs
 
 
-@pytest.mark.parametrize("hot", [2, 32])
-def test_suffix_spans_in_process(monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "many"), [(2, 1 << 14), (32, 1 << 14), (10_000, 3), (10_000, 1 << 14)])
+def test_suffix_spans_in_process(monkeypatch, hot, many):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "MANY", many)
     docs, least = passages(hot), 100
     want = brute_spans(docs, least)
     names = {i: t for i, t in docs.items() if t is not None}

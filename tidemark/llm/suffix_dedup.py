@@ -6,19 +6,21 @@ anchors whose gram occurs more than once can repeat.
 
 1. Each task slides over its texts and packs anchors by the hash of their gram; the buckets are shuffled and anchors
    whose gram is unique go.
-2. The windows of the others, as bytes with their places, are shuffled by gram. Windows that a task has met before
-   are not sent again: they are repeats already.
+2. The windows of the others, as bytes with their places, are shuffled by gram. Equal windows of one task are folded
+   before: they are a leaf of the interval tree (4), whose places but the earliest are told at once, and only the earliest
+   goes on, as in any partial aggregate.
 3. In each bucket, windows fall into classes of equal first ``least`` bytes. A class whose left neighbours all agree
-   is contained in a repeat that begins further left and is skipped (left-extension diversity). For the rest the
-   suffixes are sorted and their common-prefix lengths give the interval tree by one scan with a stack. Where two
-   parts of an interval meet, the later one's first suffix repeats an earlier text over the interval's length: those
-   are the spans to remove.
+   is contained in a repeat that begins further left and is skipped (left-extension diversity).
+4. For the rest the suffixes are sorted and their common-prefix lengths give the interval tree by one scan with a stack;
+   equal suffixes are its leaves. Where two parts of an interval meet, the later one's first suffix repeats an earlier
+   text over the interval's length, and so do all places of a leaf but its first: those are the spans to remove.
 
 ``repeats`` gives the maximal repeats with all their occurrences: from the windows of 2 it takes the runs of repeated
 windows, and builds the trees over the suffixes to the end of a run.
 
-Grams that stand often in one task's texts (``HOT``) are sent window by window under the window's own hash, so that a
-passage of any frequency is spread over buckets and its copies are folded before the shuffle. Texts that are equal
+Grams that stand often in one task's texts (``HOT``), or in all (``MANY``), are sent window by window under the window's own
+hash, so that a passage of any frequency is spread over buckets and its copies are folded before the shuffle: there a
+leaf of the tree is a window, and neighbouring leaves make up a span. Texts that are equal
 as a whole are settled by their hash before, as every copy of at least ``least`` bytes repeats the first.
 
 Results for odd input: no rows in, no rows out; null and empty texts have no bytes and nothing removed; long texts
@@ -42,6 +44,7 @@ from .common import cut, only, sized_slices, table
 GRAM = 32
 LEAST = 100
 HOT = 32
+MANY = 1 << 14
 PIECE = 1 << 20
 #: Bytes of text that a bucket stands for on average.
 BUCKET_BYTES = 8 << 20
@@ -180,7 +183,7 @@ def repeated_anchors(batches):
         every = every[np.argsort(every["hash"], kind="stable")]
         first = np.flatnonzero(np.diff(every["hash"], prepend=~every["hash"][:1])) if len(every) else np.zeros(0, np.int64)
         size = np.diff(np.append(first, len(every)))
-        told = np.maximum.reduceat(every["known"], first) == 3 if len(first) else np.zeros(0, bool)
+        told = (np.maximum.reduceat(every["known"], first) == 3) | (size >= MANY) if len(first) else np.zeros(0, bool)
         keep = np.repeat((size > 1) | told, size) & (every["known"] != 3)
         place = (every["place"] | np.repeat(told, size))[keep]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([every["doc"][keep], loose["doc"]])), pa.array(np.concatenate([place, loose["place"] | 1]))], ["doc_id", "place"])
@@ -193,23 +196,30 @@ def send_windows(batches, least: int, buckets: int, fold: bool, flush: int = 8 <
     hot: dict = {}
 
     def put(seen: dict, window: bytes, doc: int, start: int, offset: int) -> int:
-        """Keep the earliest place of a window, or every place; returns the bytes newly held."""
+        """Keep the places of a window; returns the bytes newly held."""
         key = window if fold else (window, doc, start)
         had = seen.get(key)
         if had is None:
-            seen[key] = (doc, start, offset)
+            seen[key] = [offset, (doc, start)]
             return len(window)
-        if had[:2] > (doc, start):
-            seen[key] = (doc, start, offset)
-        if had[:2] != (doc, start):
-            doc, start = max(had[:2], (doc, start))
-            spans.append((doc, start << 32 | start + len(window)))
-        return 0
-
-    def singles():
+        had.append((doc, start))
+        return 16
+
+    def fold_leaves(seen: dict) -> dict:
+        """The earliest place of each window; the spans of its other places are told."""
+        out: dict = {}
+        for key, (offset, *places) in seen.items():
+            places = sorted(set(places))
+            if len(places) > 1:
+                for length, _, _, later in interval_tree([key], [places], least):
+                    spans.extend((d, at << 32 | at + length) for d, at in later)
+            out[key] = (*places[0], offset)
+        return out
+
+    def singles(once: dict):
         """Every window of the distinct stretches around hot grams, by itself and in order of place."""
         single: dict = {}
-        for key, (doc, start, _) in sorted(hot.items(), key=lambda x: x[1]):
+        for key, (doc, start, _) in sorted(once.items(), key=lambda x: x[1]):
             stretch, run = key if fold else key[0], None
             for i in range(len(stretch) - least + 1):
                 w = stretch[i : i + least]
@@ -228,13 +238,13 @@ def send_windows(batches, least: int, buckets: int, fold: bool, flush: int = 8 <
         return single
 
     def out():
-        single = singles()
-        texts = [k if fold else k[0] for k in (*cold, *single)]
-        places = [*cold.values(), *single.values()]
+        once, single = fold_leaves(cold), singles(fold_leaves(hot))
+        texts = [k if fold else k[0] for k in (*once, *single)]
+        places = [*once.values(), *single.values()]
         rows, payloads = [], []
         if texts:
             gram = xxhash.xxh3_64_intdigest
-            n = len(cold)
+            n = len(once)
             every = np.array([(gram(w[o : o + GRAM]) if i < n else gram(w), d, s, len(w), o) for i, (w, (d, s, o)) in enumerate(zip(texts, places, strict=True))], WINDOW)
             of = ((every["hash"] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(of, kind="stable")
@@ -280,12 +290,16 @@ def common_prefix(a: bytes, b: bytes) -> int:
     return low
 
 
-def interval_tree(suffixes: list[bytes], places: list[tuple], least: int):
-    """Intervals of sorted suffixes with common prefixes of ``least`` or more, by one scan with a stack.
+def interval_tree(suffixes: list[bytes], places: list[list], least: int):
+    """Intervals of sorted distinct suffixes with common prefixes of ``least`` or more, by one scan with a stack.
 
-    Yields (length, first rank, last rank, later): where the parts of an interval meet, every part but the one with
-    the earliest place gives its own earliest place to ``later``.
+    ``places``: those of each suffix, in order. Yields (length, first rank, last rank, later): where the parts of an
+    interval meet, every part but the one with the earliest place gives its own earliest place to ``later``. A suffix of
+    several places is a leaf interval.
     """
+    for i, at in enumerate(places):
+        if len(at) > 1:
+            yield len(suffixes[i]), i, i, at[1:]
     stack: list[list] = []
 
     def meet(node, part):
@@ -295,7 +309,7 @@ def interval_tree(suffixes: list[bytes], places: list[tuple], least: int):
 
     for i in range(1, len(suffixes) + 1):
         depth = common_prefix(suffixes[i - 1], suffixes[i]) if i < len(suffixes) else 0
-        left, part = i - 1, places[i - 1]
+        left, part = i - 1, places[i - 1][0]
         while stack and stack[-1][0] > depth:
             node = stack.pop()
             meet(node, part)
@@ -308,8 +322,8 @@ def interval_tree(suffixes: list[bytes], places: list[tuple], least: int):
                 stack.append([depth, left, part, []])
 
 
-def suffix_classes(stretches: list[bytes], places: list[tuple], least: int):
-    """Sorted suffixes, with their places, of each class of equal windows whose left neighbours differ."""
+def suffix_classes(stretches: list[bytes], places: list[list], least: int):
+    """Sorted distinct suffixes, with the places of each, of each class of equal windows whose left neighbours differ."""
     text = b"".join(stretches)
     size = np.array([len(s) for s in stretches])
     n = size - least + 1
@@ -322,15 +336,16 @@ def suffix_classes(stretches: list[bytes], places: list[tuple], least: int):
     key, before = key[order], before[order]
     first = np.flatnonzero(np.diff(key, prepend=~key[:1]))
     count = np.diff(np.append(first, len(key)))
+    several = np.add.reduceat(np.array([len(p) for p in places])[of[order]], first) > 1
     low, high = np.minimum.reduceat(before, first), np.maximum.reduceat(before, first)
-    diverse = (count > 1) & ((low != high) | (low < 0))
+    diverse = several & ((low != high) | (low < 0))
     for a, m in zip(first[diverse].tolist(), count[diverse].tolist(), strict=True):
-        members = []
+        members: dict[bytes, list] = {}
         for i in order[a : a + m].tolist():
-            j, (doc, place) = int(start[i]), places[of[i]]
-            members.append((stretches[of[i]][j:], (doc, place + j)))
-        members.sort()
-        yield [x[0] for x in members], [x[1] for x in members]
+            j = int(start[i])
+            members.setdefault(stretches[of[i]][j:], []).extend((doc, place + j) for doc, place in places[of[i]])
+        suffixes = sorted(members)
+        yield suffixes, [sorted(set(members[x])) for x in suffixes]
 
 
 def bucket_windows(payloads: list[bytes]):
@@ -344,10 +359,10 @@ def bucket_windows(payloads: list[bytes]):
 
 
 def whole_groups(groups: dict[int, list], most: int = 4 << 20):
-    """Groups of more than one stretch, some at a time so that arrays stay small."""
+    """Groups of more than one stretch or place, some at a time so that arrays stay small."""
     stretches, places, total = [], [], 0
     for g in groups.values():
-        if len(g) > 1:
+        if len(g) > 1 or len(g[0][1]) > 1:
             for window, place in g:
                 stretches.append(window)
                 places.append(place)
@@ -362,19 +377,14 @@ def whole_groups(groups: dict[int, list], most: int = 4 << 20):
 def bucket_spans(payloads: list[bytes], least: int) -> np.ndarray:
     """Spans to remove that the windows of one bucket tell."""
     spans = [np.frombuffer(p, SPAN, k, 8) for p in payloads if (k := struct.unpack_from("<II", p)[1])]
-    seen: dict[bytes, tuple] = {}
-    more: list[tuple[int, int]] = []
+    seen: dict[bytes, list] = {}
     for gram, window, doc, start in bucket_windows(payloads):
-        had = seen.get(window)
-        if had is None or had[1] > (doc, start):
-            seen[window] = (gram, (doc, start))
-        if had is not None and had[1] != (doc, start):
-            doc, start = max(had[1], (doc, start))
-            more.append((doc, start << 32 | start + len(window)))
+        seen.setdefault(window, [gram]).append((doc, start))
     groups: dict[int, list] = {}
-    for window, (gram, place) in seen.items():
-        groups.setdefault(gram, []).append((window, place))
+    for window, (gram, *places) in seen.items():
+        groups.setdefault(gram, []).append((window, places))
     del seen
+    more: list[tuple[int, int]] = []
     for stretches, places in whole_groups(groups):
         for suffixes, at in suffix_classes(stretches, places, least):
             for length, _, _, later in interval_tree(suffixes, at, least):
@@ -387,7 +397,7 @@ def repeated_windows(batches, least: int):
     for _, payloads in by_bucket(batches):
         groups: dict[int, list] = {}
         for gram, window, doc, start in bucket_windows(payloads):
-            groups.setdefault(gram, []).append((window, (doc, start)))
+            groups.setdefault(gram, []).append((window, [(doc, start)]))
         for stretches, places in whole_groups(groups):
             size = np.array([len(s) for s in stretches])
             n = size - least + 1
@@ -396,8 +406,8 @@ def repeated_windows(batches, least: int):
             byte = (np.cumsum(size) - size)[of] + at
             text = b"".join(stretches)
             before = np.where(at > 0, np.frombuffer(text, np.uint8)[byte - 1].astype(np.int16), -1)
-            doc = np.array([p[0] for p in places], np.int64)[of]
-            start = np.array([p[1] for p in places], np.int64)[of] + at
+            doc = np.array([p[0][0] for p in places], np.int64)[of]
+            start = np.array([p[0][1] for p in places], np.int64)[of] + at
             key = string_hashes(text, least)[byte]
             order = np.argsort(key, kind="stable")
             first = np.flatnonzero(np.diff(key[order], prepend=~key[order][:1]))
@@ -464,7 +474,7 @@ def maximal_repeats(group: pa.Table, least: int) -> pa.Table:
     ranked = [m for m in members for _ in range(m[4])]
     suffixes = [m[0] for m in ranked]
     out: list[tuple] = []
-    for length, left, right, _ in interval_tree(suffixes, [(i,) for i in range(len(suffixes))], least):
+    for length, left, right, _ in interval_tree(suffixes, [[i] for i in range(len(suffixes))], least):
         some = ranked[left : right + 1]
         low = min(m[2] for m in some)
         if low < 0 or low != max(m[3] for m in some):
