@@ -561,6 +561,108 @@ def test_url_without_a_rule_is_blocked_by_its_tree(spark):
     assert {r.page_id: r.verdict for r in got} == {**{i: "block" for i in range(20, 25)}, **{100 + i: "allow" for i in range(20, 25)}}
 
 
+def naive_urls(pages, rules, labels, purity=0.8, least=5, strength=4.0, rare=0.02, most_children=30, z=1.96):
+    """The tree of path templates and its verdicts, node by node in plain Python: {page_id: (rule, template, verdict)} as a list."""
+    import re
+
+    parsed, out = [], []
+    for page_id, url in pages:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = ("", "") if not m else ("".join(c.lower() if c.isascii() else c for c in m[1]), m[2])
+        fits = [(len(r), said, r) for said, r in rules for own, _, start in [r.partition("/")] if (host == own or host.endswith("." + own)) and path.startswith("/" + start)]
+        _, said, rule = max(fits, default=(0, None, None))
+        bad = labels.get(page_id) if labels is not None else {"block": 1, "allow": 0, None: None}[said]
+        parsed.append((page_id, host, path, rule, said, bad))
+    variable = re.compile(r"^(\d+|[0-9a-f]{8,}|[0-9a-f-]{32,}|.*\d{3,}.*)(\.\w{1,5})?$")
+    template = {}
+
+    def grow(host, prefix, members, level):
+        """members: {path: (segments, rows)}"""
+        deeper = {p: v for p, v in members.items() if len(v[0]) > level}
+        for p in members.keys() - deeper.keys():
+            template[host, p] = prefix
+        if len(deeper) <= most_children:
+            for p, (segments, _) in deeper.items():
+                template[host, p] = prefix + "".join("/" + x for x in segments[level:])
+            return
+        literal = {}
+        for segments, n in deeper.values():
+            if segments[level] != "*":
+                literal[segments[level]] = literal.get(segments[level], 0) + n
+        groups = {}
+        for p, v in deeper.items():
+            x = v[0][level]
+            if x != "*" and len(literal) > most_children and literal[x] < rare * sum(literal.values()):
+                x = "*"
+            groups.setdefault(x, {})[p] = v
+        for x, some in groups.items():
+            grow(host, f"{prefix}/{x}", some, level + 1)
+
+    hosts = {}
+    for _, host, path, *_ in parsed:
+        segments = ["*" if variable.search(x) else x for x in path.split("/") if x]
+        hosts.setdefault(host, {}).setdefault(path, [segments, 0])[1] += 1
+    for host, members in hosts.items():
+        grow(host, "", members, 0)
+    nodes = {}
+    for _, host, path, _, _, bad in parsed:
+        if bad is not None:
+            steps = template[host, path].split("/")
+            for i in range(1, len(steps) + 1):
+                n = nodes.setdefault((host, i, "/".join(steps[:i])), [0, 0])
+                n[0], n[1] = n[0] + bad, n[1] + 1
+    every = [x[5] for x in parsed if x[5] is not None]
+    prior, merged, families = sum(every) / len(every) if every else 0.0, {}, {}
+    for (host, level, name), (bad, n) in nodes.items():
+        families.setdefault((host, level, name.rpartition("/")[0] if level > 1 else None), []).append((bad / n, hashlib.md5(name.encode()).hexdigest(), bad, n, name))
+    for (host, level, _), family in families.items():
+        groups = []
+        for rate, _, bad, n, name in sorted(family):
+            g = groups[-1] if groups else None
+            both = (g[0] + bad) / (g[1] + n) if g else 0
+            if g and abs(rate - g[0] / g[1]) <= z * (both * (1 - both) * (1 / g[1] + 1 / n)) ** 0.5:
+                groups[-1] = [g[0] + bad, g[1] + n, [*g[2], name]]
+            else:
+                groups.append([bad, n, [name]])
+        for bad, n, names in groups:
+            merged |= {(host, level, name): (bad, n) for name in names}
+    for page_id, host, path, rule, said, _ in parsed:
+        rate, above, found, steps = prior, 0, False, template[host, path].split("/")
+        for i in range(1, len(steps) + 1):
+            bad, n = merged.get((host, i, "/".join(steps[:i])), (0, 0))
+            if n >= least:
+                found = True
+                if n != above:
+                    rate, above = (bad + strength * rate) / (n + strength), n
+        told = "block" if found and rate >= purity else "allow"
+        out.append((page_id, host, path, rule, said or told, template[host, path]))
+    return out
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_urls_by_a_naive_tree(spark, labelled):
+    r = random.Random(11 + labelled)
+    pages = []
+    for i in range(1500):
+        host = r.choice(["a.com", "b.a.com", "x.org", "Y.Net", "z.example"])
+        segments = [r.choice(["en", "de", "fr", f"w{r.randrange(60)}x", str(r.randrange(10_000)), "q" * r.randrange(1, 4)]) for _ in range(r.randrange(0, 6))]
+        pages.append((r.choice([i, i, i, i // 2, None]), f"http://{host}/{'/'.join(segments)}{r.choice(['', '/', '?a=1', '#x'])}"))
+    pages += [(9000, None), (9001, ""), (9002, "mailto:x"), (9003, "http://a.com/" + "/".join(["deep"] * 400)), (9004, "http://a.com/" + "y" * 20_000)] + [(9005, "http://x.org/es/1")] * 40
+    labels = {i: int(r.random() < (0.9 if i % 3 else 0.1)) for i in range(0, 1500, 2)} if labelled else None
+    given = spark.createDataFrame(list(labels.items()), "page_id bigint, bad int") if labelled else None
+    extra = spark.createDataFrame(pages, "page_id bigint, url string").selectExpr("*", *[f"'1' AS {c}" for c in ("host", "path", "bad", "template", "n", "said", "rule", "level")])
+    got = sorted(map(str, (tuple(x) for x in url_templates.url_filter(extra, url_templates.RULES, given).collect())))
+    assert got == sorted(map(str, naive_urls(pages, url_templates.RULES, labels)))
+    assert {x[4] for x in naive_urls(pages, url_templates.RULES, labels) if x[3] is None} == {"allow", "block"} or not labelled
+
+
+def test_urls_of_real_pages_by_a_naive_tree(spark):
+    pages = duckdb.sql("SELECT page_id, url FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    got = [tuple(x) for x in url_templates.query(spark, "/root/testdata/sf0.01").collect()]
+    want = [x[:5] for x in naive_urls(pages, url_templates.RULES, None)]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and any(x[3] is None and x[4] == "block" for x in want)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, only, table
@@ -64,9 +64,9 @@ def templates(urls: DataFrame, rare: float = 0.02, most_children: int = 30) -> D
         # Literal branches: those under parents with few children, or with a share of their own.
         literal = F.col("_next") != WILD
         children = x.where(F.col("_next").isNotNull()).groupBy("host", "template", "_next").agg(F.sum("n").alias("n"), F.count("*").alias("paths"))
-        parent = Window.partitionBy("host", "template")
-        children = children.withColumn("_many", F.count(F.when(literal, 1)).over(parent)).withColumn("_all", F.sum(F.when(literal, F.col("n"))).over(parent))
-        busy = children.withColumn("_paths", F.sum("paths").over(parent)).where(F.col("_paths") > most_children)
+        # Aggregates and a join, not a window, so that a directory of any number of children isn't one task.
+        parents = children.groupBy("host", "template").agg(F.count(F.when(literal, 1)).alias("_many"), F.sum(F.when(literal, F.col("n"))).alias("_all"), F.sum("paths").alias("_paths"))
+        busy = children.join(parents.where(F.col("_paths") > most_children), ["host", "template"])
         loose = literal & (F.col("_many") > most_children) & (F.col("n") < rare * F.col("_all"))
         x = cut(x.join(busy.select("host", "template", "_next", F.coalesce(loose, F.lit(False)).alias("_loose")), ["host", "template", "_next"], "left"))
         rest = F.slice("_parts", F.lit(level + 1), F.greatest(F.size("_parts") - level, F.lit(0)))
