@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import changelog, compare, conflicts, routing
+from tidemark.operators import changelog, compare, conflicts, folds, routing
 from tidemark.sources import readers, selection, sinks
 from tidemark.streaming import apply
 
@@ -42,6 +42,105 @@ def test_last_write_wins_is_the_sequential_rule(spark):
     assert empty.count() == 1
 
 
+def sequential(log, policy, primary=None):
+    """Decisions by the rules, one event at a time: {seqno: decision}."""
+    held, out = {}, {}
+    for s, pk, _, node, ts, _ in sorted(log):
+        if pk is None or ts is None:
+            out[s] = "APPLY"
+            continue
+        now = held.get(pk)
+        if now is None or ts > now[0]:
+            said = "APPLY"
+        elif node == now[1]:
+            said = "APPLY" if ts == now[0] else "SKIP"
+        elif policy == "error":
+            said = "ERROR"
+        else:
+            wins = node == primary if policy == "node_priority" else ts == now[0] and node > now[1]
+            said = "APPLY" if wins else "SKIP"
+        if said == "APPLY":
+            held[pk] = (ts, node)
+        out[s] = said
+    return out
+
+
+@pytest.mark.parametrize("policy", ["lww", "node_priority", "error"])
+def test_decisions_are_the_sequential_rules(spark, policy):
+    big, r = 2**60, random.Random(7)
+    log = [(s, r.choice([None, big, big + 1, 3]), op, node, r.choice([None, big + ts, big + ts + 1]), v) for s, _, op, node, ts, v in random_log(300)]
+    got = conflicts.decide(spark.createDataFrame(log, SCHEMA).repartition(3), ["pk"], policy, "n1").collect()
+    assert {r.seqno: r.decision for r in got} == sequential(log, policy, "n1")
+    assert {(r.seqno, r.pk, r.source_ts) for r in got} == {(x[0], x[1], x[4]) for x in log}
+    if policy != "node_priority":
+        lost = {r.seqno: r.winner for r in conflicts.conflict_log(spark.createDataFrame(log, SCHEMA), ["pk"], policy).collect()}
+        said = sequential(log, policy)
+        assert all(said[s] == ("APPLY" if w == "INCOMING" else "SKIP" if policy == "lww" else "ERROR") for s, w in lost.items()) and "STORED" in lost.values()
+
+
+def test_folds_with_nulls(spark):
+    rows = [(None, 1, 5), (None, 2, 6), (None, 3, None), (None, 4, 400), (1, 1, None), (1, 2, 2**60), (1, 3, 2**60 + 1), (1, 4, 2**60 + 300)]
+    df = spark.createDataFrame(rows, "k bigint, seqno bigint, at bigint")
+    fired = {(r.k, r.seqno) for r in folds.cooldown(df, ["k"], "at", ["seqno"], 300).collect() if r.fired}
+    assert fired == {(None, 1), (None, 4), (1, 2), (1, 4)}
+    levels = spark.createDataFrame([(None, i, x) for i, x in enumerate([1.0, 9.0, None, 5.0, 2.0, 5.0])], "k bigint, seqno bigint, level double")
+    assert [r.state for r in folds.hysteresis(levels, ["k"], "seqno", "level", 3.0, 8.0).orderBy("seqno").collect()] == ["RUNNING", "PAUSED", "PAUSED", "PAUSED", "RUNNING", "RUNNING"]
+
+
+def test_circuit_breaker(spark):
+    calls = [(0, True), (1, True), (2, False), (3, True), (4, True), (5, True), (6, False), (110, True), (200, False), (320, False), (330, True)]
+    df = spark.createDataFrame([("t", i, at, bad) for i, (at, bad) in enumerate(calls)], "k string, seqno bigint, at bigint, bad boolean")
+    got = [r.state for r in folds.breaker(df, ["k"], "seqno", "at", "bad", most=3, open_ms=100).orderBy("seqno").collect()]
+    assert got == ["CLOSED"] * 6 + ["OPEN", "HALF_OPEN", "OPEN", "HALF_OPEN", "CLOSED"]
+
+
+@pytest.mark.parametrize("width", [1, 7, 50, 1_000_000])
+def test_runs_do_not_depend_on_ranges(spark, width):
+    r, rows, runs = random.Random(5), [], {}
+    for s in range(300):
+        rows.append((s * 3, r.choice("ab"), r.choice([None, 1, 1, 2])))
+    for s, node, tx in rows:
+        mine = runs.setdefault(node, [])
+        if mine and mine[-1][1] == tx:
+            mine[-1][3:] = [s, mine[-1][4] + 1]
+        else:
+            mine.append([len(mine) + 1, tx, s, s, 1])
+    got = changelog.tx_runs(spark.createDataFrame(rows, "seqno bigint, node string, tx_id bigint"), "node", width)
+    assert sorted(map(str, (tuple(x) for x in got.collect()))) == sorted(str((n, *x)) for n, mine in runs.items() for x in mine)
+
+
+def test_components_by_union_find(spark):
+    r = random.Random(1)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(300 + i, 301 + i) for i in range(40)] + [(900, 900)]
+    root = {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            i = root[i]
+        return i
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = conflicts.conflict_components(spark.createDataFrame(edges, "a bigint, b bigint"), "a", "b").collect()
+    assert {(x.node, x.root) for x in got} == {(i, find(i)) for i in root} and len(got) == len(root)
+
+
+def test_checksum_tells_order_and_content(spark):
+    df = spark.range(5000).selectExpr("id * 7 AS id", "id % 5 AS v")
+    one = lambda d, **k: {tuple(r) for r in compare.checksum(d, ["id", "v"], ["id"], **k).collect()}
+    assert one(df) == one(df.repartition(9)) and one(df, width=10, levels=3) != one(df.withColumn("v", F.when(F.col("id") == 700, 9).otherwise(F.col("v"))), width=10, levels=3)
+    assert sum(r[1] for r in one(df, width=10, levels=3)) == 5000 and one(df.where("false")) == set()
+
+
+def test_content_compare(spark):
+    s = spark.createDataFrame([(1, 1.5), (2, 2.5)], "id int, v double")
+    said = lambda t, pk: tuple(compare.content_compare("t", s, t, pk).first())
+    assert said(s.repartition(2), ["id"]) == ("t", 0, 0, 0, "MATCH")
+    dearer = s.withColumn("v", F.col("v") + (F.col("id") == 2).cast("int"))
+    assert said(dearer, ["id"]) == ("t", 0, 0, 1, "MISMATCH") and said(dearer, None)[-1] == "NO_PK" and said(s, None)[-1] == "MATCH"
+
+
 def test_filter_transition(spark):
     rows = [(False, True), (True, False), (True, True), (False, False)]
     df = spark.createDataFrame([("u", *r) for r in rows], "op string, b boolean, a boolean")

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df``, written to the folder that the cluster names; to a temporary one only where it names none."""
+    """``df``, written to the folder that the cluster names; to a temporary one only where it names none and is one machine."""
     sc = df.sparkSession.sparkContext
     if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()

@@ -113,11 +113,25 @@ def tx_markers(log: DataFrame) -> DataFrame:
     return tx.select("tx_id", marks.alias("_m")).select("tx_id", "_m.*")
 
 
-def tx_runs(log: DataFrame, stream: str) -> DataFrame:
-    """Runs of consecutive events of one transaction within each stream: first and last seqno and how many."""
-    order = Window.partitionBy(stream).orderBy("seqno")
-    starts = ~F.coalesce(F.lag("tx_id").over(order).eqNullSafe(F.col("tx_id")), F.lit(False)) | F.lag("seqno").over(order).isNull()
-    x = log.withColumn("_run", F.sum(starts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+def tx_runs(log: DataFrame, stream: str, width: int = 1_000_000) -> DataFrame:
+    """Runs of consecutive events of one transaction within each stream: first and last seqno and how many.
+
+    A stream is cut into ranges of ``width`` positions, which are ordered side by side; the last event of each range
+    tells whether the next one goes on with its run, and counts of the runs that start in a range number them.
+    """
+    x = log.withColumn("_range", F.floor(F.col("seqno") / width))
+    order = Window.partitionBy(stream, "_range").orderBy("seqno")
+    x = x.withColumn("_first", F.lag("seqno").over(order).isNull()).withColumn("_starts", ~F.lag("tx_id").over(order).eqNullSafe(F.col("tx_id")))
+    ranges = x.groupBy(stream, "_range").agg(
+        F.min_by(F.struct("tx_id"), "seqno").alias("_head"), F.max_by(F.struct("tx_id"), "seqno").alias("_tail"), F.count_if(~F.col("_first") & F.col("_starts")).alias("_inner")
+    )
+    along = Window.partitionBy(stream).orderBy("_range")
+    goes_on = F.lag("_range").over(along).isNotNull() & F.lag("_tail").over(along)["tx_id"].eqNullSafe(F.col("_head.tx_id"))
+    ranges = ranges.withColumn("_goes_on", goes_on).withColumn("_runs", F.col("_inner") + F.when(F.col("_goes_on"), 0).otherwise(1))
+    ranges = ranges.withColumn("_before", F.coalesce(F.sum("_runs").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = x.join(ranges.select(stream, "_range", "_goes_on", "_before"), [stream, "_range"])
+    starts = F.when(F.col("_first"), ~F.col("_goes_on")).otherwise(F.col("_starts"))
+    x = x.withColumn("_run", F.col("_before") + F.sum(starts.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return x.groupBy(stream, "_run").agg(F.first("tx_id").alias("tx_id"), F.min("seqno").alias("first_seqno"), F.max("seqno").alias("last_seqno"), F.count("*").alias("events")).withColumnRenamed("_run", "run")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,17 +33,52 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.agg(F.count("*").alias("row_count"), F.coalesce(F.bit_xor(digest_number(row_digest(df, columns))), F.lit(0)).alias("fingerprint"))
 
 
-def checksum(df: DataFrame, columns: list[str], pk: list[str], buckets: int) -> DataFrame:
-    """An order-dependent checksum of each bucket of a numeric key: md5 over the rows' digests in key order.
+def checksum(df: DataFrame, columns: list[str], pk: list[str], width: int = 1000, levels: int = 2) -> DataFrame:
+    """An order-dependent checksum of each range of ``width`` to the power of ``levels`` values of a whole-number key.
 
-    The key is cut into even ranges, so that no text holds the whole table.
+    md5 over the digests of ``width`` neighbouring keys in key order, then over as many of those, and so on: no row holds
+    more than the rows of ``width`` keys, or ``width`` digests, whatever the table's size and the spread of its keys.
     """
-    low, high = df.agg(F.min(pk[0]), F.max(pk[0])).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // buckets))
-    bucket = F.floor((F.col(pk[0]) - (low or 0)) / width).cast("bigint")
-    x = df.select(bucket.alias("bucket"), F.struct(*pk, row_digest(df, columns).alias("d")).alias("r"))
-    rows = F.sort_array(F.collect_list("r"))
-    return x.groupBy("bucket").agg(F.count("*").alias("row_count"), F.md5(F.array_join(F.transform(rows, lambda r: r["d"]), "")).alias("checksum"))
+    x = df.select(F.floor(F.col(pk[0]) / width).cast("bigint").alias("bucket"), F.struct(*pk, row_digest(df, columns).alias("d")).alias("r"), F.lit(1).cast("bigint").alias("n"))
+    for level in range(levels):
+        if level:
+            x = x.select(F.floor(F.col("bucket") / width).cast("bigint").alias("bucket"), F.struct("bucket", F.col("checksum").alias("d")).alias("r"), F.col("row_count").alias("n"))
+        digests = F.transform(F.sort_array(F.collect_list("r")), lambda r: r["d"])
+        x = x.groupBy("bucket").agg(F.sum("n").alias("row_count"), F.md5(F.array_join(digests, "")).alias("checksum"))
+    return x
+
+
+def slice_counts(sources: list[tuple[str, str, str, DataFrame]], merged: DataFrame) -> DataFrame:
+    """source_count, target_count and their difference of each (node, database, table) that was merged: its own slice by the tags.
+
+    The merged table is counted once, for all slices together; slices that are no source's are told too.
+    """
+    tags = ["src_node", "src_db", "src_table"]
+    own = [df.agg(F.count("*").alias("source_count")).withColumns(dict(zip(tags, map(F.lit, (node, db, name)), strict=True))) for node, db, name, df in sources]
+    slices = merged.groupBy(*tags).agg(F.count("*").alias("target_count"))
+    x = reduce(DataFrame.unionByName, own).join(slices, tags, "full_outer").na.fill(0, ["source_count", "target_count"])
+    return x.select(*tags, "source_count", "target_count", F.abs(F.col("source_count") - F.col("target_count")).alias("difference"))
+
+
+def content_compare(name: str, source: DataFrame, target: DataFrame, pk: list[str] | None) -> DataFrame:
+    """One row: table_name, source_only, target_only, content_diff and verdict.
+
+    First the fingerprints of all columns, two numbers on the driver; only where they differ are rows compared.
+    Tables without a key have the verdict NO_PK, MATCH where their fingerprints agree.
+    """
+    spark, kinds = source.sparkSession, ("SOURCE_ONLY", "TARGET_ONLY", "CONTENT_DIFF")
+    row = lambda counts, said: F.struct(F.lit(name).alias("table_name"), *[F.lit(c).cast("bigint").alias(k.lower()) for k, c in zip(kinds, counts, strict=True)], F.lit(said).alias("verdict"))
+    prints = [tuple(fingerprint(df, source.columns).first()) for df in (source, target)]
+    if prints[0] == prints[1] or not pk:
+        return spark.range(1).select(F.inline(F.array(row((0, 0, 0), "MATCH" if prints[0] == prints[1] else "NO_PK"))))
+    counts = [F.count_if(F.col("diff_type") == k).alias(k.lower()) for k in kinds]
+    verdict = F.when(F.col("source_only") + F.col("target_only") + F.col("content_diff") == 0, "MATCH").otherwise("MISMATCH")
+    return row_diff(source, target, pk).agg(*counts).select(F.lit(name).alias("table_name"), *[k.lower() for k in kinds], verdict.alias("verdict"))
+
+
+def capped(diff: DataFrame, pk: list[str], most: int = 100) -> DataFrame:
+    """The first ``most`` differences in key order, for a report."""
+    return diff.orderBy(*pk).limit(most)
 
 
 def count_difference(pairs: list[tuple[str, DataFrame, DataFrame]]) -> DataFrame:
@@ -84,9 +121,3 @@ def document_diff(source: DataFrame, target: DataFrame, key: str, doc: str) -> D
     uneven = F.map_filter(F.map_zip_with("s", "t", lambda k, a, b: ~a.eqNullSafe(b)), lambda k, v: v)
     kind = F.when(F.col("t").isNull(), "SOURCE_ONLY").when(F.col("s").isNull(), "TARGET_ONLY").when(F.size(uneven) > 0, "CONTENT_DIFF")
     return x.select(key, kind.alias("diff_type"), F.coalesce(F.array_join(F.array_sort(F.map_keys(uneven)), ","), F.lit("")).alias("fields")).where("diff_type IS NOT NULL")
-
-
-def verdict(source_print: Column, target_print: Column, diffs: Column, has_pk: bool) -> Column:
-    if not has_pk:
-        return F.lit("NO_PK")
-    return F.when(source_print == target_print, "MATCH").when(diffs == 0, "MATCH").otherwise("MISMATCH")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import written
+from .components import components
 from .folds import ordered_fold
 
 
@@ -22,25 +25,55 @@ def last_write_wins(log: DataFrame, keys: list[str]) -> DataFrame:
     return won.unionByName(log.where(~known))
 
 
+def _known(keys: list[str]) -> Column:
+    """Whether an event has a key and a time to be judged by."""
+    return reduce(Column.__and__, [F.col(c).isNotNull() for c in ("source_ts", *keys)])
+
+
+def with_record(log: DataFrame, keys: list[str], policy: str) -> DataFrame:
+    """Adds held_ts and held_node: what is recorded of the key when the event comes, null where nothing is.
+
+    By ``lww`` that is the greatest (time, node) so far; by ``error`` the first event of the latest time so far, as no
+    other of that time is let in. Events without a key or a time have no record and leave none.
+    """
+    order = Window.partitionBy(*keys).orderBy("seqno").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.struct("source_ts", "node") if policy == "lww" else F.struct("source_ts", -F.col("seqno"), "node")
+    held = F.max(rank).over(order)
+    x = log.where(_known(keys)).withColumn("_held", held)
+    x = x.select(*log.columns, F.col("_held.source_ts").alias("held_ts"), F.col("_held.node").alias("held_node"))
+    return x.unionByName(log.where(~_known(keys)), allowMissingColumns=True)
+
+
 def decide(log: DataFrame, keys: list[str], policy: str, primary: str | None = None) -> DataFrame:
     """Adds decision (APPLY, SKIP or ERROR) to every event, in order of seqno for each key.
 
     A newer event applies; of one node an equally old one too; of another node an older or equal one is a conflict:
-    by ``lww`` the larger node wins a tie, by ``node_priority`` the primary wins, by ``error`` it is an error.
+    by ``lww`` the larger node wins a tie, by ``node_priority`` the primary wins, by ``error`` it is an error. Events
+    without a key or a time apply and are not remembered.
     """
+    if policy in ("lww", "error"):
+        newer = F.col("held_ts").isNull() | (F.col("source_ts") > F.col("held_ts"))
+        tie = (F.col("source_ts") == F.col("held_ts")) & ((F.col("node") >= F.col("held_node")) if policy == "lww" else (F.col("node") == F.col("held_node")))
+        lost = F.lit("SKIP") if policy == "lww" else F.when(F.col("node") == F.col("held_node"), "SKIP").otherwise("ERROR")
+        return with_record(log, keys, policy).withColumn("decision", F.when(newer | tie, F.lit("APPLY")).otherwise(lost)).drop("held_ts", "held_node")
+    if policy != "node_priority":
+        raise ValueError(f"no policy: {policy}")
 
     def step(state, row):
         ts, node = row["source_ts"], row["node"]
-        if state is None or ts > state[0]:
-            return (ts, node), ("APPLY",)
-        if node == state[1]:
-            return ((ts, node), ("APPLY",)) if ts == state[0] else (state, ("SKIP",))
-        if policy == "error":
-            return state, ("ERROR",)
-        wins = node == primary if policy == "node_priority" else ts == state[0] and node > state[1]
+        wins = state is None or ts > state[0] or (ts == state[0] if node == state[1] else node == primary)
         return ((ts, node), ("APPLY",)) if wins else (state, ("SKIP",))
 
-    return ordered_fold(log, keys, ["seqno"], step, None, {"decision": "string"})
+    judged = ordered_fold(log.where(_known(keys)), keys, ["seqno"], step, None, {"decision": "string"}, ["source_ts", "node"])
+    return judged.unionByName(log.where(~_known(keys)).withColumn("decision", F.lit("APPLY")))
+
+
+def conflict_log(log: DataFrame, keys: list[str], policy: str = "lww") -> DataFrame:
+    """Events that met another node's record as new as they are or newer: who came, what was held and who won."""
+    x = with_record(log, keys, policy).where((F.col("node") != F.col("held_node")) & (F.col("source_ts") <= F.col("held_ts")))
+    wins = (F.col("source_ts") == F.col("held_ts")) & (F.col("node") > F.col("held_node")) if policy == "lww" else F.lit(False)
+    winner = F.when(wins, "INCOMING").otherwise("STORED")
+    return x.select(*keys, "seqno", F.col("node").alias("incoming_node"), F.col("source_ts").alias("incoming_ts"), F.col("held_node").alias("stored_node"), F.col("held_ts").alias("stored_ts"), F.lit(policy).alias("policy"), winner.alias("winner"))
 
 
 def before_image_check(log: DataFrame, target: DataFrame, keys: list[str], before: str, held: str) -> DataFrame:
@@ -59,20 +92,12 @@ def conflict_keys(log: DataFrame, batch: str, table: str, pk: str) -> DataFrame:
     return x.withColumn("conflict_key", key).drop("_whole")
 
 
-def conflict_components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
-    """(node, root): groups of nodes that share edges, by min-label rounds with shortcuts, until nothing changes."""
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    both = written(both)
-    labels = written(both.select(F.col("x").alias("node")).distinct().withColumn("root", F.col("node")))
-    for _ in range(rounds):
-        near = both.join(labels, both["x"] == labels["node"]).groupBy(F.col("y").alias("node")).agg(F.min("root").alias("near"))
-        low = labels.join(near, "node", "left").select("node", "root", F.least("root", F.coalesce("near", "root")).alias("next"))
-        up = labels.select(F.col("node").alias("next"), F.col("root").alias("up"))
-        moved = written(low.join(up, "next", "left").select("node", F.col("root").alias("was"), F.least("next", F.coalesce("up", "next")).alias("root")))
-        labels = moved.select("node", "root")
-        if moved.where("was <> root").isEmpty():
-            return labels
-    raise RuntimeError("components didn't settle")
+def conflict_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, root): groups of nodes that share edges; a node that meets only itself is a group of its own."""
+    edges = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
+    found = components(edges)
+    alone = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(found, "node", "left_anti")
+    return found.unionByName(alone.withColumn("root", F.col("node")))
 
 
 def dependency_layers(log: DataFrame, batch: str, key: str, barrier: str) -> DataFrame:

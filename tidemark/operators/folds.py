@@ -4,53 +4,81 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 
-def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable, start: object, out: dict[str, str]) -> DataFrame:
+def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable, start: object, out: dict[str, str], reads: list[str]) -> DataFrame:
     """Adds the columns ``out`` (name to type) that ``step(state, row) -> (state, values)`` gives, in order for each key.
 
     Rows of a key meet in one partition, sorted, and stream past the fold: what is held is one state, however many
-    rows a key has. Only folds that have no associative form should come here.
+    rows a key has. Only folds that have no associative form should come here; ``reads`` are the columns that a step
+    looks at. Values keep their types: a null is None, and whole numbers of any size are exact.
     """
-    names = df.columns
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{k}` {v}" for k, v in out.items()])
+    kinds = {k: to_arrow_type(_parse_datatype_string(v)) for k, v in out.items()}
+    seen = list(dict.fromkeys([*keys, *reads]))
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = object(), start
-        for frame in frames:
+        for batch in batches:
             added = []
-            for row in frame.itertuples(index=False, name=None):
-                record = dict(zip(names, row, strict=True))
-                if (now := tuple(record[k] for k in keys)) != key:
+            for values in zip(*(batch.column(c).to_pylist() for c in seen), strict=True):
+                row = dict(zip(seen, values, strict=True))
+                if (now := tuple(row[k] for k in keys)) != key:
                     key, state = now, start
-                state, values = step(state, record)
-                added.append(values)
-            extra = pd.DataFrame(added, columns=list(out), index=frame.index)
-            yield pd.concat([frame, extra], axis=1)
+                state, said = step(state, row)
+                added.append(said)
+            extra = [pa.array([a[i] for a in added], kind) for i, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, *kinds])
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(rows, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(rows, schema)
 
 
 def cooldown(df: DataFrame, keys: list[str], at: str, ties: list[str], seconds: int = 300) -> DataFrame:
-    """Adds fired: whether the row comes at least ``seconds`` after the last one that fired.
+    """Adds fired: whether the row comes at least ``seconds`` after the last one that fired; a row without a time doesn't.
 
     ``at``: whole seconds; ``ties``: the order of rows of one second.
     """
 
     def step(last, row):
-        fires = last is None or row[at] - last >= seconds
+        fires = row[at] is not None and (last is None or row[at] - last >= seconds)
         return (row[at] if fires else last), (fires,)
 
-    return ordered_fold(df, keys, [at, *ties], step, None, {"fired": "boolean"})
+    return ordered_fold(df, keys, [at, *ties], step, None, {"fired": "boolean"}, [at])
 
 
-def hysteresis(df: DataFrame, keys: list[str], order: str, level: str, low: float, high: float) -> DataFrame:
-    """Adds state: PAUSED above ``high`` until below ``low``, else RUNNING."""
+def breaker(df: DataFrame, keys: list[str], order: str, at: str, failed: str, most: int = 5, open_ms: int = 1000, factor: float = 2.0, longest_ms: int = 60_000) -> DataFrame:
+    """Adds state: what a circuit breaker says when the call comes: CLOSED, HALF_OPEN (the call is a trial) or OPEN (refused).
+
+    ``most`` failures in a row open it for ``open_ms``; after that one trial is let through, which closes it or opens it
+    for ``factor`` times as long, ``longest_ms`` at most. A refused call's outcome doesn't count.
+    """
+
+    def step(state, row):
+        failures, until, wait = state
+        if until is not None and row[at] < until:
+            return state, ("OPEN",)
+        said = "CLOSED" if until is None else "HALF_OPEN"
+        if not row[failed]:
+            return (0, None, open_ms), (said,)
+        if said == "HALF_OPEN":
+            wait = min(int(wait * factor), longest_ms)
+            return (failures, row[at] + wait, wait), (said,)
+        failures += 1
+        return (failures, row[at] + wait if failures >= most else None, wait), (said,)
 
-    def step(paused, row):
-        paused = row[level] > high or (paused and row[level] >= low)
-        return paused, ("PAUSED" if paused else "RUNNING",)
+    return ordered_fold(df, keys, [order], step, (0, None, open_ms), {"state": "string"}, [at, failed])
 
-    return ordered_fold(df, keys, [order], step, False, {"state": "string"})
+
+def hysteresis(df: DataFrame, keys: list[str], order: str, level: str, low: float, high: float) -> DataFrame:
+    """Adds state: PAUSED above ``high`` until below ``low``, else RUNNING: whichever threshold was crossed last.
+
+    A null level crosses none.
+    """
+    crossed = F.when(F.col(level) > high, "PAUSED").when(F.col(level) < low, "RUNNING")
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("state", F.coalesce(F.last(crossed, ignorenulls=True).over(so_far), F.lit("RUNNING")))

@@ -164,7 +164,7 @@ def conflict_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users whose events share a transaction, in batches of 40 transactions."""
-    log = change_log(spark, sf_dir).where("tx_id % 3 = 0").withColumn("batch", F.floor(F.col("tx_id") / 40))
+    log = change_log(spark, sf_dir).withColumn("batch", F.floor(F.col("tx_id") / 40))
     node = lambda c: (F.col("batch") * 1_000_000 + F.col(c)).cast("bigint")
     one = log.groupBy("batch", "tx_id").agg(F.min("pk").alias("least"))
     return log.join(one, ["batch", "tx_id"]).select(node("pk").alias("a"), node("least").alias("b"))
@@ -259,7 +259,7 @@ SQL = {
         SELECT seqno, CASE WHEN seqno % 2 = 0 OR source_ts > held_ts OR (source_ts = held_ts AND node >= held_node) THEN 'APPLY' ELSE 'SKIP' END AS decision FROM c JOIN h USING (pk)""",
     "conflict_keys": f"""WITH {LOG}, x AS (SELECT seqno, seqno // 50 AS batch, 'app.' || event_type AS tbl, pk FROM log), w AS (SELECT DISTINCT batch, tbl FROM x WHERE pk % 40 = 0)
         SELECT seqno, CASE WHEN w.tbl IS NOT NULL THEN 'T|' || x.tbl ELSE 'R|' || x.tbl || '|' || pk END AS conflict_key FROM x LEFT JOIN w ON x.batch = w.batch AND x.tbl = w.tbl""",
-    "conflict_components": f"""WITH RECURSIVE {LOG}, x AS (SELECT tx_id // 40 AS batch, tx_id, pk FROM log WHERE tx_id % 3 = 0), l AS (SELECT batch, tx_id, min(pk) AS least_ FROM x GROUP BY ALL),
+    "conflict_components": f"""WITH RECURSIVE {LOG}, x AS (SELECT tx_id // 40 AS batch, tx_id, pk FROM log), l AS (SELECT batch, tx_id, min(pk) AS least_ FROM x GROUP BY ALL),
         e AS (SELECT DISTINCT batch * 1000000 + pk AS a, batch * 1000000 + least_ AS b FROM x JOIN l USING (batch, tx_id)), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
         r AS (SELECT a AS node, a AS other FROM w UNION SELECT r.node, w.b FROM r JOIN w ON r.other = w.a) SELECT node, min(other) AS root FROM r GROUP BY node""",
     "dependency_layers": f"""WITH {LOG}, x AS (SELECT seqno, seqno // 100 AS batch, seqno % 37 = 0 AS barrier, CASE WHEN pk % 9 <> 0 THEN pk % 12 END AS key FROM log),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..operators import compare
 from .inputs import PAIR, epoch_ms, order_pair, table
 
@@ -21,7 +22,7 @@ def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.checksum(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"], ["o_orderkey"], 64)
+    return compare.checksum(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"], ["o_orderkey"])
 
 
 def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,20 +48,20 @@ def repair_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def repair_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = order_pair(spark, sf_dir)
-    fixed = compare.repaired(source, target, _diff(spark, sf_dir), ["o_orderkey"])
+    fixed = compare.repaired(source, target, written(_diff(spark, sf_dir)), ["o_orderkey"])
     left = compare.row_diff(source, fixed, ["o_orderkey"]).agg(F.count("*").alias("left_over"))
     return left.withColumn("table_name", F.lit("orders"))
 
 
 def content_compare_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = order_pair(spark, sf_dir)
-    by_kind = _diff(spark, sf_dir).groupBy("diff_type").agg(F.count("*").alias("rows"))
-    # Keyed by a constant of one value: fingerprints are one row each.
-    x = compare.fingerprint(source, ["o_orderkey", "o_custkey", "o_orderstatus"]).select(F.lit("orders").alias("t"), F.col("fingerprint").alias("s"))
-    y = compare.fingerprint(target, ["o_orderkey", "o_custkey", "o_orderstatus"]).select(F.lit("orders").alias("t"), F.col("fingerprint").alias("g"))
-    n = by_kind.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("diffs"), *[F.coalesce(F.sum(F.when(F.col("diff_type") == k, F.col("rows"))), F.lit(0)).alias(k.lower()) for k in ("SOURCE_ONLY", "TARGET_ONLY", "CONTENT_DIFF")]).withColumn("t", F.lit("orders"))
-    out = x.join(y, "t").join(n, "t")
-    return out.select(F.col("t").alias("table_name"), "source_only", "target_only", "content_diff", compare.verdict(F.col("s"), F.col("g"), F.col("diffs"), True).alias("verdict"))
+    same = table(spark, sf_dir, "customer")
+    return compare.content_compare("orders", source, target, ["o_orderkey"]).unionByName(compare.content_compare("customer", same, same.repartition(3), ["c_custkey"]))
+
+
+def diff_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred differences, as a report shows them."""
+    return compare.capped(_diff(spark, sf_dir).select("o_orderkey", "diff_type"), ["o_orderkey"])
 
 
 def diff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,7 @@ def scope_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.intersect(b)
 
 
-QUERIES = {f.__name__: f for f in (compare_row_count, table_fingerprint, table_checksum, diff_rows, diff_fields, missing_rows_anti, repair_actions, repair_verify, content_compare_summary, diff_documents, bidi_recent_updates, precheck_out_of_scope_fk, scope_conflicts)}
+QUERIES = {f.__name__: f for f in (compare_row_count, table_fingerprint, table_checksum, diff_rows, diff_fields, missing_rows_anti, repair_actions, repair_verify, content_compare_summary, diff_capped, diff_documents, bidi_recent_updates, precheck_out_of_scope_fk, scope_conflicts)}
 
 _DIGEST = "md5(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus))"
 _PRINT = f"coalesce(bit_xor(('0x' || substr({_DIGEST}, 1, 15))::BIGINT), 0)"
@@ -103,15 +104,17 @@ _DIFF = f"""{PAIR}, d AS (SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_order
 SQL = {
     "compare_row_count": f"WITH {PAIR} SELECT 'orders' AS table_name, (SELECT count(*) FROM source) AS source_count, (SELECT count(*) FROM target) AS target_count, abs((SELECT count(*) FROM source) - (SELECT count(*) FROM target)) AS difference",
     "table_fingerprint": f"SELECT count(*) AS row_count, {_PRINT} AS fingerprint FROM orders",
-    "table_checksum": f"""WITH b AS (SELECT min(o_orderkey) AS lo, greatest(1, (max(o_orderkey) - min(o_orderkey) + 64) // 64) AS width FROM orders)
-        SELECT (o_orderkey - lo) // width AS bucket, count(*) AS row_count, md5(string_agg({_DIGEST}, '' ORDER BY o_orderkey)) AS checksum FROM orders, b GROUP BY bucket""",
+    "table_checksum": f"""WITH a AS (SELECT o_orderkey // 1000 AS b, count(*) AS n, md5(string_agg({_DIGEST}, '' ORDER BY o_orderkey)) AS d FROM orders GROUP BY 1)
+        SELECT b // 1000 AS bucket, sum(n)::BIGINT AS row_count, md5(string_agg(d, '' ORDER BY b)) AS checksum FROM a GROUP BY 1""",
     "diff_rows": f"WITH {_DIFF} SELECT * FROM d WHERE diff_type IS NOT NULL",
     "diff_fields": f"WITH {_DIFF} SELECT o_orderkey, 'o_totalprice' AS fields FROM d WHERE diff_type = 'CONTENT_DIFF'",
     "missing_rows_anti": f"WITH {PAIR} SELECT * FROM source WHERE o_orderkey NOT IN (SELECT o_orderkey FROM target)",
     "repair_actions": f"WITH {_DIFF} SELECT o_orderkey, CASE WHEN diff_type = 'TARGET_ONLY' THEN 'DELETE' ELSE 'UPSERT' END AS action FROM d WHERE diff_type IS NOT NULL",
     "repair_verify": "SELECT 0::BIGINT AS left_over, 'orders' AS table_name",
     "content_compare_summary": f"""WITH {_DIFF} SELECT 'orders' AS table_name, count(*) FILTER (WHERE diff_type = 'SOURCE_ONLY') AS source_only, count(*) FILTER (WHERE diff_type = 'TARGET_ONLY') AS target_only,
-        count(*) FILTER (WHERE diff_type = 'CONTENT_DIFF') AS content_diff, CASE WHEN count(diff_type) = 0 THEN 'MATCH' ELSE 'MISMATCH' END AS verdict FROM d""",
+        count(*) FILTER (WHERE diff_type = 'CONTENT_DIFF') AS content_diff, CASE WHEN count(diff_type) = 0 THEN 'MATCH' ELSE 'MISMATCH' END AS verdict FROM d
+        UNION ALL SELECT 'customer', 0, 0, 0, 'MATCH'""",
+    "diff_capped": f"WITH {_DIFF} SELECT * FROM d WHERE diff_type IS NOT NULL ORDER BY o_orderkey LIMIT 100",
     "diff_documents": """SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'SOURCE_ONLY' ELSE 'CONTENT_DIFF' END AS diff_type, CASE WHEN event_id % 17 = 0 THEN '' ELSE 'k' END AS fields
         FROM events WHERE event_id % 17 = 0 OR event_id % 13 = 0""",
     "bidi_recent_updates": """WITH x AS (SELECT event_id % 2 AS side, (epoch_us(ts) // 1000) AS at_ms FROM events), r AS (SELECT count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM x WHERE at_ms >= (SELECT max(at_ms) FROM x) - 86400000)

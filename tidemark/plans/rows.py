@@ -101,8 +101,10 @@ def dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """State of the log's keys as of a position."""
-    return change_log(spark, sf_dir).where("seqno <= 500").groupBy("pk").agg(F.max("seqno").alias("seqno"), F.max_by("op", "seqno").alias("op"))
+    """State of the log's keys as of the middle of its positions."""
+    log = change_log(spark, sf_dir)
+    low, high = log.agg(F.min("seqno"), F.max("seqno")).first()
+    return log.where(F.col("seqno") <= ((low or 0) + (high or 0)) // 2).groupBy("pk").agg(F.max("seqno").alias("seqno"), F.max_by("op", "seqno").alias("op"))
 
 
 def row_size(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +205,7 @@ SQL = {
           lpad((abs(event_id - 500) * 100 // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((abs(event_id - 500) * 100 % 60)::VARCHAR, 2, '0') AS time_text,
         CASE event_id % 3 WHEN 1 THEN true WHEN 0 THEN false END AS flag, '10:00:0' || (event_id % 10) AS plain_time FROM events""",
     "dead_letter": "SELECT event_id, 'x' || event_id AS raw, 'not a number: raw' AS reason FROM events WHERE event_id % 10 = 0",
-    "snapshot_as_of": f"WITH {LOG} SELECT pk, max(seqno) AS seqno, arg_max(op, seqno) AS op FROM log WHERE seqno <= 500 GROUP BY pk",
+    "snapshot_as_of": f"WITH {LOG} SELECT pk, max(seqno) AS seqno, arg_max(op, seqno) AS op FROM log WHERE seqno <= (SELECT (min(seqno) + max(seqno)) // 2 FROM log) GROUP BY pk",
     "row_size": "SELECT c_mktsegment, sum(8 + 3 * length(c_name) + 8)::BIGINT AS bytes, count(*) AS rows FROM customer GROUP BY c_mktsegment",
     "mask_phone": f"{_PERSON} SELECT c_custkey, {_PHONE} AS masked FROM p",
     "mask_id_card": f"{_PERSON} SELECT c_custkey, {_IDCARD} AS masked FROM p",
