@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, only, saved, sized_slices, table
-from .components import components
+from ..operators.components import components
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
