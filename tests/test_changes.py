@@ -157,7 +157,7 @@ def test_repair(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     log = random_log()
-    source, sink = str(tmp_path / "log"), sinks.VersionedTable(spark, str(tmp_path / "table"), ["pk"])
+    source, sink = str(tmp_path / "log"), sinks.KeyedTable(spark, str(tmp_path / "table"), ["pk"], 4)
     for part in range(4):
         spark.createDataFrame(log[part * 100 : part * 100 + 100], SCHEMA).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
@@ -205,6 +205,69 @@ def test_sources_and_sinks(spark, tmp_path):
     assert outcome == {"good": "ok", "bad": "failed: ZeroDivisionError"}
 
 
+def test_keyed_table(spark, tmp_path):
+    t = sinks.KeyedTable(spark, str(tmp_path / "t"), ["pk"], 4)
+    assert t.read() is None
+    t.expire(10)
+    rows = lambda n, v: spark.createDataFrame([(i, i, "c", v) for i in n], "pk bigint, seqno bigint, op string, v string")
+    t.merge(rows(range(100), "a"))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    t.merge(rows([3], "b"))
+    t.merge(rows([], "x"))
+    kept = [p for p, at in before.items() if p.exists() and p.stat().st_mtime_ns == at]
+    assert 0 < len(kept) < len(before) and len({p.parent for p in kept}) == 3  # one partition was rewritten
+    assert {(r.pk, r.v) for r in t.read().collect()} == {(i, "b" if i == 3 else "a") for i in range(100)}
+    t.merge(spark.createDataFrame([(i, 200 + i, "d", None) for i in range(100)], "pk bigint, seqno bigint, op string, v string"))
+    t.expire(250)
+    left = sorted(r.pk for r in t.read().collect())
+    assert set(range(50, 100)) <= set(left) and len(left) <= 54
+
+
+def test_jdbc_writes_what_is_missing(spark):
+    url, driver = "jdbc:derby:memory:tidemark_write;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    df = spark.range(50).selectExpr("id AS ID", "CAST(id * 2 AS INT) AS V")
+    df.where("ID < 20").write.format("jdbc").options(url=url, dbtable="W", driver=driver).save()
+    assert sinks.write_jdbc(df.unionByName(df.where("ID = 30")), url, "W", ["ID"], batch=7, driver=driver) == {"rows": 51, "written": 30, "skipped": 21}
+    assert sinks.write_jdbc(df, url, "W", ["ID"], driver=driver) == {"rows": 50, "written": 0, "skipped": 50}
+    assert readers.read_jdbc(spark, url, "W", "ID", 3, driver=driver).agg(F.sum("V")).first()[0] == 2 * sum(range(50))
+
+
+def test_loads_and_statistics(spark, tmp_path):
+    told = sinks.load_tables({"a": lambda: 1, "b": lambda: 1 / 0, "c": lambda: 2}, 2)
+    assert told == {"a": "ok", "b": "failed: ZeroDivisionError", "c": "ok"}
+    assert sinks.load_tables({"b": lambda: 1 / 0, "c": lambda: 2}, 1, stop=True)["c"] == "not begun"
+    df, seen = sinks.load_statistics(spark.createDataFrame([(1, "ab"), (2, None)], "id bigint, v string"), ["id", "v"])
+    df.write.parquet(str(tmp_path / "x"))
+    assert seen.get == {"rows": 2, "bytes": 8 + 6 + 8 + 1}
+
+
+def test_error_policies(spark):
+    log = spark.createDataFrame([(i, f"e{i}", i == 5) for i in range(10)], "seqno bigint, event_id string, failed boolean")
+    good, aside = sinks.route_errors(log, "failed", ["e1"], [2], "DEAD_LETTER")
+    assert {r.seqno for r in good.collect()} == {0, 3, 4, 6, 7, 8, 9} and {(r.seqno, r.reason) for r in aside.collect()} == {(1, "skipped"), (2, "skipped"), (5, "failed")}
+    good, aside = sinks.route_errors(log, "failed", ["e5"], [])
+    assert good.count() == 9 and aside.first().seqno == 5
+    with pytest.raises(Exception, match="event failed at 5"):
+        sinks.route_errors(log, "failed", [], [])[0].collect()
+
+
+def test_transactions_of_a_stream(spark, tmp_path):
+    rows = [(1, 1, False), (2, 2, False), (3, 1, True), (4, 3, False), (5, 2, True)]
+    for i, part in enumerate((rows[:2], rows[2:])):
+        spark.createDataFrame(part, "seqno bigint, tx_id bigint, tx_last boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema("seqno bigint, tx_id bigint, tx_last boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    q = apply.whole_transactions(stream, 1000).writeStream.format("memory").queryName("whole").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    try:
+        for _ in range(60):
+            got = {(r.seqno, r.tx_id, r.flushed) for r in spark.sql("SELECT * FROM whole").collect()}
+            if len(got) == 5:
+                break
+            q.awaitTermination(1)
+    finally:
+        q.stop()
+    assert got == {(1, 1, False), (3, 1, False), (2, 2, False), (5, 2, False), (4, 3, True)}
+
+
 def test_jdbc_in_ranges(spark):
     url, driver = "jdbc:derby:memory:tidemark;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
     spark.range(-5, 95).withColumnRenamed("id", "ID").write.format("jdbc").options(url=url, dbtable="T", driver=driver).save()

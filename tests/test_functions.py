@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import columns, masking, statements, types, values
+from tidemark.functions import columns, ddl, masking, statements, types, values
+from tidemark.sources import messages
 
 
 def one(spark, column, **cells):
@@ -79,3 +80,45 @@ def test_statements(spark):
 def test_scope(spark):
     rows = spark.createDataFrame([("db1.click",), ("DB2.x",), (None,)], "n string")
     assert [r.n for r in rows.where(columns.in_scope(F.col("n"), ["db*.*"], ["db2.*"])).collect()] == ["db1.click", None]
+
+
+def test_schema_statements(spark):
+    pg = lambda s: one(spark, ddl.translated(F.lit(s), "mysql", "pg"))
+    my = lambda s: one(spark, ddl.translated(F.lit(s), "pg", "mysql"))
+    assert pg("CREATE TABLE t (a int(11) NOT NULL AUTO_INCREMENT, b bigint unsigned, c double, d enum('int','b') COMMENT 'x int', e json) ENGINE=InnoDB COMMENT='t' AUTO_INCREMENT=7") == "CREATE TABLE t (a SERIAL NOT NULL, b NUMERIC(20,0), c DOUBLE PRECISION, d VARCHAR(255), e JSONB)"
+    assert pg("alter table `a` modify column `b` varchar(9)") == 'alter table "a" ALTER COLUMN "b" TYPE varchar(9)' and pg("ALTER TABLE a CHANGE COLUMN b b INT") == "ALTER TABLE a ALTER COLUMN b TYPE INTEGER"
+    assert pg("ALTER TABLE a CHANGE COLUMN b c INT") is None and pg("GRANT ALL ON x TO y") is None and pg(None) is None
+    assert pg("CREATE INDEX i ON t (c(20)) USING BTREE") == "CREATE INDEX i ON t (c)" and pg("DROP INDEX i ON t") == "DROP INDEX i" and pg("RENAME TABLE a TO b") == "ALTER TABLE a RENAME TO b"
+    assert pg("ALTER TABLE t ADD COLUMN time DATETIME DEFAULT 'it''s int'") == "ALTER TABLE t ADD COLUMN time TIMESTAMP DEFAULT 'it''s int'"
+    assert my('CREATE TABLE "t" ("a" character varying(9), "b" numeric(5,2), "c" timestamp with time zone, "d" double precision, "e" int4[])') == "CREATE TABLE `t` (`a` VARCHAR(9), `b` DECIMAL(5,2), `c` DATETIME, `d` DOUBLE, `e` TEXT) ENGINE=InnoDB"
+    name = lambda s, m: one(spark, ddl.renamed(F.lit(s), m))
+    assert name("update `a`.`t` set t = 'from t'", {"a.t": "b.u", "t": "x"}) == "update b.u set t = 'from t'" and name("select t from t join tt on t.a = 1", {"t": "u"}) == "select t from u join tt on t.a = 1"
+    merged = one(spark, ddl.merged_table(F.lit("CREATE TABLE t (\n  a INT,\n  PRIMARY KEY (a(10), b)\n) ENGINE=x PARTITION BY HASH(a)"), ["s"]))
+    assert merged == "CREATE TABLE t (\n  a INT,\n  PRIMARY KEY (a(10), b, `s`), `s` VARCHAR(64) NOT NULL DEFAULT ''\n) ENGINE=x PARTITION BY HASH(a)"
+    assert one(spark, ddl.merged_table(F.lit("CREATE TABLE t (a INT)"), ["s"])) is None
+    assert one(spark, ddl.split_table(F.lit("create table if not exists a.t (id int auto_increment) auto_increment=5"), F.lit("t_3"))) == "create table if not exists t_3 (id int)"
+
+
+def test_create_table(spark):
+    text = types.create_table("made", [("id", "bigint unsigned"), ("order", "varchar(9)"), ("at", "datetime"), ("part", "int")], "mysql", {"src": "string"}, ["part"])
+    spark.sql(text)
+    try:
+        assert [(f.name, f.dataType.simpleString()) for f in spark.table("made").schema] == [("id", "decimal(20,0)"), ("order", "string"), ("at", "timestamp_ntz"), ("src", "string"), ("part", "int")]
+    finally:
+        spark.sql("DROP TABLE made")
+    assert types.map_type("pg", "mysql", "timestamp(3)") == "DATETIME" and types.map_type("pg", "mysql", "jsonb_ext") == "JSON"
+
+
+def test_chain_of_filters(spark):
+    steps = [(20, "small", lambda d: d.where("id < 6")), (10, "even", lambda d: d.where("id % 2 = 0")), (15, "broken", lambda d: d.where("nothing = 1"))]
+    out, told = columns.chained(spark.range(10), steps)
+    assert [r.id for r in out.orderBy("id").collect()] == [0, 2, 4] and {k: o.get["passed"] for k, o in told.items()} == {"even": 5, "small": 3}
+
+
+def test_messages(spark):
+    rows = [(1, '{"type":"UPDATE","database":"d","table":"t","es":9,"data":[{"a":"1","b":"2"}],"old":[{"b":null}]}'), (2, "x"), (3, '{"type":"TIDB_WATERMARK","_tidb":{"watermarkTs":2621440}}'), (4, None)]
+    parsed = messages.parse_canal(spark.createDataFrame(rows, "n int, value string"))
+    assert {r.n: r.kind for r in parsed.collect()} == {1: "ROW", 2: "BROKEN", 3: "HEARTBEAT", 4: "BROKEN"}
+    assert parsed.where("n = 3").select(messages.canal_time().alias("t")).first().t == 10
+    r = messages.canal_changes(parsed, ["d"]).first()
+    assert (r.op, r.source_ts, r.after, r.before) == ("u", 9, {"a": "1", "b": "2"}, {"a": "1", "b": None}) and messages.canal_changes(parsed, ["e"]).isEmpty()

@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidemark.operators import routing
+from tidemark.operators import route_config, routing
 from tidemark.operators.routing import SplitRule
 
 
@@ -60,3 +60,35 @@ def test_merge_checks_columns(spark):
     with pytest.raises(ValueError):
         routing.merge_tagged([("n", "d", "t", a.withColumn("x", F.lit(1)))], ["ID"])
     assert routing.merge_tagged([("n", "d", "t", a), ("n", "d", "u", a)], ["ID"]).count() == 2
+
+
+SPLIT = {"route.mode": "split", "route.split.1.match": "app.order", "route.split.1.shard.key": "k", "route.split.1.count": "4", "route.split.1.target.table": "order_${shard}"}
+
+
+def test_configured_routes(spark):
+    routes = route_config.parse_routes(SPLIT)
+    assert routes.of("APP.order").shards == 4 and routes.of("app.other") is None
+    assert routes.compare_targets("n", "app.order") == [("app", f"order_{i}", "") for i in range(4)] and routes.compare_targets("n", "a.b") == [("a", "b", "")]
+    df = spark.createDataFrame([(5,), (6,)], "k bigint")
+    assert sorted((r.target_db, r.target_table) for r in route_config.routed(df, "app.order", routes).collect()) == [("app", "order_1"), ("app", "order_2")]
+    assert route_config.routed(df, "a.b", routes).select("target_db", "target_table").distinct().collect() == [("a", "b")]
+    merge = route_config.parse_routes({"route.mode": "MERGE", "route.merge.1.match": "regex:db\\d+\\.t", "route.merge.1.target": "dw.all", "route.merge.1.tag.columns": "_src_db"})
+    assert merge.compare_targets("n", "db7.t") == [("dw", "all", "_src_db = 'db7'")] and merge.of("dbx.t") is None
+    date = SPLIT | {"route.split.1.algo": "DATE_FORMAT", "route.split.1.date.format": "yyyyMM", "route.split.1.unrouted": "ERROR"}
+    assert route_config.parse_routes(date).compare_targets("n", "app.order") is None and route_config.parse_routes({}).mode == "NONE"
+    ranges = SPLIT | {"route.split.1.algo": "RANGE", "route.split.1.range": "0:10,10:20"}
+    assert route_config.parse_routes(ranges).of("app.order").ranges == ((0, 10), (10, 20))
+
+
+@pytest.mark.parametrize(
+    "wrong",
+    [
+        {"route.mode": "BOTH"}, {"route.split.1.count": "0"}, {"route.split.1.count": "x"}, {"route.split.1.algo": "ROUND"}, {"route.split.1.target.table": "t"}, {"route.split.1.target.table": "t_${shard%2}"},
+        {"route.split.1.target.table": "a b${shard}"}, {"route.split.1.unrouted": "LOSE"}, {"route.split.1.target.group": "g"}, {"route.split.1.algo": "RANGE", "route.split.1.range": "0:10,5:20"},
+        {"route.split.1.algo": "LIST", "route.split.1.list": "CN"}, {"route.split.1.algo": "DATE_FORMAT"}, {"route.split.1.shard.key": ""}, {"route.split.2.match": "x.y"}, {"route.mode": "MERGE"},
+        {"route.mode": "MERGE", "route.merge.1.match": "a.b", "route.merge.1.target": "a-b"}, {"route.mode": "MERGE", "route.merge.1.match": "a.b", "route.merge.1.target": "c", "route.merge.1.pk.strategy": "ANY"},
+    ],
+)
+def test_wrong_routes_are_errors(wrong):
+    with pytest.raises(ValueError):
+        route_config.parse_routes(SPLIT | wrong)

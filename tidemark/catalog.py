@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import changes, checks, observe, routes, rows
+from .plans import changes, checks, observe, routes, rows, schema
 
-PARTS = (rows, routes, changes, checks, observe)
+PARTS = (rows, routes, changes, checks, observe, schema)
 
 
 def queries() -> dict:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 OPERATORS = {
@@ -71,6 +73,23 @@ def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed(exact | {c: lower[c.lower()] for c in df.columns if c not in exact and c.lower() in lower})
 
 
+def chained(df: DataFrame, steps: list[tuple[int, str, Callable[[DataFrame], DataFrame]]]) -> tuple[DataFrame, dict[str, Observation]]:
+    """Filters one after another by ascending priority, and for each an observation of the rows that it passed on.
+
+    A filter that can't be applied to these columns passes all rows on, and has no observation.
+    """
+    told = {}
+    for _, name, step in sorted(steps, key=lambda s: s[0]):
+        try:
+            out = step(df)
+            out.schema  # noqa: B018  # analysed here, so that a filter that doesn't fit is found before the job
+        except AnalysisException:
+            continue
+        told[name] = Observation(name)
+        df = out.observe(told[name], F.count("*").alias("passed"))
+    return df, told
+
+
 def add_constants(df: DataFrame, extras: dict[str, str], created: str | None = None, updated: str | None = None) -> DataFrame:
     """Constant columns, and the load time under the names asked for."""
     times = {c: F.current_timestamp() for c in (created, updated) if c}

@@ -59,7 +59,7 @@ def map_type(source: str, target: str, text: str | None) -> str:
             return f"CHAR({size or 1})"
         if name in ("bit", "bit varying", "varbit"):
             return f"BIT({size or 1})"
-        return PG_TO_MYSQL.get(name, "TEXT")
+        return PG_TO_MYSQL.get(name) or next((to for known, to in PG_TO_MYSQL.items() if name.startswith(known)), "TEXT")
     if (source, target) == ("mysql", "pg"):
         unsigned = suffix == "unsigned"
         if name == "tinyint" and size == 1 and not unsigned:
@@ -90,6 +90,13 @@ def map_type(source: str, target: str, text: str | None) -> str:
     raise ValueError(f"no map from {source} to {target}")
 
 
+def create_table(name: str, columns: list[tuple[str, str]], source: str, extras: dict[str, str] | None = None, by: list[str] | None = None) -> str:
+    """CREATE TABLE of a table of ``source`` (column, type) as a Spark table, with extra columns (column, Spark type)."""
+    quoted = lambda c: "`" + c.replace("`", "``") + "`"
+    cells = [f"{quoted(c)} {spark_type(source, kind).upper()}" for c, kind in columns] + [f"{quoted(c)} {kind.upper()}" for c, kind in (extras or {}).items()]
+    return f"CREATE TABLE IF NOT EXISTS {name} ({', '.join(cells)}) USING parquet" + (f" PARTITIONED BY ({', '.join(map(quoted, by))})" if by else "")
+
+
 def spark_type(source: str, text: str) -> str:
     """The Spark SQL type that holds a column of ``source``."""
     name, size, scale, suffix, array = parts(text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,6 +57,42 @@ def replication_lag(source_now: Column, applied: Column) -> Column:
     return F.when(behind.isNull(), -1).otherwise(F.greatest(F.lit(0), behind)).cast("bigint")
 
 
+def recovery_time(now_ms: Column, source_ms: Column) -> Column:
+    """Milliseconds from the newest applied event to now; null where unknown or negative, as clocks that disagree say nothing."""
+    behind = now_ms - source_ms
+    return F.when(behind >= 0, behind)
+
+
+def slowest(per_table: DataFrame, name: str) -> DataFrame:
+    """Tables with their rank by mean latency, the slowest first. One row a table: the window is as small as the catalog."""
+    return per_table.withColumn("rank", F.row_number().over(Window.orderBy(F.col("avg_ms").desc(), name)))
+
+
+def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+    """A page of a history, numbered from 0; for far pages go on from a key instead (see the keyset page)."""
+    return df.orderBy(*order).offset(number * size).limit(size)
+
+
+def kept_history(df: DataFrame, at_ms: str, now_ms: int, days: int) -> DataFrame:
+    """Rows that retention leaves."""
+    return df.where(F.col(at_ms) >= now_ms - days * 86_400_000)
+
+
+def task_search(tasks: DataFrame, text: list[str], keyword: str | None = None, **equal: str | None) -> DataFrame:
+    """Tasks that aren't deleted, whose named columns hold the keyword in any case, and others are equal to what is asked."""
+    x = tasks.where(~F.coalesce(F.col("deleted"), F.lit(False)))
+    if keyword:
+        x = x.where(reduce(Column.__or__, [F.coalesce(F.lower(c).contains(keyword.lower()), F.lit(False)) for c in text]))
+    for column, value in equal.items():
+        x = x if value is None else x.where(F.col(column) == value)
+    return x
+
+
+def masked_settings(line: Column) -> Column:
+    """A settings line with the values of secrets masked."""
+    return F.regexp_replace(line, r"(?i)^(\s*[\w.-]*(?:password|passwd|secret|token|access[._-]?key|private[._-]?key)[\w.-]*\s*[=:]\s*)\S.*$", "$1******")
+
+
 def breached(value: Column, op: Column, limit: Column) -> Column:
     """Whether a metric meets its rule's condition; a metric that isn't there meets none."""
     found = (

@@ -1,52 +1,133 @@
-"""Sinks: versions of a table, shards, rejected rows, messages and index requests."""
+"""Sinks: tables by key, databases, shards, rejected rows, messages and index requests."""
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
+from ..functions.values import row_bytes
 from ..operators.changelog import upsert
 
 
-class VersionedTable:
-    """A table whose every change is a new folder; the newest finished one is the table.
+class KeyedTable:
+    """A Parquet table in ``parts`` partitions by a hash of its key; a change rewrites the partitions that it touches.
 
-    A version is never written over while it is read, and a version without its success mark doesn't count, so that
-    a lost job leaves the table as it was.
+    New partitions are written aside first and then put in place by Spark's own dynamic overwrite, so that none is
+    read while it is written. A job lost between two partitions is made good by running its batch again: changes are
+    put by key and position, and what is there already changes nothing.
     """
 
-    def __init__(self, spark: SparkSession, path: str, pk: list[str]):
-        self.spark, self.path, self.pk = spark, path, pk
+    PART = "_part"
 
-    def _files(self):
-        jvm = self.spark._jvm
-        base = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, base, base.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def __init__(self, spark: SparkSession, path: str, pk: list[str], parts: int = 64):
+        self.spark, self.path, self.pk, self.parts = spark, path, pk, parts
 
-    def version(self) -> int:
-        """0 where there is none."""
-        jvm, base, fs = self._files()
-        if not fs.exists(base):
-            return 0
-        done = [s.getPath() for s in fs.listStatus(base) if s.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return max((int(p.getName()[1:]) for p in done), default=0)
+    def _stored(self) -> DataFrame | None:
+        try:
+            return self.spark.read.parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
 
     def read(self) -> DataFrame | None:
-        at = self.version()
-        return self.spark.read.parquet(f"{self.path}/v{at}") if at else None
-
-    def write(self, df: DataFrame) -> int:
-        at = self.version() + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v{at}")
-        return at
-
-    def merge(self, changes: DataFrame, deleted: DataFrame | None = None) -> int:
-        """Put ``changes`` over the rows of their keys and drop those of ``deleted``."""
-        now = self.read()
-        out = changes if now is None else upsert(now, changes, self.pk)
-        return self.write(out if deleted is None else out.join(deleted, self.pk, "left_anti"))
+        """None where nothing was written yet."""
+        df = self._stored()
+        return None if df is None else df.drop(self.PART)
+
+    def _dealt(self, df: DataFrame) -> DataFrame:
+        return df.withColumn(self.PART, F.pmod(F.xxhash64(*self.pk), F.lit(self.parts)).cast("int"))
+
+    def _touched(self, parts: list[int]) -> DataFrame | None:
+        df = self._stored()
+        return None if df is None else df.where(F.col(self.PART).isin(parts))
+
+    def _put(self, rows: DataFrame) -> None:
+        aside = f"{self.path.rstrip('/')}_aside/{uuid.uuid4().hex}"
+        rows.repartition(self.PART).write.partitionBy(self.PART).parquet(aside)
+        ready = self.spark.read.schema(rows.schema).parquet(aside)
+        ready.repartition(self.PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.PART).parquet(self.path)
+
+    def merge(self, changes: DataFrame) -> None:
+        """Put ``changes``, one row a key, over the rows of their keys."""
+        changes = written(self._dealt(changes))
+        parts = [r[0] for r in changes.select(self.PART).distinct().collect()]  # ``parts`` numbers at most
+        if parts:
+            now = self._touched(parts)
+            self._put(changes if now is None else upsert(now.select(*changes.columns), changes, self.pk))
+
+    def expire(self, before: int, seqno: str = "seqno", op: str = "op") -> None:
+        """Forget deletes at positions below ``before``, which no replay reaches any more.
+
+        The last one of a partition stays, so that the partition is written.
+        """
+        now = self._stored()
+        if now is None:
+            return
+        gone = (F.col(op) == "d") & (F.col(seqno) < before)
+        sizes = now.groupBy(self.PART).agg(F.max(seqno).alias("_last"), F.count_if(gone).alias("_gone")).where("_gone > 0")
+        rows = now.join(F.broadcast(sizes), self.PART).where(~gone | (F.col(seqno) == F.col("_last")))  # a row a partition
+        self._put(rows.select(*now.columns))
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, pk: list[str], batch: int = 5000, known: str = "keep", **options: str) -> dict[str, int]:
+    """Append rows to a table in batches; rows whose key is there already, or comes twice, count as done (``keep``) or as an error.
+
+    Keys of the target are read in one scan of its key columns and left out by an anti-join, so that a job that is
+    run again adds only what is missing. Returns rows seen, written and skipped.
+    """
+    seen, put = Observation(), Observation()
+    rows = df.observe(seen, F.count("*").alias("rows"))
+    if known == "keep":
+        there = df.sparkSession.read.format("jdbc").options(url=url, dbtable=table, **options).load().select(*pk)
+        rows = rows.dropDuplicates(pk).join(there, pk, "left_anti").select(*df.columns)
+    rows = rows.observe(put, F.count("*").alias("rows"))
+    rows.write.format("jdbc").mode("append").options(url=url, dbtable=table, batchsize=batch, **options).save()
+    n, done = seen.get["rows"], put.get["rows"]
+    return {"rows": n, "written": done, "skipped": n - done}
+
+
+def load_statistics(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Observation]:
+    """``df`` and what will be known when it has been written: rows and estimated bytes."""
+    told, kinds = Observation(), dict(df.dtypes)
+    return df.observe(told, F.count("*").alias("rows"), F.coalesce(F.sum(row_bytes(*[F.col(c) for c in columns], kinds=[kinds[c] for c in columns])), F.lit(0)).alias("bytes")), told
+
+
+def load_tables(loads: dict[str, Callable[[], object]], workers: int = 4, stop: bool = False) -> dict[str, str]:
+    """Run the loads of several tables side by side; what became of each. ``stop``: begin none after one has failed."""
+    failed = threading.Event()
+
+    def one(load: Callable[[], object]) -> str:
+        if stop and failed.is_set():
+            return "not begun"
+        try:
+            load()
+            return "ok"
+        except Exception as error:  # each table has its own outcome
+            failed.set()
+            return f"failed: {type(error).__name__}"
+
+    with ThreadPoolExecutor(workers) as pool:
+        return dict(zip(loads, pool.map(one, loads.values()), strict=True))
+
+
+def route_errors(log: DataFrame, failed: str, skip_events: list[str], skip_positions: list[int], policy: str = "FAIL_STOP") -> tuple[DataFrame, DataFrame]:
+    """Events to apply and events set aside. What the skip lists name is set aside; what ``failed`` marks is, by DEAD_LETTER, or stops the job."""
+    skipped = F.coalesce(F.col("event_id").isin(skip_events), F.lit(False)) | F.col("seqno").isin(skip_positions)
+    bad = ~skipped & F.coalesce(F.col(failed), F.lit(False))
+    if policy == "DEAD_LETTER":
+        return log.where(~skipped & ~bad), log.where(skipped | bad).withColumn("reason", F.when(skipped, "skipped").otherwise("failed"))
+    if policy != "FAIL_STOP":
+        raise ValueError(f"no policy: {policy}")
+    stop = F.when(bad, F.raise_error(F.concat(F.lit("event failed at "), F.col("seqno").cast("string"))).cast("boolean")).otherwise(F.lit(True))
+    return log.where(~skipped).where(stop), log.where(skipped).withColumn("reason", F.lit("skipped"))
 
 
 def write_shards(routed: DataFrame, path: str) -> None:
