@@ -242,7 +242,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     second = cut(confirm(sketched(toward(tried, "class", "drawn")), texts, words, percent))
     moved = tried.join(second, ["a", "b"]).groupBy("class").agg(F.min("to_root").alias("to_root"))
     placed = placed.join(moved, "class", "left").withColumn("root", F.coalesce("to_root", "root"))
-    placed = placed.select("bucket", "class", "root", (F.col("root") != F.col("pivot_root")).alias("apart"))
+    # Read three times below.
+    placed = cut(placed.select("bucket", "class", "root", (F.col("root") != F.col("pivot_root")).alias("apart")))
     apart = placed.where("apart")
     # The pivot has been tried against all; of a bucket without two others, or all of one component, nothing is left.
     more = apart.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"))
