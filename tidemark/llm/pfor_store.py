@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import ensure_checkpoint_dir, only, sized_slices, table
 
-BLOCK = 2048
+BLOCK = 16_384
 PERCENTILES = (70, 80, 85, 90, 95, 97, 99, 100)
 SEGMENT_IDS = 1 << 18
 WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
@@ -51,20 +51,41 @@ def pack(values: np.ndarray, width: int) -> bytes:
         return b""
     if width in WHOLE:
         return values.astype(WHOLE[width]).tobytes()
+    n = len(values)
+    if width < 16:
+        # Eight values are ``width`` bytes: four of them fill one long, and the other four go on behind them.
+        padded = np.zeros(-(-n // 8) * 8, np.uint32)
+        padded[:n] = values
+        each = padded.reshape(-1, 8).T.astype(np.uint64)
+        step = np.uint64(width)
+        low = each[0] | each[1] << step | each[2] << step * np.uint64(2) | each[3] << step * np.uint64(3)
+        high = each[4] | each[5] << step | each[6] << step * np.uint64(2) | each[7] << step * np.uint64(3)
+        out = np.empty((len(low), 2), np.uint64)
+        out[:, 0] = low | high << np.uint64(4 * width)
+        out[:, 1] = high >> np.uint64(64 - 4 * width)
+        return out.view(np.uint8)[:, :width].tobytes()[: (n * width + 7) // 8]
     octets = values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : (width + 7) // 8]
     return np.packbits(np.unpackbits(np.ascontiguousarray(octets), axis=1, bitorder="little")[:, :width].ravel(), bitorder="little").tobytes()
 
 
+@functools.lru_cache(64)
+def places_of(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit at which each value of a block begins."""
+    at = np.arange(BLOCK, dtype=np.int64) * width
+    return at >> 3, (at & 7).astype(np.uint64)
+
+
 def unpack(data: np.ndarray, width: int, n: int) -> np.ndarray:
     if not width:
         return np.zeros(n, np.uint32)
     if width in WHOLE:
         return data.view(WHOLE[width])[:n].astype(np.uint32)
-    bits = np.zeros((n, (width + 7) // 8 * 8), np.uint8)
-    bits[:, :width] = np.unpackbits(data, bitorder="little")[: n * width].reshape(n, width)
-    octets = np.zeros((n, 4), np.uint8)
-    octets[:, : (width + 7) // 8] = np.packbits(bits, axis=1, bitorder="little")
-    return octets.view("<u4").ravel()
+    # Every value lies within the eight bytes from where it begins.
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    byte, bit = places_of(width)
+    longs = np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+    return (longs[byte[:n]] >> bit[:n]).astype(np.uint32) & np.uint32((1 << width) - 1)
 
 
 HEAD = struct.Struct("<IBBHH")
@@ -77,14 +98,16 @@ def byte_size(bits: int) -> int:
 
 def chosen_width(rest: np.ndarray) -> tuple[int, int]:
     """Width to pack at and bytes of a high part: of the percentiles the one that makes the block smallest."""
-    ordered = np.sort(rest)
-    n, top = len(ordered), int(ordered[-1]).bit_length()
+    n, top = len(rest), int(rest.max()).bit_length()
+    # Values below each power of two; those from 2 ** drop on are told by counts of the first eight bits.
+    drop = max(0, top - 8)
+    below = np.cumsum(np.bincount(rest >> np.uint32(drop), minlength=1 << (top - drop)))
+    below = [int(below[(1 << (w - drop)) - 1]) if w >= drop else int(np.count_nonzero(rest < 1 << w)) for w in range(top + 1)]
     best = None
     for p in PERCENTILES:
-        width = int(ordered[(n - 1) * p // 100]).bit_length()
-        n_out = n - int(np.searchsorted(ordered, 1 << width)) if width < 32 else 0
+        width = next(w for w in range(top + 1) if 100 * below[w] >= p * n)
         high = byte_size(top - width)
-        cost = (n * width + 7) // 8 + n_out * (2 + high)
+        cost = (n * width + 7) // 8 + (n - below[width]) * (2 + high)
         if best is None or cost < best[0]:
             best = cost, width, high
     return best[1], best[2]
