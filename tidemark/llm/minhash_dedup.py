@@ -204,7 +204,8 @@ def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sets = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = sets.groupBy("set_key").agg(F.min("doc_id").alias("class"), F.count("*").alias("n"))
     chosen = classes.select(F.col("class").alias("doc_id"))
-    one = sets.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("class"), "n_shingles", "bands", "sketch", "parity")
+    # Read for the buckets' sizes, their members and the sketches.
+    one = cut(sets.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("class"), "n_shingles", "bands", "sketch", "parity"))
 
     members = one.select("class", F.explode("bands").alias("bucket"))
     members = members.join(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
