@@ -62,7 +62,7 @@ def test_odd_rows_and_no_rows(spark, odd, labels, name):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = con.execute(registry.oracle_sql()[name]).df()
     got = registry.queries()[name](spark, sf_dir).toPandas()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chunk_dedup, host_rules, minhash_dedup, pfor_store, quality_gam, source_mix, suffix_dedup, toxicity, url_templates
+from . import byte_bpe, centroids, chunk_dedup, host_rules, minhash_dedup, pfor_store, phrases, piece_bpe, quality_gam, source_mix, suffix_dedup, toxicity, url_templates
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.query,
         "op9_host_rules": host_rules.query,
         "op10_byte_bpe": byte_bpe.query,
+        "op11_phrase_collocations": phrases.query,
+        "op12_centroid_clusters": centroids.query,
+        "op13_piece_bpe": piece_bpe.query,
     }
 
 
@@ -30,4 +33,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_source_mix": source_mix.SQL,
         "op6_exact_dedup": chunk_dedup.SQL,
         "op9_host_rules": host_rules.SQL,
+        "op11_phrase_collocations": phrases.SQL,
+        "op12_centroid_clusters": centroids.SQL,
     }
