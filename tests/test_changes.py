@@ -126,21 +126,6 @@ def test_components_by_union_find(spark):
     assert {(x.node, x.root) for x in got} == {(i, find(i)) for i in root} and len(got) == len(root)
 
 
-def test_checksum_tells_order_and_content(spark):
-    df = spark.range(5000).selectExpr("id * 7 AS id", "id % 5 AS v")
-    one = lambda d, **k: {tuple(r) for r in compare.checksum(d, ["id", "v"], ["id"], **k).collect()}
-    assert one(df) == one(df.repartition(9)) and one(df, width=10, levels=3) != one(df.withColumn("v", F.when(F.col("id") == 700, 9).otherwise(F.col("v"))), width=10, levels=3)
-    assert sum(r[1] for r in one(df, width=10, levels=3)) == 5000 and one(df.where("false")) == set()
-
-
-def test_content_compare(spark):
-    s = spark.createDataFrame([(1, 1.5), (2, 2.5)], "id int, v double")
-    said = lambda t, pk: tuple(compare.content_compare("t", s, t, pk).first())
-    assert said(s.repartition(2), ["id"]) == ("t", 0, 0, 0, "MATCH")
-    dearer = s.withColumn("v", F.col("v") + (F.col("id") == 2).cast("int"))
-    assert said(dearer, ["id"]) == ("t", 0, 0, 1, "MISMATCH") and said(dearer, None)[-1] == "NO_PK" and said(s, None)[-1] == "MATCH"
-
-
 def test_filter_transition(spark):
     rows = [(False, True), (True, False), (True, True), (False, False)]
     df = spark.createDataFrame([("u", *r) for r in rows], "op string, b boolean, a boolean")

@@ -4,48 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def text_of(column: str, kind: str) -> Column:
-    """A cell as comparable text."""
-    c = F.col(column)
-    if kind == "binary":
-        return F.base64(c)
-    if kind in ("float", "double"):
-        return F.round(c, 4).cast("decimal(38,4)").cast("string")
-    return c.cast("string")
-
-
-def row_digest(df: DataFrame, columns: list[str]) -> Column:
-    kinds = dict(df.dtypes)
-    return F.md5(F.concat_ws("|", *[F.coalesce(text_of(c, kinds[c]), F.lit("\\N")) for c in columns]))
-
-
-def digest_number(digest: Column) -> Column:
-    """The first 60 bits of a hexadecimal digest."""
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+from . import digest_tree
+from .digest_tree import text_of
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """row_count and the exclusive or of row digests: any order, any partitioning, partial sums."""
-    return df.agg(F.count("*").alias("row_count"), F.coalesce(F.bit_xor(digest_number(row_digest(df, columns))), F.lit(0)).alias("fingerprint"))
-
-
-def checksum(df: DataFrame, columns: list[str], pk: list[str], width: int = 1000, levels: int = 2) -> DataFrame:
-    """An order-dependent checksum of each range of ``width`` to the power of ``levels`` values of a whole-number key.
-
-    md5 over the digests of ``width`` neighbouring keys in key order, then over as many of those, and so on: no row holds
-    more than the rows of ``width`` keys, or ``width`` digests, whatever the table's size and the spread of its keys.
-    """
-    x = df.select(F.floor(F.col(pk[0]) / width).cast("bigint").alias("bucket"), F.struct(*pk, row_digest(df, columns).alias("d")).alias("r"), F.lit(1).cast("bigint").alias("n"))
-    for level in range(levels):
-        if level:
-            x = x.select(F.floor(F.col("bucket") / width).cast("bigint").alias("bucket"), F.struct("bucket", F.col("checksum").alias("d")).alias("r"), F.col("row_count").alias("n"))
-        digests = F.transform(F.sort_array(F.collect_list("r")), lambda r: r["d"])
-        x = x.groupBy("bucket").agg(F.sum("n").alias("row_count"), F.md5(F.array_join(digests, "")).alias("checksum"))
-    return x
+    """row_count and, of two independent parts of the row digests, sums (as text) and exclusive ors: any order, any partitioning."""
+    return df.agg(*digest_tree.totals(digest_tree.row_digest(df, columns))).select(F.col("n").alias("row_count"), F.col("sum_a").cast("string").alias("sum_a"), "xor_a", F.col("sum_b").cast("string").alias("sum_b"), "xor_b")
 
 
 def slice_counts(sources: list[tuple[str, str, str, DataFrame]], merged: DataFrame) -> DataFrame:
@@ -60,20 +28,23 @@ def slice_counts(sources: list[tuple[str, str, str, DataFrame]], merged: DataFra
     return x.select(*tags, "source_count", "target_count", F.abs(F.col("source_count") - F.col("target_count")).alias("difference"))
 
 
-def content_compare(name: str, source: DataFrame, target: DataFrame, pk: list[str] | None) -> DataFrame:
+def content_compare(name: str, source: DataFrame, target: DataFrame, pk: list[str] | None, fan: int = digest_tree.FAN, levels: int = digest_tree.LEVELS) -> DataFrame:
     """One row: table_name, source_only, target_only, content_diff and verdict.
 
-    First the fingerprints of all columns, two numbers on the driver; only where they differ are rows compared.
-    Tables without a key have the verdict NO_PK, MATCH where their fingerprints agree.
+    First the digest trees of both tables; only rows of ranges that differ are read again and compared. Tables without a key
+    have the verdict MATCH where they hold the same rows as often, by their fingerprints, else NO_PK.
     """
     spark, kinds = source.sparkSession, ("SOURCE_ONLY", "TARGET_ONLY", "CONTENT_DIFF")
     row = lambda counts, said: F.struct(F.lit(name).alias("table_name"), *[F.lit(c).cast("bigint").alias(k.lower()) for k, c in zip(kinds, counts, strict=True)], F.lit(said).alias("verdict"))
-    prints = [tuple(fingerprint(df, source.columns).first()) for df in (source, target)]
-    if prints[0] == prints[1] or not pk:
+    if not pk:
+        prints = [tuple(fingerprint(df, source.columns).first()) for df in (source, target)]
         return spark.range(1).select(F.inline(F.array(row((0, 0, 0), "MATCH" if prints[0] == prints[1] else "NO_PK"))))
+    found = digest_tree.unequal(source, target, source.columns, pk, fan, levels)
+    if not found.levels[0][1]:
+        return spark.range(1).select(F.inline(F.array(row((0, 0, 0), "MATCH"))))
     counts = [F.count_if(F.col("diff_type") == k).alias(k.lower()) for k in kinds]
     verdict = F.when(F.col("source_only") + F.col("target_only") + F.col("content_diff") == 0, "MATCH").otherwise("MISMATCH")
-    return row_diff(source, target, pk).agg(*counts).select(F.lit(name).alias("table_name"), *[k.lower() for k in kinds], verdict.alias("verdict"))
+    return row_diff(found.source, found.target, pk).agg(*counts).select(F.lit(name).alias("table_name"), *[k.lower() for k in kinds], verdict.alias("verdict"))
 
 
 def capped(diff: DataFrame, pk: list[str], most: int = 100) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import written
-from ..operators import compare
+from ..operators import compare, digest_tree
 from .inputs import PAIR, epoch_ms, order_pair, table
 
 COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
@@ -22,7 +22,15 @@ def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.checksum(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"], ["o_orderkey"])
+    return digest_tree.checksum(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus"], ["o_orderkey"], 64, 2)
+
+
+def digest_tree_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that differ, and rows below them, at each level of two tables' trees; the last are read again."""
+    source, target = order_pair(spark, sf_dir)
+    changed = source.where("o_orderkey % 997 <> 5").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 1009 == 7, F.lit(None)).otherwise(F.col("o_totalprice")))
+    found = digest_tree.unequal(source, changed, source.columns, ["o_orderkey"], 64, 2)
+    return spark.createDataFrame([(*x, *([0, 0] if i < 2 else [found.source.count(), found.target.count()])) for i, x in enumerate(found.levels)], "depth int, nodes long, rows_below long, source_again long, target_again long")
 
 
 def _diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,18 +102,31 @@ def scope_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.intersect(b)
 
 
-QUERIES = {f.__name__: f for f in (compare_row_count, table_fingerprint, table_checksum, diff_rows, diff_fields, missing_rows_anti, repair_actions, repair_verify, content_compare_summary, diff_capped, diff_documents, bidi_recent_updates, precheck_out_of_scope_fk, scope_conflicts)}
+QUERIES = {f.__name__: f for f in (compare_row_count, table_fingerprint, table_checksum, digest_tree_levels, diff_rows, diff_fields, missing_rows_anti, repair_actions, repair_verify, content_compare_summary, diff_capped, diff_documents, bidi_recent_updates, precheck_out_of_scope_fk, scope_conflicts)}
 
-_DIGEST = "md5(concat_ws('|', o_orderkey::VARCHAR, o_custkey::VARCHAR, o_orderstatus))"
-_PRINT = f"coalesce(bit_xor(('0x' || substr({_DIGEST}, 1, 15))::BIGINT), 0)"
+_CELL = lambda c: f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+_DIGEST = f"md5({' || '.join(map(_CELL, ('o_orderkey', 'o_custkey', 'o_orderstatus')))})"
+_PART = lambda at: f"('0x' || substr({_DIGEST}, {at}, 15))::BIGINT"
+_TOTALS = f"coalesce(sum({_PART(1)}), 0)::VARCHAR AS sum_a, coalesce(bit_xor({_PART(1)}), 0) AS xor_a, coalesce(sum({_PART(16)}), 0)::VARCHAR AS sum_b, coalesce(bit_xor({_PART(16)}), 0) AS xor_b"
+#: The place of an order's key in a tree of 64 * 64 leaves, as ``digest_tree.Places`` has it.
+_PLACE = lambda low, high: f"floor((o_orderkey::DOUBLE - {low}) / greatest(({high}) - ({low}), 1.0) * 4095.0)::BIGINT"
 _DIFF = f"""{PAIR}, d AS (SELECT coalesce(s.o_orderkey, t.o_orderkey) AS o_orderkey, CASE WHEN t.o_orderkey IS NULL THEN 'SOURCE_ONLY' WHEN s.o_orderkey IS NULL THEN 'TARGET_ONLY'
   WHEN s.o_totalprice <> t.o_totalprice THEN 'CONTENT_DIFF' END AS diff_type FROM source s FULL OUTER JOIN target t ON s.o_orderkey = t.o_orderkey)"""
 
 SQL = {
     "compare_row_count": f"WITH {PAIR} SELECT 'orders' AS table_name, (SELECT count(*) FROM source) AS source_count, (SELECT count(*) FROM target) AS target_count, abs((SELECT count(*) FROM source) - (SELECT count(*) FROM target)) AS difference",
-    "table_fingerprint": f"SELECT count(*) AS row_count, {_PRINT} AS fingerprint FROM orders",
-    "table_checksum": f"""WITH a AS (SELECT o_orderkey // 1000 AS b, count(*) AS n, md5(string_agg({_DIGEST}, '' ORDER BY o_orderkey)) AS d FROM orders GROUP BY 1)
-        SELECT b // 1000 AS bucket, sum(n)::BIGINT AS row_count, md5(string_agg(d, '' ORDER BY b)) AS checksum FROM a GROUP BY 1""",
+    "table_fingerprint": f"SELECT count(*) AS row_count, {_TOTALS} FROM orders",
+    "table_checksum": f"""WITH e AS (SELECT min(o_orderkey)::DOUBLE AS low, max(o_orderkey)::DOUBLE AS high FROM orders),
+        l AS (SELECT {_PLACE("(SELECT low FROM e)", "(SELECT high FROM e)")} AS node, count(*) AS n, {_TOTALS} FROM orders GROUP BY 1),
+        a AS (SELECT node, n, md5(n || ':' || sum_a || ':' || xor_a || ':' || sum_b || ':' || xor_b) AS d FROM l),
+        b AS (SELECT node // 64 AS node, sum(n) AS n, md5(string_agg(node || '=' || d, ',' ORDER BY node)) AS d FROM a GROUP BY 1)
+        SELECT sum(n)::BIGINT AS row_count, md5(string_agg(node || '=' || d, ',' ORDER BY node)) AS checksum FROM b""",
+    "digest_tree_levels": f"""WITH {PAIR}, changed AS (SELECT o_orderkey, o_orderkey % 997 = 5 AS gone, o_orderkey % 1009 = 7 AS other FROM source),
+        e AS (SELECT min(o_orderkey)::DOUBLE AS low, max(o_orderkey)::DOUBLE AS high FROM source),
+        p AS (SELECT *, {_PLACE("(SELECT low FROM e)", "(SELECT high FROM e)")} AS leaf FROM changed),
+        x AS (SELECT depth, CASE depth WHEN 0 THEN 0 WHEN 1 THEN leaf // 64 ELSE leaf END AS node, count(*) AS s, count(*) FILTER (WHERE NOT gone) AS t, bool_or(gone OR other) AS bad FROM p, range(3) AS r(depth) GROUP BY 1, 2)
+        SELECT depth::INT AS depth, count(*) AS nodes, sum(s + t)::BIGINT AS rows_below, CASE WHEN depth < 2 THEN 0 ELSE sum(s) END::BIGINT AS source_again, CASE WHEN depth < 2 THEN 0 ELSE sum(t) END::BIGINT AS target_again
+        FROM x WHERE bad GROUP BY depth""",
     "diff_rows": f"WITH {_DIFF} SELECT * FROM d WHERE diff_type IS NOT NULL",
     "diff_fields": f"WITH {_DIFF} SELECT o_orderkey, 'o_totalprice' AS fields FROM d WHERE diff_type = 'CONTENT_DIFF'",
     "missing_rows_anti": f"WITH {PAIR} SELECT * FROM source WHERE o_orderkey NOT IN (SELECT o_orderkey FROM target)",
