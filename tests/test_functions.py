@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import columns, ddl, masking, statements, types, values
+from tidemark.functions import columns, ddl, masking, types, values
 from tidemark.sources import messages
 
 
@@ -67,16 +67,6 @@ def test_types():
     assert types.spark_type("pg", "int4[]") == "array<int>"
 
 
-def test_statements(spark):
-    kinds = lambda s: tuple(spark.range(1).select(*statements.classify(F.lit(s))).first())
-    assert kinds("  -- x\n create unique index i on t(a)") == ("DDL", "CREATE_INDEX")
-    assert kinds("CREATE DEFINER=`a`@`%` PROCEDURE p() BEGIN END") == ("DDL", "CREATE_ROUTINE")
-    assert kinds("start transaction") == ("TRANSACTION", "BEGIN")
-    assert kinds("show tables") == ("OTHER", "OTHER")
-    assert one(spark, statements.conflict_key(F.lit("delete from a.b where id=7"))) == "a.b:7"
-    assert one(spark, statements.online_change(F.lit("create table _t_ghc (id int)"))) == "SKIP"
-
-
 def test_scope(spark):
     rows = spark.createDataFrame([("db1.click",), ("DB2.x",), (None,)], "n string")
     assert [r.n for r in rows.where(columns.in_scope(F.col("n"), ["db*.*"], ["db2.*"])).collect()] == ["db1.click", None]

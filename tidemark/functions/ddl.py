@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .statements import bare
 from .types import MYSQL_TO_PG, PG_TO_MYSQL
 
-_PIECES = r"('(?:[^'\\]|''|\\.)*'|[^']+|')"
+_PIECES = r"('(?:[^'\\]++|''|\\[\s\S])*+'|[^']++|')"
 #: A type stands behind a name, which isn't itself the word that announces one.
 _BEHIND = r"(?i)(?<=[\w\"`]\s)(?<!\b(?:add|column|key|table|on)\s)"
 _SIZED = {"datetime", "timestamp", "time"}
@@ -79,13 +79,22 @@ def translated(sql: Column, source: str, target: str) -> Column:
 def renamed(sql: Column, names: dict[str, str]) -> Column:
     """Tables under other names, where a table's name can stand: ``db.table`` or ``table`` to what takes its place.
 
-    The longest name that fits is taken, in any case and with or without quotes. Columns and literals stay.
+    The longest name that fits is taken, in any case and with or without quotes. Columns' qualifiers follow their table,
+    unless the statement gives its name to another as an alias. Other columns and literals stay.
     """
     quote = lambda name: r"\s*\.\s*".join(rf"[`\"]?{re.escape(part)}[`\"]?" for part in name.split("."))
-    before = r"(?i)(\b(?:table|into|from|update|on|join|references|exists|to|truncate)\s+)"
+    keyword = r"(?:table|into|from|update|join|references|exists|to|truncate)"
+    before = rf"(?i)(\b(?:{keyword}|on)\s+)"
+    mark = lambda to: "\u0001" + to.replace("$", r"\$") + "\u0001"
+    longest = sorted(names.items(), key=lambda x: -len(x[0]))
     # Names already put stand in marks, so that no rule renames them again.
-    rules = [(before + quote(name) + r"(?![\w$`\".])", "$1\u0001" + to.replace("$", r"\$") + "\u0001") for name, to in sorted(names.items(), key=lambda x: -len(x[0]))]
-    return F.translate(outside_literals(sql, lambda p: _chain(p, rules)), "\u0001", "")
+    rules = [(before + quote(name) + r"(?![\w$`\".])", "$1" + mark(to)) for name, to in longest]
+    short = {name.rsplit(".", 1)[1]: to.rsplit(".", 1)[-1] for name, to in longest if "." in name and name.rsplit(".", 1)[1] not in names}
+    out = outside_literals(sql, lambda p: _chain(p, rules))
+    for name, to in [*longest, *short.items()]:
+        qualifier = (rf"(?i)(?<![\w$`\".\u0001])(?<!\b{keyword}\s){quote(name)}(?=\s*\.\s*[\w`\"*])", mark(to))
+        out = F.when(out.rlike(rf"(?i)\bas\s+{quote(name)}(?![\w$`\"])"), out).otherwise(outside_literals(out, lambda p, q=qualifier: _chain(p, [q])))
+    return F.translate(out, "\u0001", "")
 
 
 def _quoted(name: str, target: str) -> str:

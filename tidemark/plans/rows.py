@@ -135,15 +135,35 @@ def mask_auto_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("c_custkey", *[masking.masked(c, F.col(c), {}).alias(c) for c in ("c_name", "phone", "id_card", "email", "card")])
 
 
+#: Statement, with {n} for the event's number: class, kind, conflict key, what a schema tool's statement becomes, decision in scope db1.
+STATEMENTS = [
+    ("INSERT INTO db1.orders (v, id) VALUES (concat('a,', f({n}, 2)), {n})", "DML", "INSERT", "db1.orders:{n}", "PASS", "NONE"),
+    ("INSERT INTO db1.orders (id, v) VALUES ({n}, 1), (7, 2)", "DML", "INSERT", "db1.orders:*", "PASS", "NONE"),
+    ("update `db2`.`users` set v = 'where id = 5' where id = '0{n}'", "DML", "UPDATE", "db2.users:{n}", "PASS", "NONE"),
+    ("UPDATE users SET v = 1 WHERE id = {n} OR id = 2", "DML", "UPDATE", "users:*", "PASS", "NONE"),
+    ("UPDATE users SET id = 1 WHERE id = {n}", "DML", "UPDATE", "users:*", "PASS", "NONE"),
+    ("/* c */ DELETE FROM orders WHERE (a = 1 OR b = 2) AND id = '{n}' -- and id = 1", "DML", "DELETE", "orders:{n}", "PASS", "NONE"),
+    ("DELETE a FROM a JOIN b ON a.x = b.x WHERE a.id = {n}", "DML", "DELETE", "*", "PASS", "NONE"),
+    ("USE db1; delete from t where ID = {n};", "DML", "DELETE", "db1.t:{n}", "PASS", "NONE"),
+    ("CREATE TABLE db1._orders_gho (id INT, n{n} INT)", "DDL", "CREATE_TABLE", "db1._orders_gho:*", "ALTER", "APPLY"),
+    ("ALTER TABLE db1._orders_gho ADD COLUMN n{n} INT", "DDL", "ALTER_TABLE", "db1._orders_gho:*", "SKIP", "APPLY"),
+    ("RENAME TABLE db1.orders TO db1._orders_del, db1._orders_gho TO db1.orders", "DDL", "RENAME_TABLE", "db1.orders:*", "SKIP", "APPLY"),
+    ("DROP TABLE IF EXISTS _orders_del", "DDL", "DROP_TABLE", "_orders_del:*", "SKIP", "SKIP"),
+    ("/*!50003 CREATE UNIQUE INDEX i{n} ON db1.t (a(10)) */", "DDL", "CREATE_INDEX", "db1.t:*", "PASS", "APPLY"),
+    ("DROP INDEX i{n} ON db2.t", "DDL", "DROP_INDEX", "db2.t:*", "PASS", "SKIP"),
+    ("CREATE OR REPLACE DEFINER=`r`@`%` SQL SECURITY INVOKER VIEW db1.v{n} AS SELECT 1", "DDL", "CREATE_VIEW", "db1.v{n}:*", "PASS", "APPLY"),
+    ("CREATE DATABASE IF NOT EXISTS db1", "DDL", "CREATE_DATABASE", "", "PASS", "APPLY"),
+    ("DROP DATABASE db1", "DDL", "DROP_DATABASE", "", "PASS", "MANUAL"),
+    ("CREATE TRIGGER g{n} BEFORE INSERT ON db1.t FOR EACH ROW SET @a = 1", "DDL", "CREATE_TRIGGER", "db1.t:*", "PASS", "DEFER"),
+    ("CREATE DEFINER=r@localhost PROCEDURE db1.p{n}() BEGIN DELETE FROM x; END", "DDL", "CREATE_ROUTINE", "db1.p{n}:*", "PASS", "APPLY"),
+    ("COMMIT", "TRANSACTION", "COMMIT", "", "PASS", "NONE"), ("XA END 'x{n}'", "TRANSACTION", "XA", "", "PASS", "NONE"),
+    ("grant select on *.* to u{n}", "DDL", "ACCOUNT", "", "PASS", "SKIP"), ("SET @x = 'DROP TABLE db1.t{n}'", "OTHER", "OTHER", "", "PASS", "NONE"),
+]
+
+
 def _statements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("event_id").cast("string")
-    texts = [
-        F.concat(F.lit("INSERT INTO db1.orders (id, v) VALUES (")
-                 , n, F.lit(", 1)")), F.concat(F.lit("update `db2`.`users` set v = 2 where id = "), n), F.concat(F.lit("/* c */ DELETE FROM orders WHERE id = '"), n, F.lit("'")),
-        F.lit("ALTER TABLE db1._orders_gho ADD COLUMN x INT"), F.lit("create table if not exists db1.t1 (id int)"), F.lit("DROP TABLE _orders_del"), F.lit("COMMIT"), F.lit("grant select on *.* to u"),
-    ]
-    text = F.get(F.array(*texts), (F.col("event_id") % len(texts)).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", text.alias("sql"))
+    text = F.get(F.array(*[F.lit(s[0]) for s in STATEMENTS]), (F.col("event_id") % len(STATEMENTS)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.replace(text, F.lit("{n}"), F.col("event_id").cast("string")).alias("sql"))
 
 
 def sql_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,6 +196,7 @@ QUERIES = {
     "mask_full": _mask("c_name", "full"), "mask_partial": _mask("c_name", "partial"), "mask_hash": _mask("email", "hash"),
 }
 
+_OF = lambda i: f"replace({[s[i] for s in STATEMENTS]!r}[event_id % {len(STATEMENTS)} + 1], '{{n}}', event_id::VARCHAR)"
 _PERSON = """WITH p AS (SELECT c_custkey, c_name, '13' || lpad(c_custkey::VARCHAR, 9, '0') AS phone, '11010119' || lpad(c_custkey::VARCHAR, 9, '0') || 'X' AS id_card,
   'u' || c_custkey || '@mail' || (c_custkey % 7) || '.example.com' AS email, '6222' || lpad(c_custkey::VARCHAR, 13, '0') AS card FROM customer)"""
 _PHONE = "substr(phone, 1, 3) || '****' || right(phone, 4)"
@@ -215,10 +236,8 @@ SQL = {
     "mask_partial": f"{_PERSON} SELECT c_custkey, substr(c_name, 1, 1) || repeat('*', (length(c_name) - 2)::INT) || right(c_name, 1) AS masked FROM p",
     "mask_hash": f"{_PERSON} SELECT c_custkey, sha256(email) AS masked FROM p",
     "mask_auto_detect": f"{_PERSON} SELECT c_custkey, c_name, {_PHONE} AS phone, {_IDCARD} AS id_card, {_EMAIL} AS email, {_CARD} AS card FROM p",
-    "sql_classify": """SELECT event_id, CASE WHEN event_id % 8 < 3 THEN 'DML' WHEN event_id % 8 = 6 THEN 'TRANSACTION' ELSE 'DDL' END AS kind,
-        ['INSERT', 'UPDATE', 'DELETE', 'ALTER_TABLE', 'CREATE_TABLE', 'DROP_TABLE', 'COMMIT', 'ACCOUNT'][event_id % 8 + 1] AS sub FROM events""",
-    "sql_conflict_key": """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'db1.orders:' || event_id WHEN 1 THEN 'db2.users:' || event_id WHEN 2 THEN 'orders:' || event_id
-        WHEN 3 THEN 'db1._orders_gho:*' WHEN 4 THEN 'db1.t1:*' WHEN 5 THEN '_orders_del:*' ELSE '' END AS conflict_key FROM events""",
-    "online_ddl_action": "SELECT event_id, CASE event_id % 8 WHEN 3 THEN 'ALTER' WHEN 5 THEN 'SKIP' ELSE 'PASS' END AS action FROM events",
-    "ddl_decision": "SELECT event_id, CASE event_id % 8 WHEN 3 THEN 'APPLY' WHEN 4 THEN 'APPLY' WHEN 5 THEN 'SKIP' WHEN 7 THEN 'SKIP' ELSE 'NONE' END AS decision FROM events",
+    "sql_classify": f"SELECT event_id, {_OF(1)} AS kind, {_OF(2)} AS sub FROM events",
+    "sql_conflict_key": f"SELECT event_id, {_OF(3)} AS conflict_key FROM events",
+    "online_ddl_action": f"SELECT event_id, {_OF(4)} AS action FROM events",
+    "ddl_decision": f"SELECT event_id, {_OF(5)} AS decision FROM events",
 }

@@ -199,7 +199,7 @@ SQL = {
     "ddl_translate": """SELECT p_partkey, 'CREATE TABLE "shop"."t' || p_partkey || '" ("id" BIGSERIAL NOT NULL, "n" INTEGER, "flag" BOOLEAN, "name" VARCHAR(' || p_size || ') DEFAULT ''int `x` ' || p_partkey || ''', "at" TIMESTAMP(6), PRIMARY KEY ("id"))' AS sql FROM part""",
     "ddl_translate_back": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'CREATE TABLE `t' || p_partkey || '` (`id` BIGINT AUTO_INCREMENT, `v` JSON, `at` DATETIME, `tags` TEXT) ENGINE=InnoDB'
         WHEN 1 THEN 'ALTER TABLE `t' || p_partkey || '` MODIFY COLUMN `v` TINYINT(1)' ELSE 'by hand' END AS sql FROM part""",
-    "ddl_rename": """SELECT p_partkey, 'INSERT INTO dw.orders_all SELECT orders, ''from shop.orders'' FROM people JOIN dw.people ON users.id = ' || p_partkey AS sql FROM part""",
+    "ddl_rename": """SELECT p_partkey, 'INSERT INTO dw.orders_all SELECT orders, ''from shop.orders'' FROM people JOIN dw.people ON people.id = ' || p_partkey AS sql FROM part""",
     "ddl_merge": """SELECT p_partkey, 'CREATE TABLE `shop`.`t' || p_partkey || '` (`id` BIGINT UNSIGNED NOT NULL AUTO_INCREMENT, `n` INT(11), `flag` TINYINT(1), `name` VARCHAR(' || p_size || ') DEFAULT ''int `x` ' || p_partkey ||
         ''', `at` DATETIME(6) ON UPDATE CURRENT_TIMESTAMP, PRIMARY KEY (`id`, `_src_db`, `_src_table`), `_src_db` VARCHAR(64) NOT NULL DEFAULT '''', `_src_table` VARCHAR(64) NOT NULL DEFAULT '''')' AS sql FROM part""",
     "ddl_split": """SELECT p_partkey, 'CREATE TABLE `dw`.`part_' || (p_partkey % 4) || '` (`id` BIGINT UNSIGNED NOT NULL, `n` INT(11), `flag` TINYINT(1), `name` VARCHAR(' || p_size || ') DEFAULT ''int `x` ' || p_partkey ||
