@@ -158,8 +158,9 @@ def column_changes(sql: Column) -> Column:
             nothing = F.filter(F.array(change("add")), lambda c: F.lit(False))
             moves = lambda n: F.when(place(x).isNotNull(), F.array(change("move", n, text, place(x)))).otherwise(nothing)
             several = F.transform(F.filter(lexer.items(F.regexp_extract(x, add_list, 1)), lambda d: ~d.rlike(_NO_COLUMN)), lambda d: change("add", name(F.regexp_extract(d, rf"^{NAME}", 1))))
+            renamed_table = r"(?i)^rename (?:to |as )?(?!column |index |key )[^\s(),;'=]+( \. [^\s(),;'=]+)?$"
             return (
-                F.when(x.rlike(no_column), nothing).when(x.rlike(add_list), several).when(x.rlike(add), F.array(change("add", at(add), text, place(x)))).when(x.rlike(drop), F.array(change("drop", at(drop))))
+                F.when(x.rlike(renamed_table), F.array(change("gone"))).when(x.rlike(no_column), nothing).when(x.rlike(add_list), several).when(x.rlike(add), F.array(change("add", at(add), text, place(x)))).when(x.rlike(drop), F.array(change("drop", at(drop))))
                 .when(x.rlike(rename), F.array(change("rename", at(rename), at(rename, 2)))).when(x.rlike(changed), F.concat(F.array(change("rename", at(changed), at(changed, 2))), moves(at(changed, 2)))).when(x.rlike(moved), moves(at(moved))).otherwise(nothing)
             )
 
