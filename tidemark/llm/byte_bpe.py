@@ -23,13 +23,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import only, sized_slices, table
+from .common import only, release, sized_slices, table
 
 NONE = np.uint32(0xFFFFFFFF)
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)
 WIDE = WIDTHS[-1]
 #: Pieces that a worker remembers; beyond it starts afresh. It changes no result.
-REMEMBER = 400_000
+REMEMBER = 100_000
 
 
 class PairTable:
@@ -231,6 +231,7 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             ends = np.cumsum([0, *map(len, ids)])
             values = pa.array(np.concatenate(ids))
             yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["doc_id", "ids"])
+        release()
 
     return only(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, ids array<long>")
 
@@ -247,6 +248,7 @@ def encode_digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 a.append(hashlib.sha256(said.encode()).hexdigest())
                 b.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        release()
 
     return only(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

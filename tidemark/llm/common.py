@@ -71,6 +71,11 @@ def sized_slices(batches, column: str, most_bytes: int = 4 << 20, rows: int = 10
             yield piece.slice(start)
 
 
+def release() -> None:
+    """Give memory that Arrow holds in this worker back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def word_split(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text as an array; null or blank: empty array."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")

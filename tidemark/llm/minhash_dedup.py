@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, only, saved, sized_slices, table
+from .common import cut, only, release, saved, sized_slices, table
 from ..operators.components import components
 
 BANDS, ROWS = 32, 4
@@ -61,7 +61,7 @@ class WordHashes(dict):
     """Hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -132,6 +132,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
             longs = pa.list_(pa.int64())
             arrays = [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), longs, longs, longs), strict=True)]
             yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), *arrays], ["doc_id", "n_shingles", "set_key", "bands", "sketch", "parity"])
+        release()
 
     return only(docs, "doc_id", "text").mapInArrow(rows, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>, parity array<long>")
 
@@ -171,6 +172,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Dat
                 if 100 * both >= percent * (len(x) + len(held) - both):
                     good.append((max(leaf, hub), min(leaf, hub)))
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in good], pa.int64()) for i in (0, 1)], ["a", "b"])
+        release()
 
     shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR).alias("shares"))
     dealt = pairs.join(shares, "hub").select("leaf", "hub", F.pmod(F.xxhash64("leaf", "hub"), "shares").alias("share"))
