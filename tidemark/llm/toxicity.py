@@ -12,7 +12,7 @@ Known phrases can be given besides. The weights found are divided by the number
 the same rows turns that rate into a score.
 
 The lexicon is learned from at most ``FIT_ROWS`` labelled rows, one for each doc_id (of several the least text) and one for
-each text, and holds at most ``MOST_TERMS`` candidates and exceptions each. Without labels of both kinds it is empty.
+each text; all candidates and exceptions they hold count. Without labels of both kinds it is empty.
 
 Results for odd input: no rows in, no rows out; null, empty and blank texts have rate 0; time is in proportion to the
 text; repeated rows get equal scores; a null doc_id stays null and isn't held out.
@@ -33,9 +33,11 @@ from pyspark.sql import functions as F
 from .common import crc_fold, labelled_sample, only, saved, sized_slices, table
 
 FIT_ROWS = 12_000
+#: Beginnings of words of 3 to 12 letters are terms, and every whole word.
 SHORTEST, LONGEST = 3, 12
 LEAST_WEIGHT = 3.0
-MOST_TERMS = 20_000
+#: Terms or exceptions that the driver holds; the fitted rows are bounded and give far fewer. More stop the fit, none is left out.
+MOST_TERMS = 1_000_000
 #: Harmless texts that a phrase must stand in to be an exception.
 EXCEPTION_TEXTS = 2
 #: Cyrillic, Greek, Armenian and other letters that look like Latin ones; then digits and signs that stand for letters.
@@ -151,7 +153,8 @@ def counts_of(batches, of):
 
 
 def beginnings(text: str) -> set[str]:
-    return {w[:i] for w in set(fold(text).split()) for i in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+    words = {w for w in fold(text).split() if len(w) >= SHORTEST}
+    return words | {w[:i] for w in words for i in range(SHORTEST, min(LONGEST, len(w)) + 1)}
 
 
 def phrases(text: str, lexicon: Lexicon) -> set[str]:
@@ -164,6 +167,14 @@ def phrases(text: str, lexicon: Lexicon) -> set[str]:
     return out
 
 
+def bounded(rows: DataFrame) -> list:
+    """All rows, on the driver."""
+    found = rows.limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms: fit on fewer rows")
+    return found
+
+
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and offset by Newton's method, slightly drawn to zero."""
     w = np.zeros(2)
@@ -176,7 +187,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, bound: int = FIT_ROWS, known_exceptions: tuple[str, ...] = ()) -> Lexicon:
-    """The lexicon of ``labels.toxic``. What comes to the driver is bounded by ``MOST_TERMS`` and ``bound``."""
+    """The lexicon of ``labels.toxic``. What comes to the driver is bounded by what ``bound`` rows hold."""
     sample = labelled_sample(docs, labels, "toxic", folds, held_out, bound)
     sample = sample.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
     # Copies of one text would lend its words support.
@@ -192,8 +203,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: i
     support = max(4, round(0.006 * n1))
     odds = lambda toxic, clean: math.log((toxic + 0.5) / (n1 + 1)) - math.log((clean + 0.5) / (n0 + 1))
     strong = counted(beginnings).where((F.col("toxic") >= support) & (F.col("toxic") * F.lit(n0) >= 6 * F.col("clean") * F.lit(n1)))
-    strong = strong.orderBy(F.col("toxic").desc(), "clean", "term").limit(MOST_TERMS).collect()
-    terms = {r["term"]: (r["toxic"], odds(r["toxic"], r["clean"])) for r in strong}
+    terms = {r["term"]: (r["toxic"], odds(r["toxic"], r["clean"])) for r in bounded(strong)}
     chosen: dict[str, float] = {}
     for term, (toxic, weight) in sorted(terms.items(), key=lambda x: (len(x[0]), x[0])):
         if weight >= LEAST_WEIGHT and not any(t.startswith(term) or term.startswith(t) for t in chosen):
@@ -205,7 +215,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: i
     if chosen:
         homely = counted(lambda text: phrases(text, lexicon)).where(F.col("clean") >= EXCEPTION_TEXTS)
         homely = homely.where((F.col("toxic") + 0.5) * F.lit(n0 + 1) < 2 * (F.col("clean") + 0.5) * F.lit(n1 + 1))
-        exceptions += [r["term"] for r in homely.orderBy(F.col("clean").desc(), "term").limit(MOST_TERMS).collect()]
+        exceptions += [r["term"] for r in bounded(homely)]
     lexicon = Lexicon(chosen, sorted(set(exceptions)), 1.0, 0.0)
 
     def rates(batches):
