@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import changelog, compare, conflicts, folds, routing
 from tidemark.sources import readers, selection, sinks
-from tidemark.streaming import apply
+from tidemark.streaming import apply, timed
 
 
 def random_log(n=400, seed=3):
@@ -241,7 +241,7 @@ def test_transactions_of_a_stream(spark, tmp_path):
     for i, part in enumerate((rows[:2], rows[2:])):
         spark.createDataFrame(part, "seqno bigint, tx_id bigint, tx_last boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
     stream = spark.readStream.schema("seqno bigint, tx_id bigint, tx_last boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
-    q = apply.whole_transactions(stream, 1000).writeStream.format("memory").queryName("whole").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
+    q = timed.whole_transactions(stream, 1000).writeStream.format("memory").queryName("whole").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
     try:
         for _ in range(60):
             got = {(r.seqno, r.tx_id, r.flushed) for r in spark.sql("SELECT * FROM whole").collect()}

@@ -94,6 +94,36 @@ def write_jdbc(df: DataFrame, url: str, table: str, pk: list[str], batch: int =
     return {"rows": n, "written": done, "skipped": n - done}
 
 
+def load_bisected(rows: DataFrame, pk: list[str], write: Callable[[DataFrame], object], most_rejects: int = 100) -> DataFrame:
+    """Write ``rows`` by ``write``; where that fails, by halves, until the rows that fail stand alone: these come back, with their error.
+
+    Halves are ranges of a hash of the key, so rows are read by range from a table sorted by it, never collected. ``write``
+    must be safe to repeat for rows that it has put already, as ``write_jdbc`` is. More than ``most_rejects`` rejects stop
+    the load: then something else is wrong than a few rows. A load with r bad rows of n takes about r log n writes.
+    """
+    hashed = rows.withColumn("_h", F.xxhash64(*pk))
+    hashed = written(hashed.repartitionByRange("_h").sortWithinPartitions("_h"))
+    todo, said = [(-(1 << 63), (1 << 63) - 1)], []
+    while todo:
+        low, high = todo.pop()
+        part = hashed.where(F.col("_h").between(low, high))
+        try:
+            write(part.drop("_h"))
+            continue
+        except Exception as error:  # which row it was is found by halves
+            reason = str(getattr(error, "java_exception", None) or error).strip().splitlines()[0][:500]
+        ends = part.agg(F.min("_h"), F.max("_h"), F.count("*")).first()
+        if ends[0] == ends[1]:  # one row, or rows of one key
+            said.append((ends[0], reason))
+            if len(said) > most_rejects:
+                raise RuntimeError(f"more than {most_rejects} rows can't be written; the last: {reason}")
+            continue
+        middle = (ends[0] + ends[1]) // 2
+        todo += [(middle + 1, ends[1]), (ends[0], middle)]
+    errors = rows.sparkSession.createDataFrame(said, "_h bigint, error string")  # ``most_rejects`` rows at most
+    return hashed.join(F.broadcast(errors), "_h").drop("_h")
+
+
 def load_statistics(df: DataFrame, columns: list[str]) -> tuple[DataFrame, Observation]:
     """``df`` and what will be known when it has been written: rows and estimated bytes."""
     told, kinds = Observation(), dict(df.dtypes)

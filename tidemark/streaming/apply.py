@@ -61,31 +61,6 @@ def decide_stream(log: DataFrame, key: str, idle_ms: int | None = None) -> DataF
     return log.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, seqno long, decision string", "ts long, node string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
-def whole_transactions(log: DataFrame, idle_ms: int = 3000) -> DataFrame:
-    """seqno, tx_id and flushed of a stream of (tx_id, seqno, tx_last): the events of a transaction together.
-
-    They are held back until the transaction's last event has come, or nothing of it has for ``idle_ms``; then what there
-    is goes out, with flushed true. What is held of a transaction are its positions.
-    """
-
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        idle = state.hasTimedOut
-        last = False
-        for frame in [] if idle else frames:
-            held += frame["seqno"].tolist()
-            last = last or bool(frame["tx_last"].any())
-        if last or idle:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"seqno": sorted(held), "tx_id": name[0], "flushed": idle})
-        else:
-            state.update((held,))
-            state.setTimeoutDuration(idle_ms)
-
-    return log.groupBy("tx_id").applyInPandasWithState(step, "seqno long, tx_id long, flushed boolean", "seqnos array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
 def throughput_stream(log: DataFrame, ts: str, window: str) -> DataFrame:
     """Events of each tumbling window of a stream that has a watermark, given out once no more are awaited."""
     return log.groupBy(F.window(ts, window)).agg(F.count("*").alias("events")).select(F.col("window.start").alias("window_start"), "events")
