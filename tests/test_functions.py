@@ -1,5 +1,7 @@
 """Column rules, values, masks, types and statements by hand-worked values."""
 
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,7 +84,7 @@ def test_schema_statements(spark):
     assert pg("ALTER TABLE t ADD COLUMN time DATETIME DEFAULT 'it''s int'") == "ALTER TABLE t ADD COLUMN time TIMESTAMP DEFAULT 'it''s int'"
     assert my('CREATE TABLE "t" ("a" character varying(9), "b" numeric(5,2), "c" timestamp with time zone, "d" double precision, "e" int4[])') == "CREATE TABLE `t` (`a` VARCHAR(9), `b` DECIMAL(5,2), `c` DATETIME, `d` DOUBLE, `e` TEXT) ENGINE=InnoDB"
     name = lambda s, m: one(spark, ddl.renamed(F.lit(s), m))
-    assert name("update `a`.`t` set t = 'from t'", {"a.t": "b.u", "t": "x"}) == "update b.u set t = 'from t'" and name("select t from t join tt on t.a = 1", {"t": "u"}) == "select t from u join tt on t.a = 1"
+    assert name("update `a`.`t` set t = 'from t'", {"a.t": "b.u", "t": "x"}) == "update b.u set t = 'from t'" and name("select t from t join tt on t.a = 1", {"t": "u"}) == "select t from u join tt on u.a = 1"
     merged = one(spark, ddl.merged_table(F.lit("CREATE TABLE t (\n  a INT,\n  PRIMARY KEY (a(10), b)\n) ENGINE=x PARTITION BY HASH(a)"), ["s"]))
     assert merged == "CREATE TABLE t (\n  a INT,\n  PRIMARY KEY (a(10), b, `s`), `s` VARCHAR(64) NOT NULL DEFAULT ''\n) ENGINE=x PARTITION BY HASH(a)"
     assert one(spark, ddl.merged_table(F.lit("CREATE TABLE t (a INT)"), ["s"])) is None
@@ -112,3 +114,27 @@ def test_messages(spark):
     assert parsed.where("n = 3").select(messages.canal_time().alias("t")).first().t == 10
     r = messages.canal_changes(parsed, ["d"]).first()
     assert (r.op, r.source_ts, r.after, r.before) == ("u", 9, {"a": "1", "b": "2"}, {"a": "1", "b": None}) and messages.canal_changes(parsed, ["e"]).isEmpty()
+
+
+def test_keys_of_any_width(spark):
+    from decimal import Decimal
+
+    from tidemark.operators import changelog, routing
+
+    wide = [1 << 64, (1 << 63) + 5, -(1 << 63) - 1, 12345678901234567890, 10**37 + 3, 5, -3, 10**19 * 7 + 9]
+    signed = lambda n: (n + (1 << 63)) % (1 << 64) - (1 << 63)
+    text = spark.createDataFrame([(str(n),) for n in wide], "k string").select(routing.shard_hash(F.col("k")).alias("h"))
+    assert [r.h for r in text.collect()] == [signed(n) for n in wide]
+    number = spark.createDataFrame([(Decimal(n),) for n in wide], "k decimal(38,0)").select(routing.shard_hash(F.col("k")).alias("h"))
+    assert [r.h for r in number.collect()] == [signed(n) for n in wide]
+    assert [r.h for r in spark.createDataFrame([("5.00",), ("abc",), (None,), ("5.5",)], "k string").select(routing.shard_hash(F.col("k")).alias("h")).collect()] == [5, zlib.crc32(b"abc"), None, zlib.crc32(b"5.5")]
+    keys = spark.createDataFrame([(1, None, 2), (1, 2, None), (None, None, None)], "a int, b int, c int")
+    said = keys.select(changelog.message_key("d", "t", [F.col(c) for c in "abc"], F.lit("x")).alias("k"))
+    assert [r.k for r in said.collect()] == ["d.t.1_\\N_2", "d.t.1_2_\\N", "x"]
+
+
+def test_decimals_are_compared_as_decimals(spark):
+    from decimal import Decimal
+
+    df = spark.createDataFrame([(Decimal("0.1000000000000000001"),), (Decimal("0.1"),)], "v decimal(30,19)")
+    assert [r.v for r in columns.keep_rows(df, "v|>|0.1").collect()] == [Decimal("0.1000000000000000000")]

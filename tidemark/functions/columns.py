@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation
@@ -47,7 +48,8 @@ def excluded(df: DataFrame, rule: Exclusion) -> Column:
         found = compare(column.cast("int"), F.lit(rule.value).try_cast("int")) if number else compare(column, F.lit(rule.value).try_cast("boolean"))
     elif kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
         # A plain literal, so that the comparison reaches the scan.
-        found = compare(column, F.lit(int(rule.value) if rule.value.lstrip("+-").isdigit() else float(rule.value))) if number else F.lit(False)
+        of = int if rule.value.lstrip("+-").isdigit() else Decimal if kind.startswith("decimal") else float
+        found = compare(column, F.lit(of(rule.value))) if number else F.lit(False)
     elif kind in ("timestamp", "timestamp_ntz", "date"):
         found = compare(column, F.lit(rule.value).try_cast(kind))
     elif kind == "binary":

@@ -76,8 +76,9 @@ def overlay(under: Column, over: Column) -> Column:
 
 
 def message_key(db: str, table: str, pk: list[Column], fallback: Column) -> Column:
-    key = F.concat_ws("_", *[c.cast("string") for c in pk])
-    return F.when(key != "", F.concat(F.lit(f"{db}.{table}."), key)).otherwise(fallback.cast("string"))
+    """``db.table.`` and the key's values joined by underscores, a null among them as ``\\\\N``; the fallback where all are null."""
+    key = F.concat_ws("_", *[F.coalesce(c.cast("string"), F.lit("\\N")) for c in pk])
+    return F.when(F.coalesce(*[c.cast("string") for c in pk]).isNotNull() & (key != ""), F.concat(F.lit(f"{db}.{table}."), key)).otherwise(fallback.cast("string"))
 
 
 def topic(strategy: str, prefix: str, task: str, db: Column, table: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,10 +12,17 @@ from pyspark.sql import functions as F
 
 
 def shard_hash(key: Column) -> Column:
-    """Whole numbers, also as decimals or text, are their own hash; else the crc32 of the text."""
+    """Whole numbers, also as decimals or text, are their own hash, of more than 64 bits the lowest 64; else the crc32 of the text.
+
+    Numbers may have 38 digits.
+    """
     text = key.cast("string")
-    number = text.try_cast("decimal(38,10)")
-    return F.when(number == F.floor(number), number.cast("decimal(38,0)").try_cast("bigint")).otherwise(F.crc32(text.cast("binary")))
+    number, wide = text.try_cast("decimal(38,10)"), F.when(text.rlike(r"^\s*[+-]?\d+\s*$"), text.try_cast("decimal(38,0)"))
+    whole = F.when(number == F.floor(number), number.cast("decimal(38,0)")).otherwise(wide)
+    bits, half = (F.lit(Decimal(n)).cast("decimal(38,0)") for n in (1 << 64, 1 << 63))
+    low = F.pmod(whole, bits)
+    lowest = F.when(low >= half, low - bits).otherwise(low).try_cast("bigint")
+    return F.when(whole.isNotNull(), F.coalesce(whole.try_cast("bigint"), lowest)).otherwise(F.crc32(text.cast("binary")))
 
 
 def fill(template: str, shard: Column, text: Column | None = None) -> Column:

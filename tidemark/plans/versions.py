@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lists
-from ..operators import handover, layers, schema_log
+from ..operators import documents, handover, layers, schema_log
 from .inputs import LOG, change_log, table
 
 
@@ -95,7 +95,28 @@ def shadow_alters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_log.shadow_conversions(ddl).select("seqno", "table", F.coalesce("sql", F.lit("")).alias("sql"))
 
 
-QUERIES = {f.__name__: f for f in (schema_versioned_log, snapshot_handover, snapshot_pending, graph_layers, table_creation_order, redo_images, array_literals, shadow_alters)}
+def _documents(spark: SparkSession, sf_dir: str, moved: bool) -> DataFrame:
+    """Nested documents of the events; the moved ones lack some, and have other lists, fields and kinds of numbers."""
+    n, t = F.col("event_id"), F.col("event_type")
+    last = F.when((n % 13 == 0) & F.lit(moved), n + 2).otherwise(n + 1)
+    extra = F.when((n % 11 == 0) & F.lit(moved), F.lit(',"new":null')).otherwise(F.lit(""))
+    text = F.concat(_said('{"user":{"id":', F.col("user_id"), F.lit(".0" if moved else ""), ',"kind":{"name":"', t, '"}},"list":[', n, ",", last, "]"), extra, F.lit("}"))
+    x = table(spark, sf_dir, "events").select("event_id", documents.document(text).alias("doc"))
+    return x.where("event_id % 17 <> 0") if moved else x
+
+
+def document_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of nested documents, without those that a rule over a path excludes."""
+    x = _documents(spark, sf_dir, False).where(~documents.path_excluded(F.col("doc"), [("$.user.kind.name", "=", "error"), ("$.list[1]", "<=", "100")]))
+    return documents.document_paths(x, "event_id", "doc").select("event_id", "path", "value")
+
+
+def document_path_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = documents.path_diff(_documents(spark, sf_dir, False), _documents(spark, sf_dir, True), "event_id", "doc")
+    return found.select("event_id", "diff_type", F.array_join("paths", ",").alias("paths"))
+
+
+QUERIES = {f.__name__: f for f in (schema_versioned_log, snapshot_handover, snapshot_pending, graph_layers, table_creation_order, redo_images, array_literals, shadow_alters, document_paths, document_path_diff)}
 
 _RANGES = "r AS (SELECT DISTINCT pk // 10 AS r, ((pk // 10) % 8 * (SELECT max(seqno) FROM log)) // 8 AS position FROM log WHERE (pk // 10) % 5 <> 4)"
 SQL = {
@@ -122,4 +143,9 @@ SQL = {
         CASE event_id % 7 WHEN 0 THEN '-' WHEN 1 THEN '' ELSE event_id || '|null|a,}' || event_id || '|{1,"}"}' END AS elements FROM events""",
     "shadow_alters": """SELECT p_partkey * 2 + 1 AS seqno, 'shop.t' || p_partkey AS "table", CASE WHEN p_partkey % 3 = 0 THEN '' ELSE 'ALTER TABLE `shop`.`t' || p_partkey || '` MODIFY COLUMN `name` VARCHAR(' || (p_size + 1) ||
         ') DEFAULT ''a,b'', ADD COLUMN `kind` ENUM(''p,q'', ''r'') AFTER `name`' END AS sql FROM part""",
+    "document_paths": """SELECT event_id, path, CASE path WHEN 'user.id' THEN user_id::VARCHAR WHEN 'user.kind.name' THEN '"' || event_type || '"' WHEN 'list[0]' THEN event_id::VARCHAR ELSE (event_id + 1)::VARCHAR END AS value
+        FROM events, (SELECT unnest(['user.id', 'user.kind.name', 'list[0]', 'list[1]']) AS path) WHERE event_type <> 'error' AND event_id + 1 > 100""",
+    "document_path_diff": """SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'SOURCE_ONLY' ELSE 'CONTENT_DIFF' END AS diff_type,
+        CASE WHEN event_id % 17 = 0 THEN '' ELSE concat_ws(',', CASE WHEN event_id % 13 = 0 THEN 'list[1]' END, CASE WHEN event_id % 11 = 0 THEN 'new' END) END AS paths
+        FROM events WHERE event_id % 17 = 0 OR event_id % 13 = 0 OR event_id % 11 = 0""",
 }
