@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result to the shared folder
 and reads it again. All stages but the last return the columns of documents. Decisions name rows by ids of their own
 (``identified``), so rows without a doc_id and different rows that share one are decided each by itself.
+
+Results for odd input: no rows in, no rows out, from every stage; columns beyond those of documents don't count and are
+not kept; rows without a doc_id keep none. Null and empty texts are scored like any other, are one text to exact dedup,
+are alike to none in near dedup, and the mix takes nothing of them or of blank ones; in tokens alone they have no ids.
+Repeated rows of one document become one in exact dedup. Texts of any length go through whole.
 """
 
 from __future__ import annotations
