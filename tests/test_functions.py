@@ -138,3 +138,28 @@ def test_decimals_are_compared_as_decimals(spark):
 
     df = spark.createDataFrame([(Decimal("0.1000000000000000001"),), (Decimal("0.1"),)], "v decimal(30,19)")
     assert [r.v for r in columns.keep_rows(df, "v|>|0.1").collect()] == [Decimal("0.1000000000000000000")]
+
+
+def test_configured_filters(spark):
+    def kept(df, rules: str):
+        return columns.keep_rows(df, rules)
+
+    def first(df, n: int, wanted: bool = True):
+        return df.where(f"id < {n}") if wanted else df
+
+    known = {"rules": kept, "first": first}
+    settings = {"filters": "b, a", "filter.a.class": "rules", "filter.a.rules": "id|=|3", "filter.a.priority": "5", "filter.b.class": "first", "filter.b.n": "6", "filter.b.wanted": "true"}
+    out, told = columns.chained(spark.range(10), columns.configured_filters(settings, known))
+    assert [r.id for r in out.orderBy("id").collect()] == [0, 1, 2, 4, 5] and [(k, o.get["passed"]) for k, o in told.items()] == [("a", 9), ("b", 5)]
+    for wrong in ({"filter.b.class": "none"}, {"filter.b.m": "1"}, {"filter.b.n": "x"}, {"filter.b.wanted": "maybe"}):
+        with pytest.raises(ValueError, match="filter b"):
+            columns.configured_filters(settings | wrong, known)
+    assert columns.configured_filters({}, known) == []
+
+
+def test_channels():
+    from tidemark.sources import sinks
+
+    assert [sinks.load_channel(m, t) for m, t in (("AUTO", "mysql"), ("COPY", "PostgreSQL"), ("COPY", "mysql"), ("DIRECT_PATH", "oracle"), ("DIRECT_PATH", "postgresql"))] == [("BATCH", 5000), ("COPY", 5000), ("BATCH", 5000), ("DIRECT_PATH", 5000), ("BATCH", 5000)]
+    assert sinks.load_channel("COPY", "postgresql", enabled=False) == ("BATCH", 1) and sinks.load_channel("BATCH", "x", rows=7) == ("BATCH", 7)
+    assert types.map_type("pg", "mysql", "oid") == "BIGINT" and types.map_type("pg", "mysql", "bit varying(9)") == "VARCHAR(9)" and types.map_type("pg", "mysql", "bit(3)") == "BIT(3)"

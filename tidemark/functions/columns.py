@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -92,6 +94,35 @@ def chained(df: DataFrame, steps: list[tuple[int, str, Callable[[DataFrame], Dat
     return df, told
 
 
+def configured_filters(settings: dict[str, str], known: dict[str, Callable]) -> list[tuple[int, str, Callable[[DataFrame], DataFrame]]]:
+    """Steps for ``chained`` from settings: ``filters`` lists names, ``filter.<name>.class`` what each is of ``known``, the rest its properties.
+
+    ``known`` are functions of a frame and named properties; a property takes the type of its annotation (str, int, float, bool,
+    list). ``filter.<name>.priority`` orders the filters, 100 where none is given. A name without a known class, a property
+    that the function hasn't, or a value that isn't of its type is an error: a filter that is left out would let rows through.
+    """
+    steps = []
+    of_type = {"int": int, "float": float, "bool": lambda v: {"true": True, "false": False}[v.lower()], "list": lambda v: [x.strip() for x in v.split(",") if x.strip()], "str": str}
+    for name in filter(None, (n.strip() for n in settings.get("filters", "").split(","))):
+        own = {k.removeprefix(f"filter.{name}."): v.strip() for k, v in settings.items() if k.startswith(f"filter.{name}.")}
+        kind, priority = own.pop("class", ""), int(own.pop("priority", "100"))
+        if kind not in known:
+            raise ValueError(f"filter {name}: no class {kind!r}")
+        kinds = {k: p.annotation if isinstance(p.annotation, str) else getattr(p.annotation, "__name__", "str") for k, p in list(inspect.signature(known[kind]).parameters.items())[1:]}
+        if unknown := own.keys() - kinds.keys():
+            raise ValueError(f"filter {name}: no property {sorted(unknown)}")
+        try:
+            values = {k: of_type.get(kinds[k].split("[")[0], str)(v) for k, v in own.items()}
+        except (KeyError, ValueError) as error:
+            raise ValueError(f"filter {name}: not of its type: {error}") from None
+        steps.append((priority, name, functools.partial(_with, known[kind], values)))
+    return steps
+
+
+def _with(step: Callable, values: dict, df: DataFrame) -> DataFrame:
+    return step(df, **values)
+
+
 def add_constants(df: DataFrame, extras: dict[str, str], created: str | None = None, updated: str | None = None) -> DataFrame:
     """Constant columns, and the load time under the names asked for."""
     times = {c: F.current_timestamp() for c in (created, updated) if c}

@@ -11,7 +11,7 @@ PG_TO_MYSQL = {
     "money": "DECIMAL(19,2)", "boolean": "TINYINT(1)", "bool": "TINYINT(1)", "text": "TEXT", "name": "VARCHAR(64)", "bytea": "BLOB",
     "date": "DATE", "time": "TIME", "timetz": "TIME", "timestamp": "DATETIME", "timestamptz": "DATETIME", "interval": "TEXT",
     "uuid": "CHAR(36)", "json": "JSON", "jsonb": "JSON", "xml": "LONGTEXT", "inet": "VARCHAR(45)", "cidr": "VARCHAR(45)", "macaddr": "CHAR(17)", "macaddr8": "CHAR(23)",
-    "point": "TEXT", "line": "TEXT", "lseg": "TEXT", "box": "TEXT", "path": "TEXT", "polygon": "TEXT", "circle": "TEXT", "tsvector": "TEXT", "tsquery": "TEXT", "hstore": "TEXT",
+    "point": "TEXT", "line": "TEXT", "lseg": "TEXT", "box": "TEXT", "path": "TEXT", "polygon": "TEXT", "circle": "TEXT", "tsvector": "TEXT", "tsquery": "TEXT", "hstore": "TEXT", "oid": "BIGINT", "ltree": "TEXT",
 }
 #: MySQL types in PostgreSQL.
 MYSQL_TO_PG = {
@@ -57,7 +57,9 @@ def map_type(source: str, target: str, text: str | None) -> str:
             return f"VARCHAR({size or 255})"
         if name in ("char", "character", "bpchar"):
             return f"CHAR({size or 1})"
-        if name in ("bit", "bit varying", "varbit"):
+        if name in ("bit varying", "varbit"):
+            return f"VARCHAR({size or 255})"
+        if name == "bit":
             return f"BIT({size or 1})"
         return PG_TO_MYSQL.get(name) or next((to for known, to in PG_TO_MYSQL.items() if name.startswith(known)), "TEXT")
     if (source, target) == ("mysql", "pg"):

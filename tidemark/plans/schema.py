@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ddl, statements
-from ..operators import changelog, conflicts, metrics, route_config
+from ..operators import changelog, conflicts, metrics, precheck, route_config
 from ..sources import messages
 from .inputs import LOG, change_log, epoch_ms, table
 
@@ -165,19 +165,37 @@ def settings_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tables_without_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables of a catalog, here the customers' names, that no key is listed for."""
-    tables = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("table_id"))
-    keys = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("table_id"))
-    return tables.join(keys, "table_id", "left_anti")
+    """Tables of a catalog, here the customers' numbers, that no primary key is listed for."""
+    tables = table(spark, sf_dir, "customer").select(F.lit("app").alias("db"), F.col("c_custkey").cast("string").alias("table"))
+    keys = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.lit("app").alias("db"), F.col("o_custkey").cast("string").alias("table"), F.lit("PRIMARY").alias("kind"))
+    return precheck.without_key(tables, keys).select(F.col("table").cast("bigint").alias("table_id"))
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A catalog of a table for each customer, in databases by nation, and a selection of tables and whole databases."""
+    n, db = F.col("c_custkey"), F.concat(F.lit("db"), F.col("c_nationkey").cast("string"))
+    name = F.concat(F.lit("T"), n.cast("string"))
+    x = table(spark, sf_dir, "customer").select(n, "c_nationkey", db.alias("db"), name.alias("table"))
+    tables = x.where("c_custkey % 7 <> 0 AND c_nationkey <> 24")
+    columns = tables.select("db", "table", "c_custkey", F.explode(F.array(F.lit("ID"), F.lit("Code"))).alias("column")).withColumn("nullable", (F.col("column") == "Code") & (F.col("c_custkey") % 4 == 0))
+    primary = tables.where("c_custkey % 3 <> 0").select("db", "table", F.lit("pk").alias("key"), F.lit("PRIMARY").alias("kind"), F.lit("id").alias("column"))
+    unique = tables.where("c_custkey % 3 = 0 AND c_custkey % 2 = 0").select("db", "table", F.lit("u").alias("key"), F.lit("UNIQUE").alias("kind"), F.lit("code").alias("column"))
+    lower = F.lower("table")
+    return {
+        "selection": x.where("c_nationkey >= 3 AND c_custkey % 5 <> 0").select("db", lower.alias("table"), F.lit("dw").alias("target_db"), F.concat(F.lit("t"), (n % 1000).cast("string")).alias("target_table"))
+        .union(x.where("c_nationkey < 3").select("db", F.lit(None).cast("string"), "db", F.lit(None).cast("string")).distinct()),
+        "tables": tables.select("db", "table"), "columns": columns.select("db", "table", "column", "nullable"), "keys": primary.union(unique),
+        "parents": tables.where("c_custkey % 11 = 0").select("db", "table", F.col("db").alias("parent_db"), F.concat(F.lit("T"), (n + 5).cast("string")).alias("parent_table")),
+        "targets": table(spark, sf_dir, "supplier").select(F.lit("dw").alias("db"), F.concat(F.lit("T"), F.col("s_suppkey").cast("string")).alias("table")),
+        "used": tables.where("c_custkey % 13 = 0").select("db", "table", F.when(n % 2 == 0, "code").otherwise("gone").alias("column")),
+    }
 
 
 def schema_precheck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a precheck says of each table: FAIL where it isn't there, WARNING without a key, PASS else."""
-    wanted = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("table_id")).distinct()
-    there = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("table_id"), F.lit(True).alias("there"))
-    keyed = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("table_id"), F.lit(True).alias("keyed"))
-    x = wanted.join(there, "table_id", "left").join(keyed, "table_id", "left")
-    return x.select("table_id", F.when(F.col("there").isNull(), "FAIL").when(F.col("keyed").isNull(), "WARNING").otherwise("PASS").alias("said"))
+    """What each check finds in a catalog, for a capture by rows and for one by keys."""
+    catalog = _catalog(spark, sf_dir)
+    by = lambda capture: precheck.precheck(**catalog, capture=capture).withColumn("capture", F.lit(capture))
+    return by("rows").unionByName(by("keys").where("check = 'keys'"))
 
 
 def document_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +243,18 @@ SQL = {
     "task_search": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderkey % 13 <> 0 AND o_orderstatus = 'O' AND o_orderpriority ILIKE '%high%'",
     "settings_masked": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'db.Password = ******' WHEN 1 THEN 'api_token: ******' ELSE 'host=' || c_custkey END AS line FROM customer",
     "tables_without_key": "SELECT c_custkey AS table_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
-    "schema_precheck": """SELECT DISTINCT o_custkey AS table_id, CASE WHEN o_custkey % 4 = 0 OR o_custkey NOT IN (SELECT c_custkey FROM customer) THEN 'FAIL'
-        WHEN o_custkey NOT IN (SELECT s_suppkey FROM supplier) THEN 'WARNING' ELSE 'PASS' END AS said FROM orders""",
+    "schema_precheck": """WITH x AS (SELECT c_custkey AS n, c_nationkey AS nation, 'db' || c_nationkey AS db, 'T' || c_custkey AS name FROM customer), t AS (SELECT * FROM x WHERE n % 7 <> 0 AND nation <> 24),
+        c AS (SELECT n, db, 't' || n AS name, 'dw' AS tdb, 't' || (n % 1000) AS tname FROM t WHERE nation >= 3 AND n % 5 <> 0 UNION ALL SELECT n, db, name, db, name FROM t WHERE nation < 3),
+        f AS (SELECT 'source_objects' AS "check", 'FAIL' AS worst, 'rows' AS capture, o FROM (SELECT DISTINCT db AS o FROM x WHERE (nation < 3 OR n % 5 <> 0) AND db NOT IN (SELECT db FROM t)
+                UNION ALL SELECT db || '.t' || n FROM x WHERE nation >= 3 AND n % 5 <> 0 AND db IN (SELECT db FROM t) AND n NOT IN (SELECT n FROM t))
+              UNION ALL SELECT 'keys', 'WARNING', 'rows', db || '.' || name FROM c WHERE n % 3 = 0
+              UNION ALL SELECT 'keys', 'FAIL', 'keys', db || '.' || name FROM c WHERE n % 3 = 0 AND (n % 2 <> 0 OR n % 4 = 0)
+              UNION ALL SELECT 'rule_columns', 'FAIL', 'rows', db || '.' || name || '.gone' FROM t WHERE n % 13 = 0 AND n % 2 <> 0
+              UNION ALL SELECT 'parents', 'WARNING', 'rows', db || '.' || name || ' -> ' || db || '.T' || (n + 5) FROM t WHERE n % 11 = 0 AND n IN (SELECT n FROM c) AND nation >= 3
+                AND NOT EXISTS (SELECT 1 FROM c WHERE c.n = t.n + 5 AND c.db = t.db)
+              UNION ALL SELECT DISTINCT 'target_names', 'WARNING', 'rows', 'dw.' || tname FROM c WHERE tdb = 'dw' AND (lower(tname) IN (SELECT 't' || s_suppkey FROM supplier) OR (SELECT count(*) FROM c d WHERE d.tdb = 'dw' AND d.tname = c.tname) > 1)),
+        k AS (SELECT * FROM (VALUES ('source_objects', 'rows'), ('keys', 'rows'), ('keys', 'keys'), ('rule_columns', 'rows'), ('parents', 'rows'), ('target_names', 'rows')) v("check", capture)),
+        r AS (SELECT *, row_number() OVER (PARTITION BY "check", capture ORDER BY o) AS i FROM f)
+        SELECT k."check", k.capture, coalesce(max(worst), 'PASS') AS status, count(o) AS n, coalesce(string_agg(CASE WHEN i <= 20 THEN o END, ', ' ORDER BY o), '') AS objects FROM k LEFT JOIN r ON r."check" = k."check" AND r.capture = k.capture GROUP BY ALL""",
     "document_bulk": f"WITH {LOG} SELECT event_type, seqno // 500 AS bulk, count(*) AS writes, count(*) FILTER (WHERE op = 'd') AS deletes FROM log GROUP BY ALL",
 }

@@ -94,6 +94,17 @@ def write_jdbc(df: DataFrame, url: str, table: str, pk: list[str], batch: int =
     return {"rows": n, "written": done, "skipped": n - done}
 
 
+def load_channel(mode: str, target: str, enabled: bool = True, rows: int = 0, usual: int = 5000) -> tuple[str, int]:
+    """The channel of a bulk load and its rows a batch: AUTO is BATCH, COPY is for PostgreSQL and DIRECT_PATH for Oracle alone, else BATCH.
+
+    A load that isn't enabled goes row by row.
+    """
+    if mode not in ("AUTO", "BATCH", "COPY", "DIRECT_PATH"):
+        raise ValueError(f"no channel: {mode}")
+    fits = {"COPY": "postgresql", "DIRECT_PATH": "oracle"}.get(mode) == target.strip().lower()
+    return (mode if enabled and fits else "BATCH"), (rows if rows > 0 else max(1, usual)) if enabled else 1
+
+
 def load_bisected(rows: DataFrame, pk: list[str], write: Callable[[DataFrame], object], most_rejects: int = 100) -> DataFrame:
     """Write ``rows`` by ``write``; where that fails, by halves, until the rows that fail stand alone: these come back, with their error.
 
