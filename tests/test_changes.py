@@ -87,6 +87,24 @@ def test_folds_with_nulls(spark):
     assert [r.state for r in folds.hysteresis(levels, ["k"], "seqno", "level", 3.0, 8.0).orderBy("seqno").collect()] == ["RUNNING", "PAUSED", "PAUSED", "PAUSED", "RUNNING", "RUNNING"]
 
 
+def test_cooldown_by_scan(spark):
+    """Many keys and one hot key, null keys and times, ties, over several batches."""
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, *range(0, 40_000, 7)]), i) for i in range(25_000)]
+    last, want = {}, set()
+    for k, at, i in sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2])):
+        if at is not None and (last.get(k) is None or at - last[k] >= 60):
+            last[k] = at
+            want.add(i)
+    got = folds.cooldown(spark.createDataFrame(rows, "k string, at bigint, i bigint"), ["k"], "at", ["i"], 60)
+    assert {x.i for x in got.where("fired").collect()} == want and got.count() == len(rows)
+    assert folds.cooldown(spark.createDataFrame([], "k string, at bigint, i bigint"), ["k"], "at", ["i"]).count() == 0
+
+
+def test_parts_of_a_keyed_table():
+    assert [sinks.KeyedTable.parts_for(n) for n in (0, 1, 1 << 30, (1 << 30) + 1, 100 << 40)] == [1, 1, 1, 2, 1 << 17]
+
+
 def test_circuit_breaker(spark):
     calls = [(0, True), (1, True), (2, False), (3, True), (4, True), (5, True), (6, False), (110, True), (200, False), (320, False), (330, True)]
     df = spark.createDataFrame([("t", i, at, bad) for i, (at, bad) in enumerate(calls)], "k string, seqno bigint, at bigint, bad boolean")

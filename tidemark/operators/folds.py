@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -38,17 +40,62 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Callabl
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(rows, schema)
 
 
+def _changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where a row's key differs from that of the row before; nulls are equal."""
+    out = np.zeros(max(0, batch.num_rows - 1), bool)
+    for k in keys:
+        x, y = batch.column(k).slice(1), batch.column(k).slice(0, batch.num_rows - 1)
+        differ = pc.if_else(pc.and_(x.is_null(), y.is_null()), False, pc.fill_null(pc.not_equal(x, y), True))
+        out |= differ.to_numpy(zero_copy_only=False)
+    return np.flatnonzero(out) + 1
+
+
+def run_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable, out: tuple[str, str], reads: str) -> DataFrame:
+    """Like ``ordered_fold``, for folds over arrays: ``step(state, values) -> (state, array)`` takes the part of a key in a batch at once.
+
+    ``values`` is a masked array of the column ``reads``; a key's first state is None.
+    """
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema] + [f"`{out[0]}` {out[1]}"])
+    kind = to_arrow_type(_parse_datatype_string(out[1]))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = object(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = batch.column(reads)
+            values = np.ma.masked_array(pc.fill_null(column, 0).to_numpy(zero_copy_only=False), column.is_null().to_numpy(zero_copy_only=False))
+            cuts, parts = [0, *_changes(batch, keys).tolist(), batch.num_rows], []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if (now := tuple(batch.column(k)[a].as_py() for k in keys)) != key:
+                    key, state = now, None
+                state, part = step(state, values[a:b])
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(parts), kind)], [*batch.schema.names, out[0]])
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(rows, schema)
+
+
 def cooldown(df: DataFrame, keys: list[str], at: str, ties: list[str], seconds: int = 300) -> DataFrame:
     """Adds fired: whether the row comes at least ``seconds`` after the last one that fired; a row without a time doesn't.
 
-    ``at``: whole seconds; ``ties``: the order of rows of one second.
+    ``at``: whole seconds; ``ties``: the order of rows of one second. The next row that fires is found by bisection, so that
+    Python takes a step a firing, not a row.
     """
 
-    def step(last, row):
-        fires = row[at] is not None and (last is None or row[at] - last >= seconds)
-        return (row[at] if fires else last), (fires,)
-
-    return ordered_fold(df, keys, [at, *ties], step, None, {"fired": "boolean"}, [at])
+    def step(last, times):
+        fired, known = np.zeros(len(times), bool), np.flatnonzero(~np.ma.getmaskarray(times))
+        sorted_times, i = np.ma.getdata(times)[known], 0
+        while i < len(known):
+            if last is not None:
+                i = max(i, int(np.searchsorted(sorted_times, last + seconds)))
+                if i >= len(known):
+                    break
+            fired[known[i]], last = True, int(sorted_times[i])
+            i += 1
+        return last, fired
+
+    return run_fold(df, keys, [at, *ties], step, ("fired", "boolean"), at)
 
 
 def breaker(df: DataFrame, keys: list[str], order: str, at: str, failed: str, most: int = 5, open_ms: int = 1000, factor: float = 2.0, longest_ms: int = 60_000) -> DataFrame:

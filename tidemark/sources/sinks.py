@@ -29,6 +29,14 @@ class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, pk: list[str], parts: int = 64):
         self.spark, self.path, self.pk, self.parts = spark, path, pk, parts
 
+    @staticmethod
+    def parts_for(size: int, most: int = 1 << 30) -> int:
+        """Partitions for a table that will hold ``size`` bytes: a power of two, none beyond ``most`` bytes on average.
+
+        A partition is what one task rewrites; a table keeps the number it began with.
+        """
+        return 1 << max(0, (max(size, 1) - 1) // most).bit_length()
+
     def _stored(self) -> DataFrame | None:
         try:
             return self.spark.read.parquet(self.path)
