@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import chunk_dedup, minhash_dedup, toxicity
+from tidemark.llm import chunk_dedup, minhash_dedup, suffix_dedup, toxicity
 from tidemark.llm.common import table
 
 
@@ -49,6 +49,31 @@ def test_links_of_least_similarity_are_found(spark, words):
     assert found / n >= 0.999
 
 
+@pytest.mark.parametrize("least", [31, 288, 1000])
+def test_windows_beyond_a_bytes_reach_are_refused(spark, least):
+    docs = spark.createDataFrame([(1, "x" * 2000)], "doc_id bigint, text string")
+    for operator in (suffix_dedup.suffix_dedup, suffix_dedup.repeats):
+        with pytest.raises(ValueError, match="windows have 32 to 287 bytes"):
+            operator(docs, least)
+
+
+@pytest.mark.parametrize("least", [32, 287])
+def test_least_and_greatest_windows(spark, least):
+    r = random.Random(least)
+    shared = "".join(r.choice("abcdef ") for _ in range(400))
+    docs = {i: "".join(r.choice("abcdefghij ") for _ in range(r.randint(0, 300))) + shared[r.randint(0, 90) :] for i in range(40)}
+    seen, want = set(), {}
+    for i, t in docs.items():
+        mark = np.zeros(len(t), bool)
+        for at in range(len(t) - least + 1):
+            if t[at : at + least] in seen:
+                mark[at : at + least] = True
+            seen.add(t[at : at + least])
+        want[i] = int(mark.sum())
+    got = suffix_dedup.suffix_dedup(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string").repartition(3), least)
+    assert {x.doc_id: x.n_removed for x in got.collect()} == want and sum(want.values()) > 5000
+
+
 def test_chunks_of_one_hash_are_told_apart(spark, monkeypatch):
     """Hashes of seven values: recipes still tell texts apart, as chunks are named by their proof too."""
     plain = chunk_dedup.recipe_rows

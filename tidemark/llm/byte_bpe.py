@@ -3,7 +3,8 @@
 Texts are cut by the tokenizer's pattern. Pieces not met before in this worker are put, by length, into padded
 numpy matrices of byte tokens; in every round each row merges its leftmost pair of minimum rank, found through a
 hash table of pairs, and rows without a pair left are taken out (compaction). Pieces over ``WIDE`` bytes are merged
-one at a time, all places of the minimum pair at once where that gives the same result as one after another.
+one at a time, a bucket of one row each, whose length costs no square of matrix cells: all places of the minimum pair at
+once where that gives the same result as one after another.
 
 Results for odd input: no rows in, no rows out; null and empty texts have no ids and decode to nothing; a text may be
 of any length; repeated rows give repeated results; a null doc_id stays null.

@@ -520,6 +520,8 @@ def bucket_count(docs: DataFrame) -> int:
 
 def windows_by_bucket(base: DataFrame, least: int, buckets: int, fold: bool) -> DataFrame:
     """Sorted buckets of the windows of repeated anchors in ``base`` (doc_id, text, is_copy); copies are left out."""
+    if not GRAM <= least < GRAM + 256:
+        raise ValueError(f"windows have {GRAM} to {GRAM + 255} bytes")  # an anchor's way back to its windows has a byte
     found = base.where("is_copy IS NULL").select("doc_id", "text").mapInArrow(lambda b: find_anchors(b, least, buckets), "bucket long, payload binary")
     places = _gathered(found, buckets).mapInArrow(repeated_anchors, "doc_id long, place long")
     places = places.groupBy("doc_id").agg(F.collect_list("place").alias("places"))
