@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import changes, checks, observe, routes, rows, schema, versions
+from .plans import changes, checks, flows, observe, routes, rows, schema, versions
 
-PARTS = (rows, routes, changes, checks, observe, schema, versions)
+PARTS = (rows, routes, changes, checks, observe, schema, versions, flows)
 
 
 def queries() -> dict:

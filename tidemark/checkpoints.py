@@ -4,14 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df``, written to the folder that the cluster names; to a temporary one only where it names none and is one machine."""
-    sc = df.sparkSession.sparkContext
-    if not (sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names; a temporary one only where it names none and is one machine."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        named = tempfile.mkdtemp(prefix="tidemark-")
+        sc.setCheckpointDir(named)
+    return named
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
