@@ -101,6 +101,19 @@ def test_cooldown_by_scan(spark):
     assert folds.cooldown(spark.createDataFrame([], "k string, at bigint, i bigint"), ["k"], "at", ["i"]).count() == 0
 
 
+@pytest.mark.parametrize("width", [3, 100_000])
+def test_hysteresis_by_scan(spark, width):
+    r = random.Random(width)
+    rows = [(r.choice(["a", None]), i, r.choice([None, 10.0, 50.0, 90.0])) for i in range(300)]
+    state, want = {}, {}
+    for k, i, v in rows:
+        if v is not None and (v > 80 or v < 20):
+            state[k] = "PAUSED" if v > 80 else "RUNNING"
+        want[i] = state.get(k, "RUNNING")
+    got = folds.hysteresis(spark.createDataFrame(rows, "k string, i bigint, v double"), ["k"], "i", "v", 20.0, 80.0, width)
+    assert got.columns == ["k", "i", "v", "state"] and {x.i: x.state for x in got.collect()} == want
+
+
 def test_parts_of_a_keyed_table():
     assert [sinks.KeyedTable.parts_for(n) for n in (0, 1, 1 << 30, (1 << 30) + 1, 100 << 40)] == [1, 1, 1, 2, 1 << 17]
 

@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
 
+from .schema_log import WIDTH, as_of
+
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], step: Callable, start: object, out: dict[str, str], reads: list[str]) -> DataFrame:
     """Adds the columns ``out`` (name to type) that ``step(state, row) -> (state, values)`` gives, in order for each key.
@@ -121,11 +123,12 @@ def breaker(df: DataFrame, keys: list[str], order: str, at: str, failed: str, mo
     return ordered_fold(df, keys, [order], step, (0, None, open_ms), {"state": "string"}, [at, failed])
 
 
-def hysteresis(df: DataFrame, keys: list[str], order: str, level: str, low: float, high: float) -> DataFrame:
+def hysteresis(df: DataFrame, keys: list[str], order: str, level: str, low: float, high: float, width: int = WIDTH) -> DataFrame:
     """Adds state: PAUSED above ``high`` until below ``low``, else RUNNING: whichever threshold was crossed last.
 
-    A null level crosses none.
+    A null level crosses none. ``order`` is a whole number; the last crossing is found by ranges of ``width`` of it
+    (``schema_log.as_of``), so that a hot key is many groups.
     """
     crossed = F.when(F.col(level) > high, "PAUSED").when(F.col(level) < low, "RUNNING")
-    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("state", F.coalesce(F.last(crossed, ignorenulls=True).over(so_far), F.lit("RUNNING")))
+    crossings = df.select(*keys, order, crossed.alias("state")).where("state IS NOT NULL")
+    return as_of(df, crossings, keys, order, "state", width).na.fill("RUNNING", ["state"])
