@@ -12,6 +12,8 @@ from ..functions import columns, statements, values
 from ..operators import changelog, metrics, route_config, routing
 from ..sources import readers, sinks
 from ..streaming import apply
+from .changes import SQL as CHANGES
+from .changes import _contended
 from .inputs import LOG, change_log, epoch_ms, table
 from .rows import STATEMENTS
 
@@ -151,7 +153,31 @@ def replayed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply.live_rows(sink).select("pk", "seqno", "event_type")
 
 
-QUERIES = {f.__name__: f for f in (filtered_changes, statement_tables, typed_rules, filter_chain, index_lines, change_messages, shard_files, route_identity, fan_out_copies, error_policy, latency_files, captured_lines, log_from_position, load_statistics, binary_values, replayed_stream)}
+def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on a log that comes in two files, by keyed state."""
+    path, log = _folder(spark, "decisions"), _contended(spark, sf_dir).select("pk", "seqno", "node", "source_ts")
+    low, high = log.agg(F.min("seqno"), F.max("seqno")).first()
+    middle = ((low or 0) + (high or 0)) // 2
+    for part in (log.where(F.col("seqno") <= middle), log.where(F.col("seqno") > middle)):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
+    said = apply.decide_stream(stream, "pk").writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+    said.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("pk long, seqno long, decision string").parquet(f"{path}/out")
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each hour of a stream that sends some of them twice, once no more are awaited."""
+    path = _folder(spark, "windows")
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("seqno"), F.col("ts").cast("timestamp").alias("ts"))
+    events.union(events.where("seqno % 10 = 0")).coalesce(2).write.parquet(f"{path}/log")
+    stream = spark.readStream.schema(events.schema).parquet(f"{path}/log").withWatermark("ts", "10 minutes")
+    counted = apply.throughput_stream(apply.first_of_each(stream, ["seqno"]), "ts", "1 hour").writeStream.format("parquet").outputMode("append").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+    counted.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("window_start timestamp, events long").parquet(f"{path}/out").select(F.unix_millis("window_start").alias("start_ms"), "events")
+
+
+QUERIES = {f.__name__: f for f in (filtered_changes, statement_tables, typed_rules, filter_chain, index_lines, change_messages, shard_files, route_identity, fan_out_copies, error_policy, latency_files, captured_lines, log_from_position, load_statistics, binary_values, replayed_stream, stream_decisions, stream_windows)}
 
 _TABLES = ["" for _ in STATEMENTS]
 _TABLES[8] = _TABLES[9] = "db1._orders_gho"
@@ -176,4 +202,7 @@ SQL = {
     "load_statistics": "SELECT count(*) AS rows, sum(8 + 3 * length(o_orderstatus) + 8)::BIGINT AS bytes FROM orders",
     "binary_values": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN '-' ELSE lpad(upper(to_hex(event_id)), 6, '0') END AS bytes, lpad(upper(to_hex(event_id % 4096)), 4, '0') AS bits FROM events",
     "replayed_stream": f"WITH {LOG} SELECT pk, max(seqno) AS seqno, arg_max(event_type, seqno) AS event_type FROM log GROUP BY pk HAVING arg_max(op, seqno) <> 'd'",
+    "stream_decisions": CHANGES["conflict_lww_decisions"],
+    "stream_windows": """WITH x AS (SELECT date_trunc('hour', ts) AS h, count(*) AS events FROM events GROUP BY 1)
+        SELECT epoch_us(h) // 1000 AS start_ms, events FROM x WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
 }
