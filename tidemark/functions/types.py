@@ -18,23 +18,26 @@ MYSQL_TO_PG = {
     "tinyint": "SMALLINT", "smallint": "SMALLINT", "mediumint": "INTEGER", "int": "INTEGER", "integer": "INTEGER", "bigint": "BIGINT",
     "float": "REAL", "double": "DOUBLE PRECISION", "date": "DATE", "datetime": "TIMESTAMP", "timestamp": "TIMESTAMP", "time": "INTERVAL", "year": "SMALLINT",
     "tinytext": "TEXT", "text": "TEXT", "mediumtext": "TEXT", "longtext": "TEXT", "tinyblob": "BYTEA", "blob": "BYTEA", "mediumblob": "BYTEA", "longblob": "BYTEA",
-    "binary": "BYTEA", "varbinary": "BYTEA", "json": "JSONB", "enum": "VARCHAR(255)", "set": "VARCHAR(255)",
+    "binary": "BYTEA", "varbinary": "BYTEA", "json": "JSONB", "bool": "BOOLEAN", "boolean": "BOOLEAN", "enum": "VARCHAR(255)", "set": "VARCHAR(255)",
 }
 #: Oracle types in PostgreSQL.
 ORACLE_TO_PG = {
     "date": "TIMESTAMP", "clob": "TEXT", "nclob": "TEXT", "long": "TEXT", "blob": "BYTEA", "raw": "BYTEA", "long raw": "BYTEA", "rowid": "VARCHAR(18)", "urowid": "VARCHAR(18)",
-    "bfile": "VARCHAR(530)", "xmltype": "XML", "float": "DOUBLE PRECISION", "binary_float": "REAL", "binary_double": "DOUBLE PRECISION",
+    "bfile": "VARCHAR(530)", "xmltype": "XML", "interval": "INTERVAL", "json": "JSONB", "boolean": "BOOLEAN", "bool": "BOOLEAN", "float": "DOUBLE PRECISION", "binary_float": "REAL", "binary_double": "DOUBLE PRECISION",
 }
-_TYPE = re.compile(r"^\s*([a-z][a-z0-9_ ]*?)\s*(?:\(\s*(\d+)\s*(?:,\s*(-?\d+)\s*)?\))?\s*(unsigned|with time zone|without time zone|with local time zone)?\s*(\[\])?\s*$")
+#: Where a type's parts stand; expressions over columns read them alike. What a list of values holds is no size.
+NAME = r"^\s*(double precision|character varying|bit varying|long raw|[a-z]\w*)"
+SIZE = r"^[^('\"]*\(\s*(\d+)"
+SCALE = r"^[^('\"]*\(\s*\d+\s*,\s*(-?\d+)"
+SUFFIX = r"\b(unsigned|with time zone|without time zone|with local time zone)\b"
+ARRAY = r"\[\d*\]\s*$"
 
 
 def parts(text: str) -> tuple[str, int | None, int | None, str, bool]:
     """Name, size, scale, suffix and whether an array."""
-    m = _TYPE.match(text.lower())
-    if not m:
-        return text.lower().strip(), None, None, "", False
-    name, size, scale, suffix, array = m.groups()
-    return name, int(size) if size else None, int(scale) if scale else None, suffix or "", bool(array)
+    low = text.lower().strip()
+    name, size, scale, suffix = (m.group(1) if (m := re.search(p, low)) else None for p in (NAME, SIZE, SCALE, SUFFIX))
+    return name or low, int(size) if size else None, int(scale) if scale else None, suffix or "", bool(re.search(ARRAY, low))
 
 
 def _sized(name: str, size: int | None, scale: int | None) -> str:
@@ -43,7 +46,7 @@ def _sized(name: str, size: int | None, scale: int | None) -> str:
 
 def map_type(source: str, target: str, text: str | None) -> str:
     """A column type of ``source`` (pg, mysql, oracle) in ``target`` (mysql, pg); text where nothing fits."""
-    if not text:
+    if not text or not text.strip():
         return "TEXT"
     name, size, scale, suffix, array = parts(text)
     if source == target:
@@ -82,7 +85,7 @@ def map_type(source: str, target: str, text: str | None) -> str:
             if scale in (None, 0):
                 return "SMALLINT" if size <= 4 else "INTEGER" if size <= 9 else "BIGINT" if size <= 18 else f"NUMERIC({size})"
             return f"NUMERIC({size},{scale})"
-        if name in ("varchar2", "nvarchar2"):
+        if name in ("varchar2", "nvarchar2", "varchar"):
             return f"VARCHAR({size or 255})"
         if name in ("char", "nchar"):
             return f"CHAR({size or 1})"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import written
 from .components import components
 from .folds import ordered_fold
+from .scans import WIDTH, before
 
 
 def last_write_wins(log: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,16 +31,15 @@ def _known(keys: list[str]) -> Column:
     return reduce(Column.__and__, [F.col(c).isNotNull() for c in ("source_ts", *keys)])
 
 
-def with_record(log: DataFrame, keys: list[str], policy: str) -> DataFrame:
+def with_record(log: DataFrame, keys: list[str], policy: str, width: int = WIDTH) -> DataFrame:
     """Adds held_ts and held_node: what is recorded of the key when the event comes, null where nothing is.
 
     By ``lww`` that is the greatest (time, node) so far; by ``error`` the first event of the latest time so far, as no
-    other of that time is let in. Events without a key or a time have no record and leave none.
+    other of that time is let in. Events without a key or a time have no record and leave none. A hot key is cut into
+    ranges of ``width`` of seqno.
     """
-    order = Window.partitionBy(*keys).orderBy("seqno").rowsBetween(Window.unboundedPreceding, -1)
     rank = F.struct("source_ts", "node") if policy == "lww" else F.struct("source_ts", -F.col("seqno"), "node")
-    held = F.max(rank).over(order)
-    x = log.where(_known(keys)).withColumn("_held", held)
+    x = before(log.where(_known(keys)), keys, "seqno", {"_held": ("max", rank)}, width)
     x = x.select(*log.columns, F.col("_held.source_ts").alias("held_ts"), F.col("_held.node").alias("held_node"))
     return x.unionByName(log.where(~_known(keys)), allowMissingColumns=True)
 
@@ -100,18 +100,21 @@ def conflict_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     return found.unionByName(alone.withColumn("root", F.col("node")))
 
 
-def dependency_layers(log: DataFrame, batch: str, key: str, barrier: str) -> DataFrame:
+def dependency_layers(log: DataFrame, batch: str, key: str, barrier: str, width: int = WIDTH) -> DataFrame:
     """Adds layer: statements of one layer may run at once.
 
     Barriers cut a batch into segments. Within one, a statement stands one layer after the last of its key, those
-    without key in the first; a barrier stands alone, after all before it.
+    without key in the first; a barrier stands alone, after all before it. Segments, places and layers are counted by
+    ranges of ``width`` of seqno, so that a log that is one batch, or one key, is many groups.
     """
-    order = Window.partitionBy(batch).orderBy("seqno")
-    x = log.withColumn("_segment", F.coalesce(F.sum(F.col(barrier).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy(batch, "_segment", barrier, key).orderBy("seqno"))
-    x = x.withColumn("_depth", F.when(F.col(barrier) | F.col(key).isNull(), F.lit(1)).otherwise(within))
+    x = before(log, [batch], "seqno", {"_segment": ("sum", F.col(barrier).cast("long"))}, width).na.fill(0, ["_segment"])
+    # What stands in the first layer of its segment counts for nobody: its key is null here, as is a barrier's.
+    x = x.withColumn("_key", F.when(~F.col(barrier) & F.col(key).isNotNull(), F.struct(key)))
+    x = before(x, [batch, "_segment", "_key"], "seqno", {"_depth": ("sum", F.when(F.col("_key").isNotNull(), 1).otherwise(0).cast("long"))}, width)
+    x = x.withColumn("_depth", F.coalesce("_depth", F.lit(0)) + 1)
     deep = x.groupBy(batch, "_segment").agg(F.coalesce(F.max(F.when(~F.col(barrier), F.col("_depth"))), F.lit(0)).alias("_deep"))
-    before = Window.partitionBy(batch).orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    deep = deep.withColumn("_base", F.coalesce(F.sum(F.col("_deep") + 1).over(before), F.lit(0)))
-    x = x.join(deep, [batch, "_segment"])
-    return x.withColumn("layer", F.when(F.col(barrier), F.col("_base") + F.col("_deep")).otherwise(F.col("_base") + F.col("_depth") - 1)).drop("_segment", "_depth", "_deep", "_base")
+    deep = before(deep, [batch], "_segment", {"_base": ("sum", F.col("_deep") + 1)}, width).na.fill(0, ["_base"])
+    same = [x[c].eqNullSafe(deep[c]) for c in (batch, "_segment")]
+    x = x.join(deep, same, "left").drop(deep[batch], deep["_segment"])
+    layer = F.when(F.col(barrier), F.col("_base") + F.col("_deep")).otherwise(F.col("_base") + F.col("_depth") - 1)
+    return x.withColumn("layer", layer).drop("_segment", "_depth", "_deep", "_base", "_key")

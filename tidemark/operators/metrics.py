@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scans import WIDTH, before
+
 
 def latency_level(ms: Column) -> Column:
     return F.when(ms < 100, "EXCELLENT").when(ms < 500, "GOOD").when(ms < 1000, "NORMAL").when(ms < 5000, "WARNING").otherwise("CRITICAL")
@@ -106,17 +108,17 @@ def backoff(attempt: Column, first_ms: int, factor: float, most_ms: int) -> Colu
     return F.least(F.lit(float(first_ms)) * F.pow(F.lit(factor), attempt), F.lit(float(most_ms))).cast("bigint")
 
 
-def window_quota(df: DataFrame, keys: list[str], at_ms: str, order: str, window_ms: int, quota: int) -> DataFrame:
-    """Adds within: whether the row is among the first ``quota`` of its key in its fixed window."""
-    part = Window.partitionBy(*keys, (F.floor(F.col(at_ms) / window_ms)).cast("bigint")).orderBy(order)
-    return df.withColumn("within", F.row_number().over(part) <= quota)
+def window_quota(df: DataFrame, keys: list[str], at_ms: str, order: str, window_ms: int, quota: int, width: int = WIDTH) -> DataFrame:
+    """Adds within: whether the row is among the first ``quota`` of its key in its fixed window; rows without a time share one."""
+    x = df.withColumn("_window", F.floor(F.col(at_ms) / window_ms).cast("bigint"))
+    x = before(x, [*keys, "_window"], order, {"_n": ("sum", F.lit(1).cast("long"))}, width)
+    return x.withColumn("within", F.coalesce("_n", F.lit(0)) < quota).drop("_window", "_n")
 
 
-def monotone(df: DataFrame, keys: list[str], order: str, phase: str, exempt: str) -> DataFrame:
+def monotone(df: DataFrame, keys: list[str], order: str, phase: str, exempt: str, width: int = WIDTH) -> DataFrame:
     """Adds accepted: whether a status isn't behind the furthest phase so far; exempt ones always are."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    furthest = F.max(F.when(~F.col(exempt), F.col(phase))).over(before)
-    return df.withColumn("accepted", F.col(exempt) | furthest.isNull() | (F.col(phase) >= furthest))
+    x = before(df, keys, order, {"_furthest": ("max", F.when(~F.col(exempt), F.col(phase)))}, width)
+    return x.withColumn("accepted", F.col(exempt) | F.col("_furthest").isNull() | (F.col(phase) >= F.col("_furthest"))).drop("_furthest")
 
 
 def prometheus(df: DataFrame, metric: str, label: str, value: str) -> DataFrame:

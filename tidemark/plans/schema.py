@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ddl, statements
+from ..functions import ddl, definitions, statements
 from ..operators import changelog, conflicts, metrics, precheck, route_config
 from ..sources import messages
 from .inputs import LOG, change_log, epoch_ms, table
@@ -47,6 +47,34 @@ def ddl_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _created(spark, sf_dir).select("p_partkey", ddl.split_table(F.col("sql"), shard).alias("sql"))
 
 
+def _columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog's columns: four for the table of every part, with sizes and defaults of its own."""
+    x = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.posexplode(F.array(*map(F.lit, ("id", "name", "flag", "at")))).alias("position", "name"))
+    size, place = F.col("p_size").cast("string"), F.col("position")
+    kind = F.when(place == 0, "bigint(20) unsigned").when(place == 1, F.concat(F.lit("varchar("), size, F.lit(")"))).when(place == 2, "tinyint(1)").otherwise("datetime(6)")
+    default = F.when(place == 1, F.concat(F.lit("it's "), size)).when(place == 2, (F.col("p_size") % 2).cast("string")).when(place == 3, "CURRENT_TIMESTAMP(6)")
+    name = F.concat(F.lit("shop.t"), F.col("p_partkey").cast("string")).alias("table")
+    return x.select(name, "position", "name", kind.alias("type"), (place == 1).alias("nullable"), default.alias("default"), (place == 0).alias("auto"), F.when(place == 0, 1).alias("key"))
+
+
+def column_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = definitions.column_definition("mysql", "pg", F.col("type"), F.col("nullable"), F.col("default"), F.col("auto"))
+    return _columns(spark, sf_dir).select("table", "name", said.alias("definition"))
+
+
+def table_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return definitions.table_definitions(_columns(spark, sf_dir), "mysql", "pg", identity=True)
+
+
+def sequence_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of PostgreSQL whose values come from sequences, casts, booleans and functions, for MySQL."""
+    n = F.col("event_id") % 6
+    pick = lambda *texts: F.get(F.array(*map(F.lit, texts)), n.cast("int"))
+    kind = pick("bigserial", "int4", "varchar(9)", "bool", "timestamptz", "jsonb")
+    default = F.when(n == 2, F.concat(F.lit("'"), F.col("event_type"), F.lit("'::character varying"))).otherwise(pick(None, "nextval('s'::regclass)", "", "true", "now()", "'{}'::jsonb"))
+    return table(spark, sf_dir, "events").select("event_id", definitions.column_definition("pg", "mysql", kind, n % 2 == 0, default).alias("definition"))
+
+
 def ddl_subtype_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     verbs = F.array(*map(F.lit, ("CREATE TABLE t", "ALTER TABLE t", "DROP TABLE t", "TRUNCATE TABLE t", "INSERT INTO t", "RENAME TABLE t", "CREATE INDEX i ON t")))
     x = table(spark, sf_dir, "events").select(F.concat(F.get(verbs, (F.col("event_id") % 7).cast("int")), F.col("event_id").cast("string")).alias("sql"))
@@ -207,13 +235,19 @@ def document_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ddl_translate, ddl_translate_back, ddl_rename, ddl_merge, ddl_split, ddl_subtype_counts, canal_changes, canal_kinds, oplog_changes, op_mapping, route_configured, compare_routed_targets, merge_row_key,
+        ddl_translate, ddl_translate_back, ddl_rename, ddl_merge, ddl_split, column_definitions, table_definitions, sequence_definitions, ddl_subtype_counts, canal_changes, canal_kinds, oplog_changes, op_mapping, route_configured, compare_routed_targets, merge_row_key,
         conflict_log, column_count_mismatch, recovery_time, tables_by_latency, history_page, history_retention, task_search, settings_masked, tables_without_key, schema_precheck, document_bulk,
     )
 }
 
 _MS = "(epoch_us(ts) // 1000)"
 SQL = {
+    "column_definitions": """SELECT 'shop.t' || p_partkey AS "table", name, CASE name WHEN 'id' THEN 'NUMERIC(20,0) NOT NULL' WHEN 'name' THEN 'VARCHAR(' || p_size || ') DEFAULT ''it''''s ' || p_size || ''''
+        WHEN 'flag' THEN 'BOOLEAN NOT NULL DEFAULT ' || CASE p_size % 2 WHEN 1 THEN 'TRUE' ELSE 'FALSE' END ELSE 'TIMESTAMP NOT NULL DEFAULT CURRENT_TIMESTAMP' END AS definition FROM part, (SELECT unnest(['id', 'name', 'flag', 'at']) AS name)""",
+    "table_definitions": """SELECT 'shop.t' || p_partkey AS "table", 'CREATE TABLE IF NOT EXISTS "shop"."t' || p_partkey || '" ("id" NUMERIC(20,0) NOT NULL GENERATED BY DEFAULT AS IDENTITY, "name" VARCHAR(' || p_size || ') DEFAULT ''it''''s ' || p_size ||
+        ''', "flag" BOOLEAN NOT NULL DEFAULT ' || CASE p_size % 2 WHEN 1 THEN 'TRUE' ELSE 'FALSE' END || ', "at" TIMESTAMP NOT NULL DEFAULT CURRENT_TIMESTAMP, PRIMARY KEY ("id"))' AS sql FROM part""",
+    "sequence_definitions": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'BIGINT AUTO_INCREMENT' WHEN 1 THEN 'INT NOT NULL' WHEN 2 THEN 'VARCHAR(9) DEFAULT ''' || event_type || '''' WHEN 3 THEN 'TINYINT(1) NOT NULL DEFAULT 1'
+        WHEN 4 THEN 'DATETIME DEFAULT CURRENT_TIMESTAMP' ELSE 'JSON NOT NULL DEFAULT (''{}'')' END AS definition FROM events""",
     "ddl_translate": """SELECT p_partkey, 'CREATE TABLE "shop"."t' || p_partkey || '" ("id" BIGSERIAL NOT NULL, "n" INTEGER, "flag" BOOLEAN, "name" VARCHAR(' || p_size || ') DEFAULT ''int `x` ' || p_partkey || ''', "at" TIMESTAMP(6), PRIMARY KEY ("id"))' AS sql FROM part""",
     "ddl_translate_back": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'CREATE TABLE `t' || p_partkey || '` (`id` BIGINT AUTO_INCREMENT, `v` JSON, `at` DATETIME, `tags` TEXT) ENGINE=InnoDB'
         WHEN 1 THEN 'ALTER TABLE `t' || p_partkey || '` MODIFY COLUMN `v` TINYINT(1)' ELSE 'by hand' END AS sql FROM part""",
