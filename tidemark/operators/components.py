@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +40,50 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         now = packed(small.distinct())
+
+
+#: Edges that a task contracts at once.
+AT_ONCE = 1_000_000
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node but roots with the smallest node that it reaches by the edges (a, b): roots are hooked to smaller ones, then chains halved."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, label = place[: len(a)], place[len(a) :], np.arange(len(nodes))
+    while True:
+        low, now = np.minimum(label[i], label[j]), label.copy()
+        np.minimum.at(now, label[i], low)
+        np.minimum.at(now, label[j], low)
+        while (now != now[now]).any():
+            now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    under = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[under], nodes[label[under]]
+
+
+def contracted(edges: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """Fewer edges with the same components: those of one range of their smaller nodes that lie in one task become stars.
+
+    Worth its shuffle where nodes that lie near each other by number are linked, as numbers given out group by group
+    are: a component within a task is done. A task holds ``at_once`` edges; what it has too many goes in several stars.
+    """
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def done() -> pa.RecordBatch:
+            ends = [np.concatenate([batch.column(c).to_numpy(zero_copy_only=False) for batch in held]) for c in ("a", "b")]
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in stars(*ends)], ["a", "b"])
+
+        for batch in batches:
+            if held and n + batch.num_rows > at_once:
+                yield done()
+                held, n = [], 0
+            held, n = [*held, batch], n + batch.num_rows
+        if held:
+            yield done()
+
+    apart = edges.where("a <> b").select(F.greatest("a", "b").cast("bigint").alias("a"), F.least("a", "b").cast("bigint").alias("b"))
+    return apart.repartitionByRange("b").mapInArrow(local, "a bigint, b bigint")

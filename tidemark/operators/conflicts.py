@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import written
-from .components import components
+from .components import components, contracted
 from .folds import ordered_fold
 from .scans import WIDTH, before
 
@@ -93,9 +93,12 @@ def conflict_keys(log: DataFrame, batch: str, table: str, pk: str) -> DataFrame:
 
 
 def conflict_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root): groups of nodes that share edges; a node that meets only itself is a group of its own."""
+    """(node, root): groups of nodes that share edges; a node that meets only itself is a group of its own.
+
+    Edges are contracted within ranges of the nodes first, so that groups whose numbers lie together take no round.
+    """
     edges = written(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
-    found = components(edges)
+    found = components(contracted(edges))
     alone = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().join(found, "node", "left_anti")
     return found.unionByName(alone.withColumn("root", F.col("node")))
 
