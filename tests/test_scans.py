@@ -89,3 +89,25 @@ def test_quota_and_phases_by_ranges(spark):
         want[i] = exempt or phase >= far.get(k, -1)
         far[k] = far.get(k, -1) if exempt else max(phase, far.get(k, -1))
     assert {r.i: r.accepted for r in metrics.monotone(x, ["k"], "i", "phase", "exempt", 5).collect()} == want
+
+
+@pytest.mark.parametrize(("width", "primary"), [(1, "n1"), (6, "n1"), (6, "n3"), (6, None), (100_000, "n1")])
+def test_priority_by_ranges(spark, width, primary):
+    rng = random.Random(11)
+    rows = [(rng.choice([1, 1, 2, 3]), i, rng.randrange(9) + i // 40, rng.choice(["n1", "n2", "n2", "n3", None])) for i in range(400)]
+    held, want = {}, {}
+    for pk, seqno, ts, node in rows:
+        now = held.get(pk)
+        wins = now is None or ts > now[0] or (ts == now[0] if node == now[1] else node is not None and node == primary)
+        want[seqno] = "APPLY" if wins else "SKIP"
+        if wins:
+            held[pk] = (ts, node)
+    x = spark.createDataFrame([(*r, "more") for r in rows], "pk bigint, seqno bigint, source_ts bigint, node string, more string")
+    got = conflicts.decide(x, ["pk"], "node_priority", primary, width)
+    assert got.columns == [*x.columns, "decision"] and {r.seqno: r.decision for r in got.collect()} == want
+
+
+def test_priority_with_times(spark):
+    x = spark.createDataFrame([(1, i, f"2020-01-0{1 + d}", n) for i, (d, n) in enumerate([(3, "b"), (1, "a"), (2, "b"), (2, "b"), (2, "c"), (0, "a"), (0, "a")])], "pk bigint, seqno bigint, at string, node string")
+    x = x.select("pk", "seqno", F.to_timestamp("at").alias("source_ts"), "node")
+    assert [r.decision for r in conflicts.decide(x, ["pk"], "node_priority", "a", 2).orderBy("seqno").collect()] == ["APPLY", "APPLY", "APPLY", "APPLY", "SKIP", "APPLY", "APPLY"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -44,7 +45,7 @@ def with_record(log: DataFrame, keys: list[str], policy: str, width: int = WIDTH
     return x.unionByName(log.where(~_known(keys)), allowMissingColumns=True)
 
 
-def decide(log: DataFrame, keys: list[str], policy: str, primary: str | None = None) -> DataFrame:
+def decide(log: DataFrame, keys: list[str], policy: str, primary: str | None = None, width: int = WIDTH) -> DataFrame:
     """Adds decision (APPLY, SKIP or ERROR) to every event, in order of seqno for each key.
 
     A newer event applies; of one node an equally old one too; of another node an older or equal one is a conflict:
@@ -55,17 +56,66 @@ def decide(log: DataFrame, keys: list[str], policy: str, primary: str | None = N
         newer = F.col("held_ts").isNull() | (F.col("source_ts") > F.col("held_ts"))
         tie = (F.col("source_ts") == F.col("held_ts")) & ((F.col("node") >= F.col("held_node")) if policy == "lww" else (F.col("node") == F.col("held_node")))
         lost = F.lit("SKIP") if policy == "lww" else F.when(F.col("node") == F.col("held_node"), "SKIP").otherwise("ERROR")
-        return with_record(log, keys, policy).withColumn("decision", F.when(newer | tie, F.lit("APPLY")).otherwise(lost)).drop("held_ts", "held_node")
+        return with_record(log, keys, policy, width).withColumn("decision", F.when(newer | tie, F.lit("APPLY")).otherwise(lost)).drop("held_ts", "held_node")
     if policy != "node_priority":
         raise ValueError(f"no policy: {policy}")
+    judged = _by_priority(log.where(_known(keys)), keys, primary, width)
+    return judged.unionByName(log.where(~_known(keys)).withColumn("decision", F.lit("APPLY")))
+
+
+def _effect(primary: str | None, kind: str) -> Callable[[Column], Column]:
+    """What a range's events, (seqno, source_ts, node) in order, make of any record that was held before them.
+
+    ``has``: whether one is of the primary. If so, and the primary held the record at a time not before ``cm``, it then
+    holds it at the later of that and ``ct``; whatever else was held, at ``ct``: two such steps make one of that form.
+    ``top`` is the first of the latest events of other nodes since; it takes over if it is later than what is held.
+    """
+    whole = f"struct<has:boolean,cm:{kind},ct:{kind},top:struct<ts:{kind},seq:bigint,node:string>>"
+
+    def step(acc: Column, e: Column) -> Column:
+        m = acc["top"]["ts"]
+        keeps = m.isNull() | (acc["ct"] >= m)
+        cm = F.when(~acc["has"], m).when(keeps, acc["cm"]).otherwise(F.greatest(acc["cm"], m))
+        ct = F.when(~acc["has"] | ~keeps, e["source_ts"]).otherwise(F.greatest(acc["ct"], e["source_ts"]))
+        top = F.greatest(acc["top"], F.struct(e["source_ts"].alias("ts"), (-e["seqno"]).cast("bigint").alias("seq"), e["node"].alias("node")))
+        taken = F.struct(F.lit(True).alias("has"), cm.alias("cm"), ct.alias("ct"), F.lit(None).cast(f"struct<ts:{kind},seq:bigint,node:string>").alias("top"))
+        return F.when(F.coalesce(e["node"] == F.lit(primary), F.lit(False)), taken).otherwise(F.struct(acc["has"].alias("has"), acc["cm"].alias("cm"), acc["ct"].alias("ct"), top.alias("top"))).cast(whole)
+
+    none = F.lit(None)
+    return lambda events: F.aggregate(events, F.struct(F.lit(False).alias("has"), none.alias("cm"), none.alias("ct"), none.alias("top")).cast(whole), step)
+
+
+def _by_priority(log: DataFrame, keys: list[str], primary: str | None, width: int) -> DataFrame:
+    """Adds decision: the primary takes a record from any other node, and loses it to later events.
+
+    Each range of ``width`` of seqno becomes its effect on a record, a key's effects are followed in order, one row a
+    range, and the record that enters a range goes in front of its events: a hot key is judged in many tasks.
+    """
+    kind = log.schema["source_ts"].dataType.simpleString()
+    x = log.withColumns({"_part": F.floor(F.col("seqno") / width).cast("bigint"), "_row": F.lit(1)})
+    effects = x.groupBy(*keys, "_part").agg(_effect(primary, kind)(F.array_sort(F.collect_list(F.struct("seqno", "source_ts", "node")))).alias("_e"))
+    effects = effects.select(*keys, "_part", "_e.has", "_e.cm", "_e.ct", F.col("_e.top.ts").alias("mt"), F.col("_e.top.node").alias("mn"))
+
+    def follow(state, row):
+        held = state
+        if row["has"]:
+            kept = held is not None and held[1] == primary and (row["cm"] is None or held[0] >= row["cm"])
+            held = (max(held[0], row["ct"]) if kept else row["ct"], primary)
+        if row["mt"] is not None and (held is None or row["mt"] > held[0]):
+            held = (row["mt"], row["mn"])
+        return held, state or (None, None)
 
     def step(state, row):
         ts, node = row["source_ts"], row["node"]
-        wins = state is None or ts > state[0] or (ts == state[0] if node == state[1] else node == primary)
+        if row["_row"] == 0:
+            return (ts, node), (None,)
+        wins = state is None or ts > state[0] or (ts == state[0] if node == state[1] else node is not None and node == primary)
         return ((ts, node), ("APPLY",)) if wins else (state, ("SKIP",))
 
-    judged = ordered_fold(log.where(_known(keys)), keys, ["seqno"], step, None, {"decision": "string"}, ["source_ts", "node"])
-    return judged.unionByName(log.where(~_known(keys)).withColumn("decision", F.lit("APPLY")))
+    held = ordered_fold(effects, keys, ["_part"], follow, None, {"source_ts": kind, "node": "string"}, ["has", "cm", "ct", "mt", "mn"]).where("source_ts IS NOT NULL")
+    x = x.unionByName(held.select(*keys, "_part", F.lit(0).alias("_row"), "source_ts", "node"), allowMissingColumns=True)
+    judged = ordered_fold(x, [*keys, "_part"], ["_row", "seqno"], step, None, {"decision": "string"}, ["_row", "source_ts", "node"])
+    return judged.where("_row = 1").select(*log.columns, "decision")
 
 
 def conflict_log(log: DataFrame, keys: list[str], policy: str = "lww") -> DataFrame:
