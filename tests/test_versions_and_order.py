@@ -63,6 +63,22 @@ def test_rows_named_by_their_time(spark, seed, width):
     assert all((r.image is None) == (r.reason is not None) for r in got)
 
 
+def test_a_hot_table_s_statements_are_folded_in_parts(spark):
+    """Columns of one table by a plain fold, whatever the ranges; what lies between two CREATEs is a group."""
+    sql = {i: f"CREATE TABLE d.a (x{i} INT)" if i % 10 == 0 else f"DROP TABLE d.a, d.b{i}" if i % 25 == 3 else f"ALTER TABLE d.a ADD COLUMN y{i} INT" for i in range(200)}
+    now, want = None, {}
+    for i, x in sql.items():
+        now = [f"x{i}"] if x[0] == "C" else None if x[0] == "D" or now is None else [*now, f"y{i}"]
+        want[i] = now
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for width in (7, 100_000):
+            got = schema_log.schema_versions(spark.createDataFrame(list(sql.items()), "seqno bigint, sql string"), width=width).where("table = 'd.a'").select("*", F.spark_partition_id().alias("part")).collect()
+            assert len(got) == 200 and {r.seqno: r.columns for r in got} == want and len({r.part for r in got}) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_tables_renamed_are_unknown(spark):
     ddl = [(1, "CREATE TABLE d.a (x INT)"), (5, "RENAME TABLE d.a TO d.b"), (9, "CREATE TABLE d.a (y INT)"), (12, "ALTER TABLE d.a RENAME TO d.z")]
     log = [("d.a", 2, ["1"]), ("d.a", 6, ["1"]), ("d.b", 7, ["1"]), ("d.a", 10, ["1"]), ("d.a", 13, ["1"]), ("d.q", 2, ["1"])]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lists, statements
+from . import scans
 
 #: Positions that one group of the as-of join spans.
 WIDTH = 100_000
@@ -35,45 +36,61 @@ def as_of(events: DataFrame, versions: DataFrame, keys: list[str], at: str, valu
     return everything.withColumn("_v", F.last("_v", ignorenulls=True).over(order)).where("_kind = 2").select("_row.*", F.col("_v.v").alias(value))
 
 
-def _put(columns: Column, name: Column, after: Column) -> Column:
-    """``columns`` with one more: at the end where ``after`` is null, at the start where it is empty, else behind that one."""
-    place = F.when(after.isNull(), F.size(columns)).when(after == "", F.lit(0)).otherwise(F.array_position(F.transform(columns, F.lower), F.lower(after)).cast("int"))
-    return F.concat(F.slice(columns, F.lit(1), place), F.array(name), F.slice(columns, place + 1, F.greatest(F.size(columns) - place, F.lit(0))))
+def _put(columns: list[str] | None, name: str, after: str | None) -> list[str] | None:
+    """``columns`` with one more: at the end where ``after`` is null, at the start where it is empty or isn't there, else behind that one."""
+    if columns is None:
+        return None
+    lower = [c.lower() for c in columns]
+    place = len(columns) if after is None else lower.index(after.lower()) + 1 if after and after.lower() in lower else 0
+    return [*columns[:place], name, *columns[place:]]
 
 
-def _changed(columns: Column, c: Column) -> Column:
+def _changed(columns: list[str] | None, c: dict) -> list[str] | None:
     """Columns after one change of ``lists.column_changes``."""
-    without = F.filter(columns, lambda x: F.lower(x) != F.lower(c["name"]))
-    return (
-        F.when(c["op"] == "gone", F.lit(None).cast("array<string>")).when(c["op"] == "create", F.concat(F.coalesce(columns, F.array().cast("array<string>")), F.array(c["name"])))
-        .when(c["op"] == "add", _put(columns, c["name"], c["after"])).when(c["op"] == "drop", without)
-        .when(c["op"] == "rename", F.transform(columns, lambda x: F.when(F.lower(x) == F.lower(c["name"]), c["to"]).otherwise(x)))
-        .when(c["op"] == "move", _put(without, c["name"], c["after"])).otherwise(columns)
-    )
-
-
-def schema_versions(ddl: DataFrame, database: Column | None = None) -> DataFrame:
+    op, name = c["op"], c["name"]
+    if op == "create":
+        return [*(columns or ()), name]
+    if op == "gone" or columns is None:
+        return None
+    if op == "add":
+        return _put(columns, name, c["after"])
+    if op == "rename":
+        return [c["to"] if x.lower() == name.lower() else x for x in columns]
+    without = [x for x in columns if x.lower() != name.lower()]
+    return without if op == "drop" else _put(without, name, c["after"]) if op == "move" else columns
+
+
+def _folded(columns: list[str] | None, row: dict) -> tuple[list[str] | None, tuple[list]]:
+    """Columns after the statements of one position, and those after each of them."""
+    said = []
+    for changes in row["statements"]:
+        columns = None if changes and changes[0]["op"] == "create" else columns
+        for c in changes:
+            columns = _changed(columns, c)
+        said.append(columns)
+    return columns, (said,)
+
+
+def schema_versions(ddl: DataFrame, database: Column | None = None, width: int = WIDTH) -> DataFrame:
     """(table, seqno, columns) after each of the schema statements ``ddl`` (seqno, sql); columns is null where they aren't known.
 
     A CREATE begins anew; ALTERs change what was known; a table that is dropped or renamed is unknown until it is created
-    again. Statements of a table are folded in their order, in one row a table: they must be few beside its changes.
+    again. So a table's statements are cut where it is created, dropped or renamed, which is found by ranges of positions,
+    and what lies between two cuts streams past a fold that holds the columns of one position.
     """
+    from .folds import ordered_fold  # which needs as_of
+
     touched = ddl.select("seqno", "sql", F.explode(statements.affected_tables(F.col("sql"), F.lit("") if database is None else database)).alias("table"))
     _, sub = statements.classify(F.col("sql"))
     none = F.array(F.struct(F.lit("gone").alias("op"), *[F.lit(None).cast("string").alias(c) for c in ("name", "to", "after")]))
     changes = F.when(sub == "RENAME_TABLE", none).otherwise(lists.column_changes(F.col("sql")))
-    per_table = touched.select("table", F.struct("seqno", changes.alias("changes")).alias("d")).groupBy("table").agg(F.array_sort(F.collect_list("d")).alias("ddl"))
-    unknown = F.lit(None).cast("array<string>")
-    first = lambda d: F.when(F.get(d["changes"], F.lit(0))["op"] == "create", unknown)
-
-    def step(acc: Column, d: Column) -> Column:
-        begun = F.when(F.get(d["changes"], F.lit(0))["op"] == "create", first(d)).otherwise(acc["now"])
-        now = F.aggregate(d["changes"], begun, _changed)
-        return F.struct(now.alias("now"), F.concat(acc["all"], F.array(F.struct(d["seqno"].alias("seqno"), now.alias("columns")))).alias("all"))
-
-    kind = per_table.schema["ddl"].dataType.elementType["seqno"].dataType.simpleString()
-    start = F.struct(unknown.alias("now"), F.array().cast(f"array<struct<seqno:{kind},columns:array<string>>>").alias("all"))
-    return per_table.select("table", F.inline(F.aggregate("ddl", start, step)["all"]))
+    placed = touched.select("table", "seqno", changes.alias("changes")).groupBy("table", "seqno").agg(F.array_sort(F.collect_list("changes")).alias("statements"))
+    # Whatever the columns were: a statement that creates the table, or leaves it unknown.
+    anew = F.exists(F.get("statements", F.lit(0)), lambda c: c["op"] == "gone") | (F.get(F.get("statements", F.lit(0)), F.lit(0))["op"] == "create")
+    begun = F.when(anew, F.col("seqno").cast("bigint"))
+    cut = scans.before(placed, ["table"], "seqno", {"_earlier": ("max", begun)}, width).withColumn("_begun", F.coalesce(begun, "_earlier")).drop("_earlier")
+    versions = ordered_fold(cut, ["table", "_begun"], ["seqno"], _folded, None, {"versions": "array<array<string>>"}, ["statements"])
+    return versions.select("table", "seqno", F.explode("versions").alias("columns"))
 
 
 def named_rows(log: DataFrame, versions: DataFrame, values: str = "values", width: int = WIDTH) -> DataFrame:

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, its rows dealt over tasks: a file with few row groups is read by few, too few for costly expressions over text."""
+    cores, parts = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, name).select(*columns).repartition(max(2 * cores, parts))
+
+
 def epoch_ms(ts: Column) -> Column:
     """Milliseconds of a time without zone, in UTC."""
     return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)

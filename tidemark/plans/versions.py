@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lists
 from ..operators import documents, handover, layers, schema_log
-from .inputs import LOG, change_log, table
+from .inputs import LOG, change_log, dealt, table
 
 
 def _said(*parts) -> Column:
@@ -19,7 +19,7 @@ def schema_versioned_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, t = F.col("event_id"), F.col("event_type")
     created = F.concat(_said("CREATE TABLE app.", t, " (a INT, `b", n, "` DECIMAL(10,2) DEFAULT '(,', c INT"), F.when(n % 160 == 7, F.lit(", d INT")).otherwise(F.lit("")), F.lit(", PRIMARY KEY (a))"))
     x = table(spark, sf_dir, "events")
-    ddl = x.where("event_id % 40 = 7").select(n.alias("seqno"), F.when(n % 80 == 7, created).otherwise(_said("ALTER TABLE app.", t, " ADD COLUMN x", n, " INT, ADD KEY (c)")).alias("sql"))
+    ddl = dealt(spark, sf_dir, "events", "event_id", "event_type").where("event_id % 40 = 7").select(n.alias("seqno"), F.when(n % 80 == 7, created).otherwise(_said("ALTER TABLE app.", t, " ADD COLUMN x", n, " INT, ADD KEY (c)")).alias("sql"))
     log = x.where("event_id % 40 <> 7").select(_said("app.", t).alias("table"), n.alias("seqno"), F.array(*[_said(n, f"_{i}") for i in range(4)]).alias("values"))
     got = schema_log.named_rows(log, schema_log.schema_versions(ddl), "values", 1000)
     said = F.array_join(F.transform(F.map_entries("image"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
