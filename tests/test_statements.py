@@ -168,3 +168,9 @@ def test_qualifiers_are_renamed_too(spark, text, names, want):
 def test_long_literals_cost_no_stack(spark):
     assert every(spark, [f"UPDATE t SET v = '{LONG}'"], ddl.renamed(F.col("sql"), {"t": "u"})) == [f"UPDATE u SET v = '{LONG}'"]
     assert len(every(spark, ["INSERT INTO t VALUES " + ",".join(f"({i},'a{i}')" for i in range(30_000))], lexer.tokens(F.col("sql")))[0]) == 4 + 30_000 * 6 - 1
+
+
+def test_rewrites_grow_with_their_rules(spark):
+    """Every name adds its rules once: three names more don't multiply the plan."""
+    size = lambda n: len(spark.range(1).select(ddl.renamed(F.col("id").cast("string"), {f"d.t{i}": f"e.u{i}" for i in range(n)}))._jdf.queryExecution().analyzed().toString())
+    assert size(4) - size(3) < 2 * (size(2) - size(1))

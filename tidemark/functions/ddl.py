@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lexer import let
 from .statements import bare
 from .types import MYSQL_TO_PG, PG_TO_MYSQL
 
@@ -91,9 +92,15 @@ def renamed(sql: Column, names: dict[str, str]) -> Column:
     rules = [(before + quote(name) + r"(?![\w$`\".])", "$1" + mark(to)) for name, to in longest]
     short = {name.rsplit(".", 1)[1]: to.rsplit(".", 1)[-1] for name, to in longest if "." in name and name.rsplit(".", 1)[1] not in names}
     out = outside_literals(sql, lambda p: _chain(p, rules))
+
+    def qualified(name: str, to: str) -> Callable[[Column], Column]:
+        rule = (rf"(?i)(?<![\w$`\".\u0001])(?<!\b{keyword}\s){quote(name)}(?=\s*\.\s*[\w`\"*])", mark(to))
+        alias = rf"(?i)\bas\s+{quote(name)}(?![\w$`\"])"
+        return lambda text: F.when(text.rlike(alias), text).otherwise(outside_literals(text, lambda p: _chain(p, [rule])))
+
+    # Each text is computed once: written out, every name would triple all that stands before it.
     for name, to in [*longest, *short.items()]:
-        qualifier = (rf"(?i)(?<![\w$`\".\u0001])(?<!\b{keyword}\s){quote(name)}(?=\s*\.\s*[\w`\"*])", mark(to))
-        out = F.when(out.rlike(rf"(?i)\bas\s+{quote(name)}(?![\w$`\"])"), out).otherwise(outside_literals(out, lambda p, q=qualifier: _chain(p, [q])))
+        out = let(out, qualified(name, to))
     return F.translate(out, "\u0001", "")
 
 

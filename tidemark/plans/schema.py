@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ddl, definitions, statements
 from ..operators import changelog, conflicts, metrics, precheck, route_config
 from ..sources import messages
-from .inputs import LOG, change_log, epoch_ms, table
+from .inputs import LOG, change_log, dealt, epoch_ms, table
 
 
 def _created(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def ddl_translate_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ddl_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey").cast("string")
     text = F.concat(F.lit("INSERT INTO `shop`.orders SELECT orders, 'from shop.orders' FROM users JOIN shop.users ON users.id = "), n)
-    return table(spark, sf_dir, "part").select("p_partkey", ddl.renamed(text, {"shop.orders": "dw.orders_all", "users": "people", "shop.users": "dw.people"}).alias("sql"))
+    return dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", ddl.renamed(text, {"shop.orders": "dw.orders_all", "users": "people", "shop.users": "dw.people"}).alias("sql"))
 
 
 def ddl_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
