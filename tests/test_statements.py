@@ -174,3 +174,5 @@ def test_rewrites_grow_with_their_rules(spark):
     """Every name adds its rules once: three names more don't multiply the plan."""
     size = lambda n: len(spark.range(1).select(ddl.renamed(F.col("id").cast("string"), {f"d.t{i}": f"e.u{i}" for i in range(n)}))._jdf.queryExecution().analyzed().toString())
     assert size(4) - size(3) < 2 * (size(2) - size(1))
+    text = F.concat(F.col("id").cast("string"), F.lit("marked"))
+    assert spark.range(1).select(ddl.translated(text, "mysql", "pg").alias("sql"))._jdf.queryExecution().analyzed().toString().count("marked") == 1

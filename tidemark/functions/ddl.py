@@ -60,17 +60,20 @@ _KNOWN = r"(?i)^(create\s+(temporary\s+)?table|alter\s+table|drop\s+table|trunca
 
 def translated(sql: Column, source: str, target: str) -> Column:
     """A schema statement of ``source`` (mysql, pg) for ``target``; null where it is of a kind, or has a part, without translation."""
-    text = bare(F.trim(sql))
     if source == target:
-        return text
+        return bare(F.trim(sql))
+    return let(bare(F.trim(sql)), lambda text: _translated(text, source, target))
+
+
+def _translated(text: Column, source: str, target: str) -> Column:
     if (source, target) == ("mysql", "pg"):
         out = outside_literals(_chain(text, _MYSQL_WHOLE), lambda p: _chain(p, _MYSQL_RULES))
         # An index over the beginnings of a column is over the column.
-        out = F.when(text.rlike(r"(?i)^create\s+(unique\s+)?index"), F.regexp_replace(out, r"([\w\"])\s*\(\d+\)", "$1")).otherwise(out)
+        out = let(out, lambda o: F.when(text.rlike(r"(?i)^create\s+(unique\s+)?index"), F.regexp_replace(o, r"([\w\"])\s*\(\d+\)", "$1")).otherwise(o))
         whole = ~text.rlike(r"(?i)\bchange\s+(column\s+)?+(\S+)\s+(?!\2\s)")
     elif (source, target) == ("pg", "mysql"):
         out = outside_literals(text, lambda p: _chain(p, _PG_RULES))
-        out = F.when(text.rlike(r"(?i)^create\s+(temporary\s+)?table"), F.regexp_replace(out, r"\)\s*;?\s*$", ") ENGINE=InnoDB")).otherwise(out)
+        out = let(out, lambda o: F.when(text.rlike(r"(?i)^create\s+(temporary\s+)?table"), F.regexp_replace(o, r"\)\s*;?\s*$", ") ENGINE=InnoDB")).otherwise(o))
         whole = F.lit(True)
     else:
         raise ValueError(f"no translation from {source} to {target}")

@@ -18,7 +18,7 @@ def _created(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("CREATE TABLE `shop`.`t"), key, F.lit("` (`id` BIGINT UNSIGNED NOT NULL AUTO_INCREMENT, `n` INT(11), `flag` TINYINT(1), `name` VARCHAR("), size,
         F.lit(") DEFAULT 'int `x` "), key, F.lit("', `at` DATETIME(6) ON UPDATE CURRENT_TIMESTAMP, PRIMARY KEY (`id`)) ENGINE=InnoDB DEFAULT CHARSET=utf8mb4"),
     )
-    return table(spark, sf_dir, "part").select("p_partkey", "p_size", text.alias("sql"))
+    return dealt(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", "p_size", text.alias("sql"))
 
 
 def ddl_translate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,7 @@ def ddl_translate_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey").cast("string")
     text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('CREATE TABLE "t'), n, F.lit('" ("id" bigserial, "v" jsonb, "at" timestamptz, "tags" text[])')))
     text = text.when(F.col("p_partkey") % 3 == 1, F.concat(F.lit('ALTER TABLE "t'), n, F.lit('" ALTER COLUMN "v" TYPE boolean'))).otherwise(F.concat(F.lit("CREATE ROLE r"), n))
-    return table(spark, sf_dir, "part").select("p_partkey", F.coalesce(ddl.translated(text, "pg", "mysql"), F.lit("by hand")).alias("sql"))
+    return dealt(spark, sf_dir, "part", "p_partkey").select("p_partkey", F.coalesce(ddl.translated(text, "pg", "mysql"), F.lit("by hand")).alias("sql"))
 
 
 def ddl_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
