@@ -139,6 +139,13 @@ def test_documents_by_path(spark):
     assert diff == expect
 
 
+def test_documents_are_read_once(spark):
+    docs = spark.createDataFrame([(1, '{"a":{"b":[1,{"c":null}]}}')], "id int, text string").select("id", documents.document(F.col("text")).alias("doc"))
+    found = documents.document_paths(docs, "id", "doc")
+    assert {(x.path, x.value, x.kind) for x in found.collect()} == {("a.b[0]", "1", "BIGINT"), ("a.b[1].c", "null", "VOID")}
+    assert len(found._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("|").split("|")) == 1
+
+
 def test_documents_that_are_equal_or_none(spark):
     df = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", documents.document(F.col("text")).alias("doc"))
     a, b = df('{"a":1,"b":{"c":[1,2]},"_id":1}', "{broken", '{"x.y":1}', None), df('{"b":{"c":[1.0,2]},"a":1.00,"_id":2}', None, '{"x":{"y":1}}', '{"a":null}')

@@ -17,23 +17,20 @@ def document(text: Column) -> Column:
 def document_paths(docs: DataFrame, key: str, doc: str, deep: int = DEEP) -> DataFrame:
     """(key, path, value, kind) of every leaf of ``doc``, a variant: paths like ``a.b[0]``, values as JSON text.
 
-    Empty objects and arrays, and what lies ``deep`` levels down, are leaves. Each level is one pass of ``variant_explode``
-    over the rows that still hold objects or arrays.
+    Empty objects and arrays, and what lies ``deep`` levels down, are leaves. The documents are read once: each level opens
+    the objects and arrays among the rows, and leaves pass it by.
     """
     spark = docs.sparkSession
-    open_ = docs.where(F.col(doc).isNotNull()).select(F.col(key).alias("_key"), F.lit("").alias("_path"), F.col(doc).alias("_v"))
-    out = None
     kind = F.schema_of_variant("_v")
     inner = kind.rlike(r"^(OBJECT|ARRAY)<") & ~kind.isin("OBJECT<>", "ARRAY<>") & ~F.to_json("_v").isin("[]", "{}")
     step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.when(F.col("_path") == "", F.lit("")).otherwise(F.lit(".")), F.regexp_replace("key", r"([.\[\]\\])", r"\\$1")))
-    for level in range(deep + 1):
-        leaves = open_.where(~inner) if level < deep else open_
-        one = leaves.select(F.col("_key").alias(key), F.col("_path").alias("path"), F.to_json("_v").alias("value"), F.regexp_replace(kind, r"<[\s\S]*$", "").alias("kind"))
-        out = one if out is None else out.unionByName(one)
-        if level < deep:
-            exploded = open_.where(inner).lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()))
-            open_ = exploded.select("_key", F.concat("_path", step).alias("_path"), F.col("value").alias("_v"))
-    return out
+    rows = docs.where(F.col(doc).isNotNull()).select(F.col(key).alias("_key"), F.lit("").alias("_path"), F.col(doc).alias("_v"), F.lit(True).alias("_open"))
+    for _ in range(deep):
+        told = rows.select("_key", "_path", "_v", (F.col("_open") & inner).alias("_open"))
+        # What isn't open goes on as one row, without a position.
+        opened = told.lateralJoin(spark.tvf.variant_explode_outer(F.when(F.col("_open"), F.col("_v")).outer()))
+        rows = opened.select("_key", F.when(F.col("_open"), F.concat("_path", step)).otherwise(F.col("_path")).alias("_path"), F.when(F.col("_open"), F.col("value")).otherwise(F.col("_v")).alias("_v"), "_open")
+    return rows.select(F.col("_key").alias(key), F.col("_path").alias("path"), F.to_json("_v").alias("value"), F.regexp_replace(kind, r"<[\s\S]*$", "").alias("kind"))
 
 
 def path_excluded(doc: Column, rules: list[tuple[str, str, str]]) -> Column:

@@ -10,10 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over tasks: a file with few row groups is read by few, too few for costly expressions over text, or for sorts."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def dealt(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table, its rows dealt over tasks: a file with few row groups is read by few, too few for costly expressions over text."""
-    cores, parts = spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return table(spark, sf_dir, name).select(*columns).repartition(max(2 * cores, parts))
+    return spread(table(spark, sf_dir, name).select(*columns))
 
 
 def epoch_ms(ts: Column) -> Column:

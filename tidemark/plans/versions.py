@@ -101,7 +101,7 @@ def _documents(spark: SparkSession, sf_dir: str, moved: bool) -> DataFrame:
     last = F.when((n % 13 == 0) & F.lit(moved), n + 2).otherwise(n + 1)
     extra = F.when((n % 11 == 0) & F.lit(moved), F.lit(',"new":null')).otherwise(F.lit(""))
     text = F.concat(_said('{"user":{"id":', F.col("user_id"), F.lit(".0" if moved else ""), ',"kind":{"name":"', t, '"}},"list":[', n, ",", last, "]"), extra, F.lit("}"))
-    x = table(spark, sf_dir, "events").select("event_id", documents.document(text).alias("doc"))
+    x = dealt(spark, sf_dir, "events", "event_id", "user_id", "event_type").select("event_id", documents.document(text).alias("doc"))
     return x.where("event_id % 17 <> 0") if moved else x
 
 
