@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import written
 from ..functions import lists, statements
 from . import scans
 
@@ -114,7 +115,8 @@ def shadow_conversions(ddl: DataFrame, database: Column | None = None) -> DataFr
     db, name = statements.table_of(F.col("sql"))
     full = F.concat(F.when(db == "", F.lit("") if database is None else database).otherwise(db), F.lit("."))
     x = ddl.where(F.upper(F.col("sql")).contains("CREATE")).select("seqno", "sql", full.alias("db"), name.alias("name"), statements.classify(F.col("sql"))[1].alias("sub"), statements.online_change(F.col("sql")).alias("action"))
-    x = x.where("sub = 'CREATE_TABLE'")
+    # Both sides of the join are read twice, statements once.
+    x = written(x.where("sub = 'CREATE_TABLE'"))
     shadows = x.where("action = 'ALTER'").select("seqno", "sql", F.concat("db", F.regexp_extract("name", statements.SHADOW, 1)).alias("table"))
     originals = x.where("action = 'PASS'").select("seqno", F.concat("db", "name").alias("table"), F.col("sql").alias("original"))
     pair = as_of(shadows, originals, ["table"], "seqno", "original")

@@ -90,7 +90,7 @@ def shadow_alters(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = lambda more: _said("` (`id` BIGINT NOT NULL, `name` VARCHAR(", size + more, ") DEFAULT 'a,b', ")
     old, same = F.concat(_said("CREATE TABLE `shop`.`t", key), body(F.lit(0)), F.lit("`n` INT, PRIMARY KEY (`id`))")), F.concat(_said("CREATE TABLE `shop`.`_t", key, "_gho"), body(F.lit(0)), F.lit("`n` INT, PRIMARY KEY (`id`))"))
     new = F.concat(_said("CREATE TABLE `shop`.`_t", key, "_gho"), body(F.lit(1)), F.lit("`kind` ENUM('p,q','r'), `n` INT, PRIMARY KEY (`id`))"))
-    x = table(spark, sf_dir, "part")
+    x = dealt(spark, sf_dir, "part", "p_partkey", "p_size")
     ddl = x.select((key * 2).alias("seqno"), old.alias("sql")).union(x.select(key * 2 + 1, F.when(key % 3 == 0, same).otherwise(new)))
     return schema_log.shadow_conversions(ddl).select("seqno", "table", F.coalesce("sql", F.lit("")).alias("sql"))
 
