@@ -72,7 +72,7 @@ def redo_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(n % 4 == 0, insert).when(n % 4 == 1, update).when(n % 4 == 2, delete).otherwise(_said('insert into "APP"."T"("ID","KIND") values (\'', n, "');"))
     r = lists.redo_change(text)
     of = lambda m, k: F.coalesce(F.element_at(m, k), F.lit("-"))
-    x = table(spark, sf_dir, "events").select("event_id", r.alias("r"))
+    x = dealt(spark, sf_dir, "events", "event_id", "event_type").select("event_id", r.alias("r"))
     both = [of(F.col(f"r.{m}"), k).alias(f"{k.lower()}_{m}") for m in ("before", "after") for k in ("ID", "KIND", "AT")]
     return x.select("event_id", F.coalesce("r.op", F.lit("?")).alias("op"), *both, F.col("r.raw").isNotNull().alias("unread"))
 
@@ -81,7 +81,7 @@ def array_literals(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     text = F.when(n % 7 == 0, _said("{", n, ",}")).when(n % 7 == 1, F.lit("{}")).otherwise(_said("{", n, ',NULL,"a,}', n, '",{1,"}"}}'))
     found = lists.array_values(text)
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.size(found), F.lit(-1)).alias("n"), F.coalesce(F.array_join(found, "|", "null"), F.lit("-")).alias("elements"))
+    return dealt(spark, sf_dir, "events", "event_id").select("event_id", F.coalesce(F.size(found), F.lit(-1)).alias("n"), F.coalesce(F.array_join(found, "|", "null"), F.lit("-")).alias("elements"))
 
 
 def shadow_alters(spark: SparkSession, sf_dir: str) -> DataFrame:
