@@ -119,6 +119,18 @@ def test_each_change_counts_once(spark, seed):
     assert sorted(x.seqno for x in pending) == [s for s, _, k, _ in log if s > inside(k)]
 
 
+def test_a_hot_key_s_changes_meet_in_no_group(spark):
+    """Only distinct keys are ordered for their ranges: a window over a key's changes would hold them all."""
+    log = spark.range(50_000).select(F.col("id").alias("seqno"), F.lit("u").alias("op"), F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(F.lit(7)).alias("k"), F.col("id").alias("v"))
+    ranges = spark.createDataFrame([(0, 10, 40_000), (10, 100_000, 1_000)], "low bigint, high bigint, position bigint")
+    pending = handover.pending_changes(log, ranges, "k")
+    assert pending.count() == sum(i > (40_000 if i % 100 or not i else 1_000) for i in range(50_000))
+    windows = [p for p in pending._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in p]
+    assert windows and not any("seqno" in p for p in windows)
+    below = pending._jdf.queryExecution().optimizedPlan().toString().split("Window [", 1)[1]
+    assert "Aggregate [k" in below
+
+
 def test_position_lines(spark):
     df = spark.createDataFrame([(5, "CONSISTENT", "mysql", "uuid:1-5|x"), (6, "NONE", "pg", None), (7, "other", "pg", "0/1")], "at bigint, mode string, kind string, p string")
     lines = df.select(handover.position_line(*[F.col(c) for c in df.columns]).alias("line"))
