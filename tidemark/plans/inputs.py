@@ -10,14 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over tasks: a file with few row groups is read by few, too few for costly expressions over text, or for sorts."""
-    spark = df.sparkSession
-    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """A table's unique key and columns, dealt over tasks: a file with few row groups is read by few, too few for costly expressions over text.
 
-
-def dealt(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    return spread(table(spark, sf_dir, name).select(*columns))
+    By the key, as rows dealt in turn are sorted in the task that reads them.
+    """
+    parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return table(spark, sf_dir, name).select(key, *columns).repartition(parts, key)
 
 
 def epoch_ms(ts: Column) -> Column:
