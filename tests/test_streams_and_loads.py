@@ -146,6 +146,20 @@ def test_documents_are_read_once(spark):
     assert len(found._jdf.queryExecution().optimizedPlan().collectLeaves().mkString("|").split("|")) == 1
 
 
+def test_documents_are_told_apart_within_their_row(spark):
+    """Each side is read once and only documents are shuffled; unequal places count though their paths look alike, and equal ones don't."""
+    long = lambda n: json.dumps({"x": list(range(n)), "y:": {"0": [[], {}, None]}})
+    df = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", documents.document(F.col("text")).alias("doc"))
+    deep = '{"a":' * 20 + "%d" + "}" * 20
+    a = df('{"":{"a":1},"a":2}', '{"":{"a":1},"a":2}', long(3000), deep % 1, deep % 1, '{"_id":1,"é:":"1"}', '{"_id":1}', '{"v":"1"}')
+    b = df('{"a":2.0,"":{"a":1}}', '{"":{"a":2},"a":1}', long(3001), deep % 2, deep % 1, '{"_id":2,"é:":1}', '{"_id":2}', '{"v":1}')
+    found = documents.path_diff(a, b, "id", "doc")
+    want = {1: [".a", "a"], 2: ["x[3000]"], 3: [".".join("a" * 16)], 5: ["é:"], 7: ["v"]}
+    assert {x.id: (x.diff_type, x.paths) for x in found.collect()} == {i: ("CONTENT_DIFF", paths) for i, paths in want.items()}
+    plan = found._jdf.queryExecution().optimizedPlan()
+    assert len(plan.collectLeaves().mkString("|").split("|")) == 2 and plan.toString().count("Join ") == 1
+
+
 def test_documents_that_are_equal_or_none(spark):
     df = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", documents.document(F.col("text")).alias("doc"))
     a, b = df('{"a":1,"b":{"c":[1,2]},"_id":1}', "{broken", '{"x.y":1}', None), df('{"b":{"c":[1.0,2]},"a":1.00,"_id":2}', None, '{"x":{"y":1}}', '{"a":null}')

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,23 +17,43 @@ def document(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
+def _told(path: Column, v: Column, is_open: bool) -> Column:
+    return F.struct(path.alias("path"), v.alias("v"), F.lit(is_open).alias("open"))
+
+
+def _named(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``x``, which stands once in it, however often it is used: else levels within levels would double each time."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
+def _opened(x: Column, dot: str) -> Column:
+    """What lies right in one object or array; the thing itself as a leaf where it is none or empty."""
+    fields = F.transform(F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>")), lambda e: _told(F.concat(x["path"], F.lit(dot), F.regexp_replace(e["key"], r"([.\[\]\\])", r"\\$1")), e["value"], True))
+    items = F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), lambda v, i: _told(F.concat(x["path"], F.lit("["), i.cast("string"), F.lit("]")), v, True))
+    return _named(F.coalesce(fields, items), lambda c: F.when(F.size(c) > 0, c).otherwise(F.array(_told(x["path"], x["v"], False))))
+
+
+def leaves(doc: Column, deep: int = DEEP) -> Column:
+    """An array of path and v, a variant, of every leaf of ``doc`` (see ``document_paths``); a null has none.
+
+    Each level opens the objects and arrays among what it is given, within the row; where none is open, a level costs a look.
+    """
+    found = F.when(doc.isNotNull(), F.array(_told(F.lit(""), doc, True))).otherwise(F.array().cast("array<struct<path:string,v:variant,open:boolean>>"))
+    for level in range(deep):
+        each = partial(_opened, dot="." if level else "")
+        wider = lambda xs: F.flatten(F.transform(xs, lambda x: F.when(x["open"], each(x)).otherwise(F.array(x))))  # noqa: B023, E731
+        found = _named(found, lambda xs: F.when(F.exists(xs, lambda x: x["open"]), wider(xs)).otherwise(xs))  # noqa: B023
+    return found
+
+
 def document_paths(docs: DataFrame, key: str, doc: str, deep: int = DEEP) -> DataFrame:
     """(key, path, value, kind) of every leaf of ``doc``, a variant: paths like ``a.b[0]``, values as JSON text.
 
-    Empty objects and arrays, and what lies ``deep`` levels down, are leaves. The documents are read once: each level opens
-    the objects and arrays among the rows, and leaves pass it by.
+    Empty objects and arrays, and what lies ``deep`` levels down, are leaves. The documents are read once, and a document is
+    opened within its row.
     """
-    spark = docs.sparkSession
-    kind = F.schema_of_variant("_v")
-    inner = kind.rlike(r"^(OBJECT|ARRAY)<") & ~kind.isin("OBJECT<>", "ARRAY<>") & ~F.to_json("_v").isin("[]", "{}")
-    step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.when(F.col("_path") == "", F.lit("")).otherwise(F.lit(".")), F.regexp_replace("key", r"([.\[\]\\])", r"\\$1")))
-    rows = docs.where(F.col(doc).isNotNull()).select(F.col(key).alias("_key"), F.lit("").alias("_path"), F.col(doc).alias("_v"), F.lit(True).alias("_open"))
-    for _ in range(deep):
-        told = rows.select("_key", "_path", "_v", (F.col("_open") & inner).alias("_open"))
-        # What isn't open goes on as one row, without a position.
-        opened = told.lateralJoin(spark.tvf.variant_explode_outer(F.when(F.col("_open"), F.col("_v")).outer()))
-        rows = opened.select("_key", F.when(F.col("_open"), F.concat("_path", step)).otherwise(F.col("_path")).alias("_path"), F.when(F.col("_open"), F.col("value")).otherwise(F.col("_v")).alias("_v"), "_open")
-    return rows.select(F.col("_key").alias(key), F.col("_path").alias("path"), F.to_json("_v").alias("value"), F.regexp_replace(kind, r"<[\s\S]*$", "").alias("kind"))
+    rows = docs.where(F.col(doc).isNotNull()).select(F.col(key).alias("_key"), F.inline_outer(leaves(F.col(doc), deep)))
+    return rows.select(F.col("_key").alias(key), "path", F.to_json("v").alias("value"), F.regexp_replace(F.schema_of_variant("v"), r"<[\s\S]*$", "").alias("kind"))
 
 
 def path_excluded(doc: Column, rules: list[tuple[str, str, str]]) -> Column:
@@ -55,12 +78,23 @@ def path_diff(source: DataFrame, target: DataFrame, key: str, doc: str, deep: in
 
     Numbers are compared as numbers (1 and 1.0 are equal), the order of an object's fields doesn't count, an array's does.
     """
-    number = F.col("value").try_cast("decimal(38,10)")
-    same = F.when(F.col("kind").isin("BIGINT", "DOUBLE", "FLOAT") | F.col("kind").startswith("DECIMAL"), F.coalesce(F.concat(F.lit("#"), number.cast("string")), F.col("value"))).otherwise(F.col("value"))
-    paths = lambda df, side: document_paths(df, key, doc, deep).where(~F.col("path").isin(*ignored)).select(F.col(key), "path", same.alias(side))
-    uneven = paths(source, "s").join(paths(target, "t"), [key, "path"], "full_outer").where(~F.col("s").eqNullSafe(F.col("t")))
-    changed = uneven.groupBy(key).agg(F.array_sort(F.collect_set("path")).alias("paths"))
-    both = source.select(key, F.lit(True).alias("s"), F.col(doc).isNull().alias("_sn")).join(target.select(key, F.lit(True).alias("t"), F.col(doc).isNull().alias("_tn")), key, "full_outer").join(changed, key, "left")
-    kind = F.when(F.col("t").isNull(), "SOURCE_ONLY").when(F.col("s").isNull(), "TARGET_ONLY").when(F.col("paths").isNotNull() | (F.col("_sn") != F.col("_tn")), "CONTENT_DIFF")
-    none = F.array().cast("array<string>")
-    return both.select(key, kind.alias("diff_type"), F.when(kind == "CONTENT_DIFF", F.coalesce("paths", none)).otherwise(none).alias("paths")).where("diff_type IS NOT NULL")
+    def cells(side: Column) -> Column:
+        """Each leaf as the length of its path, the path and its value."""
+
+        def cell(x: Column) -> Column:
+            kind, value = F.schema_of_variant(x["v"]), F.to_json(x["v"])
+            number = F.when(kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL"), F.concat(F.lit("#"), value.try_cast("decimal(38,10)").cast("string")))
+            return F.concat(F.length(x["path"]).cast("string"), F.lit(":"), x["path"], F.coalesce(number, value))
+
+        return F.transform(F.filter(leaves(side, deep), lambda x: ~x["path"].isin(*ignored)), cell)
+
+    pair = source.select(key, F.lit(True).alias("_s"), F.col(doc).alias("_sd")).join(target.select(key, F.lit(True).alias("_t"), F.col(doc).alias("_td")), key, "full_outer")
+    # Documents of one text are equal in all their leaves; only the others are opened.
+    uneven = F.col("_s") & F.col("_t") & ~F.to_json("_sd").eqNullSafe(F.to_json("_td"))
+    # Row by row, so that a leaf is never shuffled; the generator keeps a filter from repeating what it makes.
+    told = pair.select(key, "_s", "_t", (F.col("_sd").isNull() != F.col("_td").isNull()).alias("_one"), F.inline_outer(F.array(F.struct(*[F.when(uneven, cells(F.col(d))).alias(c) for d, c in (("_sd", "_sc"), ("_td", "_tc"))]))))
+    apart = F.concat(F.array_except("_sc", "_tc"), F.array_except("_tc", "_sc"))
+    paths = F.transform(apart, lambda x: F.substring(x, F.instr(x, ":") + 1, F.substring_index(x, ":", 1).cast("int")))
+    told = told.select(key, "_s", "_t", "_one", F.inline_outer(F.array(F.struct(F.array_sort(F.array_distinct(paths)).alias("_paths")))))
+    kind = F.when(F.col("_t").isNull(), "SOURCE_ONLY").when(F.col("_s").isNull(), "TARGET_ONLY").when((F.size("_paths") > 0) | F.col("_one"), "CONTENT_DIFF")
+    return told.select(key, kind.alias("diff_type"), F.coalesce("_paths", F.array().cast("array<string>")).alias("paths")).where("diff_type IS NOT NULL")
