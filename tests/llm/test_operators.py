@@ -295,6 +295,41 @@ def test_blocks_of_real_documents_are_patched(sf):
         assert n_out == int((block - block.min() >= 2**width).sum())
 
 
+def test_pieces_are_asked_for_together():
+    """The library is asked for few texts, a word is looked up once for the texts at hand, and the ids are the library's."""
+
+    class Counted(dict):
+        looks = 0
+
+        def get(self, key):
+            self.looks += 1
+            return super().get(key)
+
+    class Asked:
+        def __init__(self, library):
+            self.library, self.texts = library, 0
+
+        def encode(self, text, **how):
+            self.texts += 1
+            return self.library.encode(text, **how)
+
+        def encode_batch_fast(self, texts, **how):
+            self.texts += len(texts)
+            return self.library.encode_batch_fast(texts, **how)
+
+    enc = pfor_store.CachedEncoder(tokenizer().path("word_bpe_49k.json"))
+    library, r = enc.library, random.Random(5)
+    letters = [chr(i) for i in range(0x20, 0x130) if i not in (0x85, 0xA0) and chr(i) != "|"]
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    texts = [" ".join(words), "", " \t\n", f"  {'  '.join(words[:500])}\r\n" * 20, "don't we'll ''s !' 12", *(f"{c}a {c} A{c}{c}" for c in letters)]
+    enc.library, enc.words = Asked(library), Counted()
+    got = [x.tolist() for x in enc.encode(texts)]
+    assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert enc.library.texts < len(enc.parts) / 100 and enc.words.looks < 6000
+    asked, odd = enc.library.texts, ["a\x1cb", "a\xa0b", "İ", "日本 x", "<|endoftext|> x"]
+    assert [x.tolist() for x in enc.encode([*odd, texts[0]])][:-1] == [e.ids for e in library.encode_batch(odd, add_special_tokens=False)] and enc.library.texts == asked + len(odd)
+
+
 def test_token_files_of_one_doc_id(spark, tmp_path):
     rows = [(7, f"text {i}") for i in range(40)] + [(None, f"none {i}") for i in range(40)] + [(8, "last"), (6, "early")]
     for parts in (1, 5):

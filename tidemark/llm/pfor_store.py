@@ -30,6 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -182,10 +183,11 @@ class CachedEncoder:
 
     The tokenizer's own rules make that exact: white space parts pieces and is dropped, lower-casing looks at one
     code point at a time, and below U+0130 texts are in normal form C. Other texts, and texts in which a special
-    token's string could stand, go to the library whole.
+    token's string could stand, go to the library whole. Arrow finds the distinct words of the texts at hand, so that
+    only these are looked up, and pieces that are new go to the library as the words of one text.
     """
 
-    WORDS, PARTS = 300_000, 600_000
+    WORDS, PARTS, JOINED, GATHER = 300_000, 600_000, 256, 1 << 18
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
@@ -201,32 +203,59 @@ class CachedEncoder:
     def by_library(self, texts: list[str]) -> list[bytes]:
         return [array.array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def of_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of pieces, many asked for as one text: each is a word of it to the library, which says whose an id is."""
+        out = []
+        for at in range(0, len(parts), self.JOINED):
+            some = parts[at : at + self.JOINED]
+            said = self.library.encode(" ".join(some), add_special_tokens=False)
+            n = np.bincount(said.word_ids, minlength=len(some))
+            if len(n) != len(some) or not n.all():
+                raise ValueError("the tokenizer doesn't take the pieces of a text for its words")
+            ids, ends = array.array("I", said.ids).tobytes(), np.cumsum(4 * n).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+        return out
+
     def of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of lower-cased words without white space."""
+        """Ids of distinct lower-cased words without white space."""
         got = list(map(self.words.get, words))
         if None in got:
             places = [i for i, x in enumerate(got) if x is None]
-            parts = {w: self.part.findall(w) for w in {words[i] for i in places}}
-            new = list({p for x in parts.values() for p in x if p not in self.parts})
-            self.parts.update(zip(new, self.by_library(new), strict=True))
-            fresh = {w: self.parts[x[0]] if len(x) == 1 else b"".join([self.parts[p] for p in x]) for w, x in parts.items()}
-            for i in places:
-                got[i] = fresh[words[i]]
-            drop_late(self.words, self.WORDS - len(fresh))
-            self.words.update(fresh)
+            parts = [self.part.findall(words[i]) for i in places]
+            new = list({p for x in parts for p in x if p not in self.parts})
+            self.parts.update(zip(new, self.of_parts(new), strict=True))
+            for i, x in zip(places, parts, strict=True):
+                got[i] = self.parts[x[0]] if len(x) == 1 else b"".join([self.parts[p] for p in x])
+            drop_late(self.words, self.WORDS - len(places))
+            self.words.update((words[i], got[i]) for i in places)
             drop_late(self.parts, self.PARTS)
         return got
 
+    def of_plain(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts whose words are parted by ASCII white space alone."""
+        split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+        coded = split.flatten().dictionary_encode()
+        got, which = self.of_words(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False)
+        ids, sizes = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+        starts, ends = np.cumsum(sizes) - sizes, np.append(0, np.cumsum(sizes[which]))
+        out = np.empty(ends[-1], "<u4")
+        for at in range(0, len(which), self.GATHER):
+            some, first = which[at : at + self.GATHER], ends[at]
+            last = ends[at + len(some)]
+            # Where a word's ids are, less where they go, and then one place on for each id.
+            out[first:last] = ids[np.repeat(starts[some] - ends[at : at + len(some)], sizes[some]) + np.arange(first, last)]
+        bounds = ends[split.offsets.to_numpy()].tolist()
+        return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def by_itself(self, text: str) -> bool:
+        """Whether a text goes to the library whole."""
+        return "<|" in text or bool(CONTROL.search(text)) if text.isascii() else bool(self.whole_only.search(text))
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [("<|" in t) if t.isascii() and not CONTROL.search(t) else bool(self.whole_only.search(t)) for t in texts]
-        words = [[] if w else t.lower().split() for t, w in zip(texts, whole, strict=True)]
-        got = self.of_words([w for x in words for w in x])
+        whole = [self.by_itself(t) for t in texts]
         asked = iter(self.by_library([t for t, w in zip(texts, whole, strict=True) if w]))
-        out, at = [], 0
-        for w, x in zip(whole, words, strict=True):
-            out.append(np.frombuffer(next(asked) if w else b"".join(got[at : at + len(x)]), "<u4"))
-            at += len(x)
-        return out
+        plain = iter(self.of_plain([t for t, w in zip(texts, whole, strict=True) if not w]))
+        return [np.frombuffer(next(asked), "<u4") if w else next(plain) for w in whole]
 
 
 @functools.lru_cache(2)
@@ -242,7 +271,7 @@ def segments(batches, tokenizer_file: str, end_id: int):
         return pa.RecordBatch.from_pylist([{"first_doc": held_ids[0], "last_doc": held_ids[-1], "n_ids": sum(n), "segment": encode_segment(held_ids, held)}], schema=pa.schema([("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_ids", pa.int64()), ("segment", pa.binary())]))
 
     end = np.array([end_id], np.uint32)
-    for piece in sized_slices(batches, "text", 1 << 20):
+    for piece in sized_slices(batches, "text", 4 << 20):
         for doc_id, ids in zip(piece.column("doc_id").to_pylist(), enc.encode([t or "" for t in piece.column("text").to_pylist()]), strict=True):
             held_ids.append(NULL_ID if doc_id is None else doc_id)
             held.append(np.concatenate([ids, end]))
