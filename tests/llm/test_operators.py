@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import sys
 import zlib
 
 import duckdb
@@ -330,6 +331,39 @@ def test_pieces_are_asked_for_together():
     assert [x.tolist() for x in enc.encode([*odd, texts[0]])][:-1] == [e.ids for e in library.encode_batch(odd, add_special_tokens=False)] and enc.library.texts == asked + len(odd)
 
 
+def test_new_words_of_known_pieces_cost_no_calls():
+    """Words are cut into pieces by arrays: 40,000 distinct words of 400 pieces take no Python call each."""
+    enc = pfor_store.CachedEncoder(tokenizer().path("word_bpe_49k.json"))
+    names = ["".join(x) for x in zip("abcdefghij" * 20, "klmnopqrst" * 2 * 10, [chr(97 + i // 10) for i in range(200)], strict=True)]
+    texts, calls = [" ".join(f"{a}.{b}" for b in names) for a in names], 0
+
+    def count(_frame, event, _arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    before = sys.getprofile()
+    sys.setprofile(count)
+    try:
+        got = enc.encode(texts)
+    finally:
+        sys.setprofile(before)
+    assert calls < 5000
+    assert [x.tolist() for x in got] == [e.ids for e in enc.library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pieces_are_cut_as_the_library_cuts_them():
+    enc, r = pfor_store.CachedEncoder(tokenizer().path("word_bpe_49k.json")), random.Random(11)
+    some = ["'", "'s", "'re", "'ll", "'D", "''", ".'", "s", "e", "l", " ", "\n", "\r\x0b", "0", "12", "²", "½", "é", "Ü", "ª", "×", "Į", "#", "<", "\x00", "\x80", "word"]
+    rare = ["İ", "ı", "\x1c", "\x85", "\xa0", "日本", "<|", "e\u0301", "😀", "\u212a"]
+    texts = ["".join(r.choice(some) if r.random() > 0.02 else r.choice(rare) for _ in range(r.randint(0, 12))) for _ in range(4000)] + ["'", "'r", "x'", "'" * 999, "1" * 999, " " * 999]
+    want = [e.ids for e in enc.library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in enc.encode(texts)] == want
+    # Where few pieces are remembered, the others are asked for again.
+    enc.PARTS = 40
+    assert [x.tolist() for at in range(0, len(texts), 200) for x in enc.encode(texts[at : at + 200])] == want
+    assert len(enc.parts) <= 40 and enc.starts[-1] == len(enc.ids) and enc.encode([]) == []
+
+
 def test_token_files_of_one_doc_id(spark, tmp_path):
     rows = [(7, f"text {i}") for i in range(40)] + [(None, f"none {i}") for i in range(40)] + [(8, "last"), (6, "early")]
     for parts in (1, 5):

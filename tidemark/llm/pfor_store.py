@@ -19,10 +19,7 @@ null doc_id come first.
 
 from __future__ import annotations
 
-import array
 import functools
-import itertools
-import re
 import struct
 import unicodedata
 import uuid
@@ -42,8 +39,6 @@ SEGMENT_IDS = 1 << 18
 WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 MAGIC = b"PFR1"
 NULL_ID = -(2**63)
-#: White space to Python, but not to the tokenizer.
-CONTROL = re.compile("[\x1c-\x1f]")
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -171,11 +166,14 @@ def read_ids(data: bytes, start: int, end: int) -> np.ndarray:
     return np.concatenate([decode_block(view[base + int(offsets[b]) :]) for b in range(first, last + 1)])[start - first * BLOCK : end - first * BLOCK]
 
 
-def drop_late(known: dict, most: int) -> None:
-    """Where there are more than ``most`` entries, forget the later half: frequent pieces came early."""
-    if len(known) > most:
-        for key in list(itertools.islice(reversed(known), len(known) - max(0, most // 2))):
-            del known[key]
+SPACE, SYMBOL, LETTER, NUMBER = range(4)
+
+
+def kind_of(code: int) -> int:
+    """What a code point below U+0130 is to the tokenizer's pattern."""
+    if chr(code) in "\t\n\v\f\r \x85\xa0":
+        return SPACE
+    return {"L": LETTER, "N": NUMBER}.get(unicodedata.category(chr(code))[0], SYMBOL)
 
 
 class CachedEncoder:
@@ -183,79 +181,110 @@ class CachedEncoder:
 
     The tokenizer's own rules make that exact: white space parts pieces and is dropped, lower-casing looks at one
     code point at a time, and below U+0130 texts are in normal form C. Other texts, and texts in which a special
-    token's string could stand, go to the library whole. Arrow finds the distinct words of the texts at hand, so that
-    only these are looked up, and pieces that are new go to the library as the words of one text.
+    token's string could stand, go to the library whole. NumPy cuts the lower-cased bytes of the texts at hand into
+    pieces, Arrow finds the distinct ones and those known, and new ones go to the library as the words of one text.
     """
 
-    WORDS, PARTS, JOINED, GATHER = 300_000, 600_000, 256, 1 << 18
+    PARTS, JOINED, GATHER = 600_000, 256, 1 << 18
+    WHOLE_ONLY = "[\x1c-\x1f\x85\xa0İ-\U0010ffff]|<\\|"
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(file)
-        of = lambda kind: "".join(re.escape(chr(i)) for i in range(0x130) if unicodedata.category(chr(i))[0] == kind)
-        letter, number = of("L"), of("N")
-        self.part = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letter}]+|[{number}]|[^\t-\r \x85\xa0{letter}{number}]+")
-        self.whole_only = re.compile("[\x1c-\x1f\x85\xa0İ-\U0010ffff]|<\\|")
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def by_library(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def of_parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of pieces, many asked for as one text: each is a word of it to the library, which says whose an id is."""
-        out = []
-        for at in range(0, len(parts), self.JOINED):
-            some = parts[at : at + self.JOINED]
-            said = self.library.encode(" ".join(some), add_special_tokens=False)
+        self.kinds = np.array([kind_of(i) for i in range(0x130)], np.uint8)
+        #: Pieces met, where the ids of each begin (with the end), and the ids.
+        self.parts, self.starts, self.ids = pa.array([], pa.large_binary()), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def by_library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, parts: pa.Array) -> None:
+        """Ask for new pieces, many as one text: each is a word of it to the library, which says whose an id is."""
+        ids, sizes, asked = [self.ids], [], parts.to_pylist()
+        for at in range(0, len(asked), self.JOINED):
+            some = asked[at : at + self.JOINED]
+            said = self.library.encode(b" ".join(some).decode(), add_special_tokens=False)
             n = np.bincount(said.word_ids, minlength=len(some))
             if len(n) != len(some) or not n.all():
                 raise ValueError("the tokenizer doesn't take the pieces of a text for its words")
-            ids, ends = array.array("I", said.ids).tobytes(), np.cumsum(4 * n).tolist()
-            out += [ids[a:b] for a, b in zip([0, *ends], ends)]  # noqa: B905
+            ids.append(np.array(said.ids, np.uint32))
+            sizes.append(n)
+        self.parts, self.ids = pa.concat_arrays([self.parts, parts]), np.concatenate(ids)
+        self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.concatenate(sizes)))
+
+    def forget(self) -> None:
+        """Where there are more than ``PARTS`` pieces, forget the later ones: frequent pieces came early."""
+        if len(self.parts) > self.PARTS:
+            left = self.PARTS // 2
+            self.parts, self.starts = self.parts.take(pa.array(np.arange(left))), self.starts[: left + 1].copy()
+            self.ids = self.ids[: self.starts[-1]].copy()
+
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        """Where each of the distinct pieces stands among those met, new ones included."""
+        found, out = pc.index_in(self.parts, value_set=distinct), np.full(len(distinct), -1, np.int64)
+        met = np.flatnonzero(found.is_valid())
+        out[found.drop_null().to_numpy()] = met
+        new = np.flatnonzero(out < 0)
+        if len(new):
+            out[new] = np.arange(len(self.parts), len(self.parts) + len(new))
+            self.learn(distinct.take(pa.array(new)))
         return out
 
-    def of_words(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct lower-cased words without white space."""
-        got = list(map(self.words.get, words))
-        if None in got:
-            places = [i for i, x in enumerate(got) if x is None]
-            parts = [self.part.findall(words[i]) for i in places]
-            new = list({p for x in parts for p in x if p not in self.parts})
-            self.parts.update(zip(new, self.of_parts(new), strict=True))
-            for i, x in zip(places, parts, strict=True):
-                got[i] = self.parts[x[0]] if len(x) == 1 else b"".join([self.parts[p] for p in x])
-            drop_late(self.words, self.WORDS - len(places))
-            self.words.update((words[i], got[i]) for i in places)
-            drop_late(self.parts, self.PARTS)
-        return got
-
-    def of_plain(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of texts whose words are parted by ASCII white space alone."""
-        split = pc.ascii_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
-        coded = split.flatten().dictionary_encode()
-        got, which = self.of_words(coded.dictionary.to_pylist()), coded.indices.to_numpy(zero_copy_only=False)
-        ids, sizes = np.frombuffer(b"".join(got), "<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
-        starts, ends = np.cumsum(sizes) - sizes, np.append(0, np.cumsum(sizes[which]))
-        out = np.empty(ends[-1], "<u4")
+    def cut(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Pieces of the texts' lower-cased bytes, and how many stand before each text and in all; as the pattern
+
+        ``'s|'t|'re|'ve|'m|'ll|'d|[letter]+|[number]|[symbol]+`` finds them: each is a run of one kind, a number is
+        alone, and an apostrophe that begins a run takes the letters of its ending.
+        """
+        # A line's end behind each text keeps pieces, and what follows an apostrophe, within it.
+        lines = pc.binary_join_element_wise(pc.utf8_lower(texts), *pa.array(["\n", ""], pa.large_string()))
+        bounds = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset :][: len(lines) + 1]
+        octets = np.frombuffer(lines.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+        kinds = np.append(self.kinds[:0x80], np.zeros(0x80, np.uint8))[octets]
+        # Other code points have two bytes here, both of one kind.
+        lead = np.flatnonzero(octets >= 0xC0)
+        kinds[lead] = kinds[lead + 1] = self.kinds[(octets[lead].astype(np.int64) & 0x1F) << 6 | octets[lead + 1] & 0x3F]
+        begins = kinds == NUMBER
+        begins[0] = True
+        begins[1:] |= kinds[1:] != kinds[:-1]
+        begins &= (solid := kinds != SPACE)
+        begins[lead + 1] = False
+        mark = np.flatnonzero(octets == ord("'"))
+        mark = mark[begins[mark]]
+        one, two = octets[mark + 1], octets[np.minimum(mark + 2, len(octets) - 1)]
+        size = np.isin(one, np.frombuffer(b"stmd", np.uint8)) + 2 * ((np.isin(one, np.frombuffer(b"rv", np.uint8)) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l"))))
+        mark, size = mark[size > 0], size[size > 0]
+        begins[mark + 1] = False
+        begins[mark + 1 + size] = solid[mark + 1 + size]
+        before = np.searchsorted(np.flatnonzero(begins), bounds - bounds[0])
+        octets, begins = octets[solid], np.flatnonzero(begins[solid])
+        return pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(begins, len(octets))), pa.py_buffer(octets)]), before
+
+    def of_plain(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of texts without any of ``WHOLE_ONLY``."""
+        if not len(texts):
+            return []
+        pieces, before = self.cut(texts)
+        coded = pieces.dictionary_encode()
+        places, which = self.places(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False)
+        starts, sizes = self.starts[places], np.diff(self.starts)[places]
+        ends = np.append(0, np.cumsum(sizes[which]))
+        out = np.empty(ends[-1], np.uint32)
         for at in range(0, len(which), self.GATHER):
             some, first = which[at : at + self.GATHER], ends[at]
             last = ends[at + len(some)]
-            # Where a word's ids are, less where they go, and then one place on for each id.
-            out[first:last] = ids[np.repeat(starts[some] - ends[at : at + len(some)], sizes[some]) + np.arange(first, last)]
-        bounds = ends[split.offsets.to_numpy()].tolist()
+            # Where a piece's ids are, less where they go, and then one place on for each id.
+            out[first:last] = self.ids[np.repeat(starts[some] - ends[at : at + len(some)], sizes[some]) + np.arange(first, last)]
+        self.forget()
+        bounds = ends[before].tolist()
         return [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
-    def by_itself(self, text: str) -> bool:
-        """Whether a text goes to the library whole."""
-        return "<|" in text or bool(CONTROL.search(text)) if text.isascii() else bool(self.whole_only.search(text))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        whole = [self.by_itself(t) for t in texts]
-        asked = iter(self.by_library([t for t, w in zip(texts, whole, strict=True) if w]))
-        plain = iter(self.of_plain([t for t, w in zip(texts, whole, strict=True) if not w]))
-        return [np.frombuffer(next(asked), "<u4") if w else next(plain) for w in whole]
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
+        whole = pc.match_substring_regex(texts, self.WHOLE_ONLY)
+        asked, plain = iter(self.by_library(texts.filter(whole).to_pylist())), iter(self.of_plain(texts.filter(pc.invert(whole))))
+        return [next(asked if w else plain) for w in whole.to_pylist()]
 
 
 @functools.lru_cache(2)
@@ -271,8 +300,8 @@ def segments(batches, tokenizer_file: str, end_id: int):
         return pa.RecordBatch.from_pylist([{"first_doc": held_ids[0], "last_doc": held_ids[-1], "n_ids": sum(n), "segment": encode_segment(held_ids, held)}], schema=pa.schema([("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_ids", pa.int64()), ("segment", pa.binary())]))
 
     end = np.array([end_id], np.uint32)
-    for piece in sized_slices(batches, "text", 4 << 20):
-        for doc_id, ids in zip(piece.column("doc_id").to_pylist(), enc.encode([t or "" for t in piece.column("text").to_pylist()]), strict=True):
+    for piece in sized_slices(batches, "text", 16 << 20, 4096):
+        for doc_id, ids in zip(piece.column("doc_id").to_pylist(), enc.encode(piece.column("text")), strict=True):
             held_ids.append(NULL_ID if doc_id is None else doc_id)
             held.append(np.concatenate([ids, end]))
             total += len(held[-1])
