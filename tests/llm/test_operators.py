@@ -364,6 +364,22 @@ def test_pieces_are_cut_as_the_library_cuts_them():
     assert len(enc.parts) <= 40 and enc.starts[-1] == len(enc.ids) and enc.encode([]) == []
 
 
+def test_whole_texts_go_to_the_library_by_size():
+    class Asked:
+        def __init__(self, library):
+            self.library, self.sizes = library, []
+
+        def encode_batch_fast(self, texts, **how):
+            self.sizes.append(sum(len(t.encode()) for t in texts))
+            return self.library.encode_batch_fast(texts, **how)
+
+    enc = pfor_store.CachedEncoder(tokenizer().path("word_bpe_49k.json"))
+    library, texts = enc.library, [f"{i} 日本語の文 " * 4000 for i in range(60)]
+    enc.library = Asked(library)
+    assert [x.tolist() for x in enc.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert max(enc.library.sizes) <= 1 << 20 and sum(enc.library.sizes) == sum(len(t.encode()) for t in texts)
+
+
 def test_token_files_of_one_doc_id(spark, tmp_path):
     rows = [(7, f"text {i}") for i in range(40)] + [(None, f"none {i}") for i in range(40)] + [(8, "last"), (6, "early")]
     for parts in (1, 5):

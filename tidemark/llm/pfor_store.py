@@ -196,8 +196,10 @@ class CachedEncoder:
         #: Pieces met, where the ids of each begin (with the end), and the ids.
         self.parts, self.starts, self.ids = pa.array([], pa.large_binary()), np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def by_library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def by_library(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of whole texts, 1 MB at a time: the library holds a multiple of what the ids take."""
+        some = (x.column("text").to_pylist() for x in sized_slices([pa.record_batch([texts], ["text"])], "text", 1 << 20))
+        return [np.array(e.ids, np.uint32) for x in some for e in self.library.encode_batch_fast(x, add_special_tokens=False)]
 
     def learn(self, parts: pa.Array) -> None:
         """Ask for new pieces, many as one text: each is a word of it to the library, which says whose an id is."""
@@ -283,7 +285,7 @@ class CachedEncoder:
     def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "")
         whole = pc.match_substring_regex(texts, self.WHOLE_ONLY)
-        asked, plain = iter(self.by_library(texts.filter(whole).to_pylist())), iter(self.of_plain(texts.filter(pc.invert(whole))))
+        asked, plain = iter(self.by_library(texts.filter(whole))), iter(self.of_plain(texts.filter(pc.invert(whole))))
         return [next(asked if w else plain) for w in whole.to_pylist()]
 
 
